@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import blocks, join_skewed, materialize
-from tessella.llm.components import connected_components
+from tessella.llm.components import block_pairs, connected_components, tile_links
 
 BITS = 64
 #: Fingerprints of one block; a tile compares two blocks.
 BLOCK = 2048
+#: Buckets of up to so many fingerprints are compared many at a time.
+SMALL = 32
 #: Cost of one probe in candidates: a probe is shuffled, a candidate only compared.
 PROBE_COST = 20.0
 
@@ -53,7 +55,7 @@ def fingerprints_of(texts: list[str | None], width: int, seed: int) -> np.ndarra
         counts = np.zeros(BITS, np.int64)
         for at in range(0, len(shingles), 1 << 16):
             hashes = np.array([xxh64_intdigest(s, seed) for s in shingles[at : at + (1 << 16)]], "<u8")
-            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[i] = np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0]
     return out
 
@@ -161,30 +163,28 @@ def _probes(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     return probes.select(F.xxhash64(F.col("m.mask"), F.col("fp").bitwiseAND(F.col("m.bits"))).alias("key"), "fp")
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one tile (``b`` None: within ``a``)."""
+def _tile(a: np.ndarray, b: np.ndarray | None, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is within ``tau`` bits in one tile (``b`` None: within ``a``)."""
+    columns = a if b is None else b
+    near = np.empty((len(a), len(columns)), bool)
+    for at in range(0, len(a), 256):
+        near[at : at + 256] = np.bitwise_count(a[at : at + 256, None] ^ columns[None, :]) <= tau
+    i, j = tile_links(near, b is None)
     nodes = a if b is None else np.concatenate([a, b])
-    parent = np.arange(len(nodes))
+    return nodes[i], nodes[j]
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    left, right = [], []
-    columns = a if b is None else b
-    offset = 0 if b is None else len(a)
-    ua, ub = a.view(np.uint64), columns.view(np.uint64)
-    for at in range(0, len(a), 256):
-        near = np.bitwise_count(ua[at : at + 256, None] ^ ub[None, :]) <= tau
-        for i, j in zip(*np.nonzero(near)):
-            i, j = int(i) + at, int(j) + offset
-            if i != j and (x := root(i)) != (y := root(j)):
-                parent[max(x, y)] = min(x, y)
-                left.append(nodes[i])
-                right.append(nodes[j])
-    return np.array(left, np.int64), np.array(right, np.int64)
+def _small(groups: list[np.ndarray], tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links within many small buckets, those of equal size at once."""
+    by_size: dict[int, list[np.ndarray]] = {}
+    for g in groups:
+        by_size.setdefault(len(g), []).append(g)
+    for size, same in by_size.items():
+        rows = np.stack(same)
+        i, j = np.triu_indices(size, 1)
+        near = np.bitwise_count(rows[:, i] ^ rows[:, j]) <= tau
+        k, pair = np.nonzero(near)
+        yield rows[k, i[pair]], rows[k, j[pair]]
 
 
 def near_links(fps: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
@@ -195,17 +195,22 @@ def near_links(fps: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
     dealt = join_skewed(probes, counts, "key", "count")
     dealt = dealt.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     packed = materialize(dealt.groupBy("key", "blocks", "block").agg(F.collect_list("fp").alias("fps")), "simhash-blocks")
-    own = packed.select("fps", F.lit(None).cast("array<bigint>").alias("others"))
-    many = packed.filter("blocks > 1")
-    pairs = many.alias("x").join(many.alias("y"), F.expr("x.key = y.key and x.block < y.block")).select("x.fps", F.col("y.fps").alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("fps").to_pylist(), batch.column("others").to_pylist()):
-                a, b = _forest(np.array(x, np.int64), None if y is None else np.array(y, np.int64), tau)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return own.unionByName(pairs).mapInArrow(run, "a bigint, b bigint")
+            own, others = batch.column("fps"), batch.column("other_fps")
+            flat, cut = own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
+            groups = [flat[x:y] for x, y in zip(cut, cut[1:])]
+            alone = others.is_null().to_numpy(zero_copy_only=False)
+            small = [g for g, one in zip(groups, alone) if one and len(g) <= SMALL]
+            found = list(_small(small, tau))
+            for k, g in enumerate(groups):
+                if not alone[k] or len(g) > SMALL:
+                    found.append(_tile(g, None if alone[k] else others[k].values.to_numpy(), tau))
+            links = [np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in links], ["a", "b"])
+
+    return block_pairs(packed, ["key"], ["fps"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
