@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, packing, simhash, token_store
-from tessella.llm.common import read_table
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, simhash, token_store
+from tessella.llm.common import fold, read_table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", (fold() == 2).alias("held_out"))
+    return language.predict_language(rows, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op9_token_store": op9_token_store,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
