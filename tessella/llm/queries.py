@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, simhash, token_store
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, simhash, token_store, toxicity
 from tessella.llm.common import fold, read_table
 
 
@@ -37,6 +37,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_store.verify_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_token_store": op9_token_store,
     "op10_language": op10_language,
 }
