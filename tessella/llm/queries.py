@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, simhash, token_store, toxicity
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, pii, simhash, token_store, toxicity
 from tessella.llm.common import fold, read_table
 
 
@@ -43,6 +43,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: The key of the surrogates in the query; a user passes a secret one.
+SURROGATE_KEY = "tessella"
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "n_entities", "entities", "text", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_store.verify_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -61,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
     "op10_language": op10_language,
 }
