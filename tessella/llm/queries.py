@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, packing, pii, simhash, token_store, toxicity
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, line_dedup, packing, pii, simhash, token_store, toxicity
 from tessella.llm.common import fold, read_table
 
 
@@ -37,6 +37,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_decisions(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped_lines").cast("long").alias("n_dropped"), F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
@@ -78,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
 }
