@@ -41,7 +41,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, columns: list[str]
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in blocks(texts):
                 ids, ends = encoder.encode(texts[a:b])
-                data, step = ids.astype(encoder.dtype).tobytes(), encoder.dtype.itemsize
+                data, step = ids.tobytes(), encoder.dtype.itemsize
                 starts = np.concatenate([[0], ends[:-1]])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(ends - starts + 1, pa.int64()), pa.array([data[x * step : y * step] + end for x, y in zip(starts, ends)], pa.binary())], [*columns, "n", "ids"])
@@ -124,7 +124,7 @@ def pack(encoded: DataFrame, length: int = 4096, mixture: dict[str, int] | None
 def with_ids(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``ids`` (binary of the encoder's width) and ``ids_crc32`` over 32-bit ids."""
     lists = pieces.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "sequence_id", "offset"))).alias("cuts"))  # one document's own cuts
-    joined = encoded.select("rid", "doc_id", F.col("n").alias("doc_tokens"), "ids").join(lists, "rid")
+    joined = encoded.select("rid", "doc_id", F.col("n").alias("doc_tokens"), "ids").join(lists.hint("merge"), "rid")  # the cuts grow with the input: never broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
