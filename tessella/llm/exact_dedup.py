@@ -57,9 +57,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns; of rows repeated with one id, one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The kept rows of ``docs`` with all their columns; of rows repeated with one id and text, one stays."""
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.withColumn("__text", F.sha2(normalised().cast("binary"), 256))
+    rows = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 ORACLE_SQL = r"""

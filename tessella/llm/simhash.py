@@ -9,7 +9,8 @@ under every mask of t of its bits), buckets are cut into bounded blocks, and pai
 verified as numpy tiles that return a spanning forest of the true links, not all pairs.
 
 Cases: a null or blank text has the fingerprint zero and is linked like any other; texts of fewer
-words than a shingle are one shingle; equal fingerprints are one node, so copies never meet as
+words than a shingle are one shingle; rows without a doc_id group like others, and a group of such rows
+only has a null component_id; equal fingerprints are one node, so copies never meet as
 pairs; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -226,7 +227,9 @@ def simhash_components(docs: DataFrame, tau: int = 2, width: int = 3, seed: int
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, tau: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its component."""
-    kept = simhash_components(docs, tau).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__keep_id"), "left_semi").dropDuplicates(["doc_id"])
+def drop_near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the least of its component; one row of each component."""
+    found = simhash_components(docs, tau, width, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__text"]).drop("__text")
