@@ -94,7 +94,7 @@ def _objects(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 rows: list[tuple] = []
                 start = 0
                 for i, end in enumerate(ends.tolist()):
-                    own = np.append(ids[start:end], end_id).astype(encoder.dtype)
+                    own = np.append(ids[start:end], encoder.dtype.type(end_id))
                     start, at, keys, sizes = end, 0, [], []
                     for cut in cut_points(own).tolist():
                         data = own[at:cut].tobytes()
@@ -123,7 +123,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
     folder = folder or new_path(spark, "token-store")
     one = Window.partitionBy("key").orderBy("n")
     kept = _objects(docs, path, end_id).withColumn("__rank", F.row_number().over(one)).filter("__rank = 1").drop("__rank")
-    kept.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
+    kept.write.partitionBy("kind").option("compression", "snappy").parquet(f"{folder}/objects")
     recipes = _read(spark, folder, "recipe").select("doc_id", F.col("n").alias("n_tokens"), F.col("ids").alias("chunks"), "sizes", "root", "width", "key")
     ordered = running_total(recipes, ["doc_id", "root", "key"], "n_tokens", "start", "store-order").drop("key")
     ordered = ordered.repartitionByRange("start").sortWithinPartitions("start")

@@ -12,18 +12,37 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import re
+import unicodedata
 
 import numpy as np
 
-#: Words that a task remembers; beyond this the memory starts afresh.
-MAX_WORDS = 600_000
+#: Words that a task remembers; beyond this it forgets those met once, or all if too many are left.
+MAX_WORDS = 400_000
 #: Words in one call's text.
 JOINED = 256
 #: A control character that forms a word and a token by itself.
 SEPARATOR = "\x01"
-#: One mark after an ASCII letter is a token piece of its own, so the word before it is shared.
-MARKED = re.compile(rb"(?s)(.*[a-z])([.,!?;:])")
+#: ASCII marks that form one token piece of their own behind a letter or digit, so the word before them
+#: is shared. The apostrophe is left out: it starts contractions.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def cut_marks(word: bytes) -> tuple[bytes, bytes | None]:
+    """A word without its trailing marks, and the marks; None where the two may not be encoded apart."""
+    stem = word.rstrip(MARKS)
+    if not stem or len(stem) == len(word):
+        return word, None
+    last = stem[-1]
+    if 97 <= last <= 122 or 48 <= last <= 57 or last > 127 and (end := stem.decode()[-1]).isalpha() and end.lower().isalpha():
+        return stem, word[len(stem) :]
+    return word, None
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level model knows each byte: itself where visible, else from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class _Index(dict):
@@ -41,6 +60,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         ids = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
@@ -49,56 +69,109 @@ class WordEncoder:
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         #: For each word the numbers of its one or two pieces; -1: no second piece.
         self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: The ids of each word, and how often it was met.
+        self.word_starts, self.word_lengths, self.word_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keeps what was met at least twice."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MAX_WORDS // 2:
+            return self._forget()
+        words = list(self.index)
+        self.index = _Index(zip([words[i] for i in keep.tolist()], range(len(keep))))
+        used = np.unique(np.concatenate([self.first[keep], self.second[keep][self.second[keep] >= 0]]))
+        pieces = list(self.pieces)
+        self.pieces = _Index(zip([pieces[i] for i in used.tolist()], range(len(used))))
+        self.first = np.searchsorted(used, self.first[keep])
+        self.second = np.where(self.second[keep] < 0, -1, np.searchsorted(used, self.second[keep]))
+        self.ids, ends = ragged_take(self.ids, self.starts, self.lengths, used)
+        self.lengths = self.lengths[used]
+        self.starts = ends - self.lengths
+        self.word_ids, ends = ragged_take(self.word_ids, self.word_starts, self.word_lengths, keep)
+        self.word_lengths = self.word_lengths[keep]
+        self.word_starts = ends - self.word_lengths
+        self.uses = self.uses[keep] // 2
 
     def _learn(self, words: list[bytes]) -> None:
         """Splits new words into pieces and encodes those that are new too."""
         known = len(self.pieces)
-        pairs = [m.groups() if (m := MARKED.fullmatch(w)) else (w, None) for w in words]
-        self.first = np.concatenate([self.first, [self.pieces[a] for a, _ in pairs]])
-        self.second = np.concatenate([self.second, [-1 if b is None else self.pieces[b] for _, b in pairs]])
+        stems, marks = zip(*map(cut_marks, words))
+        number = self.pieces.__getitem__
+        first = np.fromiter(map(number, stems), np.int64, len(words))
+        second = np.fromiter((-1 if m is None else number(m) for m in marks), np.int64, len(words))
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
         self._encode_new(list(itertools.islice(self.pieces, known, None)))
+        both = np.column_stack([first, second]).ravel()
+        ids, ends = ragged_take(self.ids, self.starts, self.lengths, both[both >= 0])
+        ends = ends[np.cumsum(1 + (second >= 0)) - 1]
+        lengths = np.diff(ends, prepend=0)
+        self.word_starts = np.concatenate([self.word_starts, ends - lengths + len(self.word_ids)])
+        self.word_lengths = np.concatenate([self.word_lengths, lengths])
+        self.word_ids = np.concatenate([self.word_ids, ids.astype(self.dtype)])
+
+    def _as_letters(self, word: bytes) -> str | None:
+        """What the model gets for a word of lower-case letters that the normaliser leaves as it is."""
+        if word.isascii():
+            return word.decode() if word.isalpha() else None
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0530" and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return word.decode("latin-1").translate(self.letters)
+        return None
 
     def _encode_new(self, words: list[bytes]) -> None:
-        """Appends the ids of the pieces ``words`` to what is known."""
-        alone = [i for i, w in enumerate(words) if self.separator is None or SEPARATOR.encode() in w]
-        apart = set(alone)
-        joined = [i for i in range(len(words)) if i not in apart] if apart else range(len(words))
+        """Appends the ids of the pieces ``words`` to what is known.
+
+        Words of plain letters are one piece for the library's splitter and unchanged by its
+        normaliser, so they go to its model at once; the rest goes through the whole tokenizer.
+        """
+        tokenize, plain, known_ids, counts = self.model.tokenize, [], [], []
+        joined, alone = [], []
+        for i, word in enumerate(words):
+            if (text := self._as_letters(word)) is not None:
+                ids = [t.id for t in tokenize(text)]
+                plain.append(i)
+                counts.append(len(ids))
+                known_ids += ids
+            elif self.separator is None or SEPARATOR.encode() in word:
+                alone.append(i)
+            else:
+                joined.append(i)
         lengths = np.zeros(len(words), np.int64)
-        parts: list[np.ndarray] = []
         batches = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        texts = [f" {SEPARATOR} ".join([words[i].decode() for i in b]) for b in batches]
-        for batch, found in zip(batches, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.separator)
-            lengths[list(batch)] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-            parts.append(np.delete(ids, cut))
-        order = list(joined)
+        texts = [f" {SEPARATOR} ".join([words[i].decode() for i in b]) + f" {SEPARATOR}" for b in batches]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in found)])
+        cut = np.flatnonzero(flat == self.separator)  # one behind each word
+        lengths[joined] = np.diff(cut, prepend=-1) - 1
+        lengths[plain] = counts
+        parts, order = [np.array(known_ids, np.uint32), np.delete(flat, cut)], plain + joined
         for i in alone:
             ids = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
             lengths[i] = len(ids)
             parts.append(ids)
             order.append(i)
         starts = np.zeros(len(words), np.int64)
-        if len(words):
-            starts[order] = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
         self.starts = np.concatenate([self.starts, starts + len(self.ids)])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, *parts])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32) and the ends of the texts' ids; null counts as empty."""
+        """All ids in a row (of ``dtype``) and the ends of the texts' ids; null counts as empty."""
         words = [(t or "").encode().lower().split() for t in texts]
         if len(self.index) > MAX_WORDS:
-            self._forget()
+            self._forget_rare()
         known = len(self.index)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
         if len(self.index) > known:
             self._learn(list(itertools.islice(self.index, known, None)))
-        both = np.column_stack([self.first[at], self.second[at]]).ravel()
-        ids, ends = ragged_take(self.ids, self.starts, self.lengths, both[both >= 0])
-        pieces = np.concatenate([[0], np.cumsum(1 + (self.second[at] >= 0))])[np.cumsum(counts)]
-        return ids, np.concatenate([[0], ends])[pieces]
+        counted = np.bincount(at, minlength=len(self.index))
+        counted[: len(self.uses)] += self.uses
+        self.uses = counted
+        ids, ends = ragged_take(self.word_ids, self.word_starts, self.word_lengths, at)
+        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +179,10 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: n
     size = lengths[at]
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    shift = starts[at] - (ends - size)
-    return flat[np.repeat(shift, size) + np.arange(total)], ends
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[at] - (ends - size)).astype(kind), size)
+    places += np.arange(total, dtype=kind)
+    return flat[places], ends
 
 
 @functools.lru_cache(maxsize=2)
