@@ -37,7 +37,7 @@ def image_headers(spark: SparkSession, path: str) -> DataFrame:
     named = F.lower(F.element_at(F.split("path", r"\."), -1))
     little = lambda at: F.conv(F.concat(*(F.hex(F.substring("content", at + i, 1)) for i in (4, 3, 2, 1))), 16, 10).cast("long")
     width = F.when(F.col("format") == "png", _number(F.col("content"), 16, 4, False)).when(F.col("format") == "bmp", little(18))
-    height = F.when(F.col("format") == "png", _number(F.col("content"), 20, 4, False)).when(F.col("format") == "bmp", little(22))
+    height = F.when(F.col("format") == "png", _number(F.col("content"), 20, 4, False)).when(F.col("format") == "bmp", F.when(little(22) >= 1 << 31, (1 << 32) - little(22)).otherwise(little(22)))  # negative: top row first
     return files.select("path", "format", F.create_map(*(F.lit(v) for kv in FORMATS.items() for v in kv))[named].alias("named"), width.alias("width"), height.alias("height"))
 
 
