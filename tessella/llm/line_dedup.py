@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_skewed, materialize
+from tessella.llm.common import join_skewed, materialize, running_total
 
 #: Words of the shortest lines that are compared by edits: one of five words is a fifth.
 LEAST_WORDS = 5
@@ -36,49 +36,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
-def _normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x09\x0B-\x0D ]{2,}|[\x09\x0B-\x0D]", " "))
+def _normalised(text: Column) -> Column:
+    """Lower case, with single blanks; line ends stay."""
+    return F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D ]{2,}|[\x09\x0B-\x0D]", " ")
 
 
-def _halves(words: Column, size: Column) -> Column:
-    """Keys of the whole halves that a partner with as many, one fewer or one more word may share."""
+HALVES = ["half1", "half2", "half3", "half4"]
+
+
+def _halves() -> dict[str, Column]:
+    """Keys of the whole halves that a partner with as many, one fewer or one more word may share; null for short lines."""
     keys = []
-    for shorter in (size, size - 1):
-        first = (shorter / 2).cast("int")
-        keys.append(F.xxhash64(shorter, F.lit("first"), F.slice(words, F.lit(1), first)))
-        keys.append(F.xxhash64(shorter, F.lit("last"), F.slice(words, size - (shorter - first) + 1, shorter - first)))
-    return F.array(*keys)
+    for shorter in ("size", "(size - 1)"):
+        keys.append(f"xxhash64({shorter}, 1, substring_index(norm, ' ', {shorter} div 2))")
+        keys.append(f"xxhash64({shorter}, 2, substring_index(norm, ' ', -({shorter} - {shorter} div 2)))")
+    return {name: F.expr(f"CASE WHEN size >= {LEAST_WORDS} THEN {key} END") for name, key in zip(HALVES, keys)}
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(did, th, line, h, size, halves)``: every line with a word."""
-    lines = _keyed(docs).filter("text <> ''").select("did", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("did", "th", "line", _normalised(F.col("raw")).alias("norm")).filter("norm <> ''").withColumn("words", F.split("norm", " "))
-    lines = lines.withColumn("size", F.size("words"))
-    halves = F.when(F.col("size") >= LEAST_WORDS, _halves(F.col("words"), F.col("size")))
-    return lines.select("did", "th", "line", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), "size", halves.alias("halves"))
+    """``(did, th, line, h, size, half1 .. half4)``: every line with a word."""
+    lines = _keyed(docs).filter("text <> ''").select("did", "th", F.posexplode(F.split(_normalised(F.col("text")), "\n")).alias("line", "raw"))
+    lines = lines.select("did", "th", "line", F.trim("raw").alias("norm")).filter("norm <> ''")
+    lines = lines.withColumn("size", (F.length("norm") - F.length(F.translate("norm", " ", "")) + 1).cast("int")).withColumns(_halves())
+    return lines.select("did", "th", "line", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), "size", *HALVES)
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, place, words)`` of the lines ``wanted(h, place)``, from the row where each stands first."""
-    by_row = wanted.groupBy(F.col("place.did").alias("did"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "h", "place")).alias("wanted"))
-    rows = _keyed(docs).filter("text <> ''").dropDuplicates(["did", "th"]).join(by_row.hint("merge"), ["did", "th"])
+    """``(lid, words)`` of the lines ``wanted(lid, did, th, line)``."""
+    by_row = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("line", "lid")).alias("wanted"))
+    rows = _keyed(docs).filter("text <> ''").join(by_row.hint("merge"), ["did", "th"])
     lines = rows.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    return lines.select("w.h", "w.place", F.split(_normalised(F.get("lines", F.col("w.line"))), " ").alias("words"))
+    return lines.select("w.lid", F.split(F.trim(_normalised(F.get("lines", F.col("w.line")))), " ").alias("words")).dropDuplicates(["lid"])
 
 
 def deletion_variants(lines: DataFrame) -> DataFrame:
-    """``(v1, v2, size, pos, h, place)`` of ``lines(h, place, words)``: each line itself (pos 0) and with each word deleted."""
-    words = lines.select("h", "place", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    """``(v1, v2, size, pos, lid)`` of ``lines(lid, words)``: each line itself (pos 0) and with each word deleted."""
+    words = lines.select("lid", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
     here, shifted = F.xxhash64(F.col("p"), "word"), F.xxhash64(F.col("p") - 1, F.col("word"))
     low, high = (lambda x: x.bitwiseAND(CUT)), (lambda x: F.shiftrightunsigned(x, 24))
-    words = words.select("h", "place", "n", "p", low(here).alias("a1"), high(here).alias("a2"), low(shifted).alias("c1"), high(shifted).alias("c2"))
-    whole = Window.partitionBy("h")
+    words = words.select("lid", "n", "p", low(here).alias("a1"), high(here).alias("a2"), low(shifted).alias("c1"), high(shifted).alias("c2"))
+    whole = Window.partitionBy("lid")
     upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    sums = words.select("h", "place", "n", "p", *(F.sum(x).over(upto).alias(f"{x}_upto") for x in ("a1", "a2", "c1", "c2")), *(F.sum(x).over(whole).alias(f"{x}_all") for x in ("a1", "a2", "c1", "c2")), "a1", "a2")
+    # running sums of both hashes; the last row of a line has the sums of all its words
+    sums = words.select("lid", "n", "p", *(F.sum(x).over(upto).alias(f"{x}_upto") for x in ("a1", "a2", "c1", "c2")), *(F.sum(x).over(whole).alias(f"{x}_all") for x in ("a1", "a2", "c1", "c2")), "a1", "a2")
     deleted = F.struct((F.col("a1_upto") - F.col("a1") + F.col("c1_all") - F.col("c1_upto")).alias("v1"), (F.col("a2_upto") - F.col("a2") + F.col("c2_all") - F.col("c2_upto")).alias("v2"), (F.col("n") - 1).alias("size"), (F.col("p") + 1).alias("pos"))
     itself = F.struct(F.col("a1_all").alias("v1"), F.col("a2_all").alias("v2"), F.col("n").alias("size"), F.lit(0).alias("pos"))
-    return sums.select("h", "place", F.explode(F.when(F.col("p") == 0, F.array(itself, deleted)).otherwise(F.array(deleted))).alias("v")).select("v.*", "h", "place")
+    return sums.select("lid", F.explode(F.when(F.col("p") == 0, F.array(itself, deleted)).otherwise(F.array(deleted))).alias("v")).select("v.*", "lid")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -92,33 +95,38 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_earlier(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(h)`` of the classes whose first line has an earlier line within one edit."""
-    halves = classes.filter(F.col("size") >= LEAST_WORDS).select("h", "place", F.explode("halves").alias("half"))
+    """``(cid)`` of the classes whose first line has an earlier line within one edit."""
+    halves = classes.filter(F.col("size") >= LEAST_WORDS).select("cid", F.explode(F.array(*HALVES)).alias("half"))
     shared = materialize(halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1"), "lines-halves")
-    wanted = join_skewed(halves, shared, "half", "lines").select("h", "place").dropDuplicates(["h"])
-    lines = materialize(_words_of(docs, wanted), "lines-wanted")
+    wanted = join_skewed(halves, shared, "half", "lines").select("cid").distinct().join(classes.select("cid", "place"), "cid")
+    # numbers in the order of place: the least number of a group is its earliest line
+    ordered = running_total(wanted.select("cid", "place.*").withColumn("one", F.lit(1)), ["did", "th", "line"], "one", "lid", "lines-order").drop("one")
+    ordered = materialize(ordered, "lines-numbered")
+    lines = materialize(_words_of(docs, ordered), "lines-wanted")
     variants = materialize(deletion_variants(lines), "lines-variants")
-    key, least = ["v1", "v2", "size"], F.min(F.struct("place", "h"))
-    same = variants.groupBy(*key, "pos").agg(least.alias("least"), F.count("*").alias("n"))
-    groups = materialize(same.groupBy(*key).agg(F.min("least").alias("any"), F.min(F.when(F.col("pos") == 0, F.col("least"))).alias("itself"), F.map_from_entries(F.collect_list(F.struct("pos", "least"))).alias("by_pos"), F.sum("n").alias("n")).filter("n > 1"), "lines-groups")
-    found = join_skewed(variants.withColumn("v", F.struct(*key)), groups.select(F.struct(*key).alias("v"), "any", "itself", "by_pos", "n"), "v", "n")
-    partner = F.when(F.col("pos") == 0, F.col("any")).otherwise(F.least(F.element_at("by_pos", F.col("pos")), "itself"))
-    earliest = found.groupBy("h").agg(F.min("place").alias("place"), F.min(partner).alias("partner")).filter("partner.place < place")
-    earliest = materialize(earliest.select("h", F.col("partner.h").alias("other")), "lines-partners")
-    uses = materialize(earliest.groupBy("other").agg(F.count("*").alias("uses")), "lines-uses")
-    others = uses.join(lines.select(F.col("h").alias("other"), F.col("words").alias("other_words")), "other")
-    joined = join_skewed(earliest.join(lines.select("h", "words"), "h"), materialize(others, "lines-others"), "other", "uses")
-    return joined.filter(within_one_edit(F.col("words"), F.col("other_words"))).select("h")
+    key = ["v1", "v2", "size"]
+    same = materialize(variants.groupBy(*key, "pos").agg(F.min("lid").alias("least"), F.count("*").alias("n")), "lines-same")
+    groups = same.groupBy(*key).agg(F.min("least").alias("any"), F.min(F.when(F.col("pos") == 0, F.col("least"))).alias("itself"), F.sum("n").alias("n")).filter("n > 1")
+    groups = materialize(groups.select(F.struct(*key).alias("v"), "any", "itself", "n"), "lines-groups")
+    found = materialize(join_skewed(variants.select(F.struct(*key).alias("v"), "pos", "lid"), groups, "v", "n").drop("n"), "lines-met")
+    replaced = materialize(same.filter("pos > 0 and n > 1").select(F.struct(F.struct(*key).alias("v"), "pos").alias("vp"), "least", "n"), "lines-replaced")
+    with_least = join_skewed(found.withColumn("vp", F.struct("v", "pos")), replaced, "vp", "n").select("lid", "least")
+    partners = found.select("lid", F.when(F.col("pos") == 0, F.col("any")).otherwise(F.col("itself")).alias("least")).unionByName(with_least)
+    earliest = materialize(partners.groupBy("lid").agg(F.min("least").alias("other")).filter("other < lid"), "lines-partners")
+    uses = earliest.groupBy("other").agg(F.count("*").alias("uses"))
+    others = materialize(uses.join(lines.select(F.col("lid").alias("other"), F.col("words").alias("other_words")), "other"), "lines-others")
+    joined = join_skewed(earliest.join(lines, "lid"), others, "other", "uses")
+    return joined.filter(within_one_edit(F.col("words"), F.col("other_words"))).select("lid").join(ordered.select("lid", "cid"), "lid").select("cid")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
     """``(doc_id, did, th, n_lines, dropped_lines)`` for every row of ``docs(doc_id, text)``; lines are numbered from 0."""
     lines = materialize(line_table(docs), "lines")
     place = F.struct("did", "th", "line")
-    classes = lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max_by("halves", "did").alias("halves"))
-    classes = materialize(classes, "lines-classes")
+    classes = lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.max("size").alias("size"), *(F.max(x).alias(x) for x in HALVES))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "lines-classes")
     near = materialize(near_earlier(docs, classes), "lines-near")
-    settled = classes.select("h", "place", "copies").join(near.withColumn("near", F.lit(True)), "h", "left")
+    settled = classes.select("cid", "h", "place", "copies").join(near.withColumn("near", F.lit(True)), "cid", "left")
     settled = materialize(settled.filter("near or copies > 1"), "lines-settled")  # a line met once with no partner stays
     marked = join_skewed(lines.select("did", "th", "line", "h"), settled, "h", "copies")
     dropped = marked.filter(F.coalesce("near", F.lit(False)) | (place != F.col("place")))
