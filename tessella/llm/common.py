@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.002
 
 #: Bytes of text handled at once inside a Python task.
-TEXT_BLOCK_BYTES = 4 << 20
+TEXT_BLOCK_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Words that a task remembers; beyond this it forgets those met once, or all if too many are left.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: Words in one call's text.
 JOINED = 256
 #: A control character that forms a word and a token by itself.
