@@ -209,9 +209,10 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.col(f"`{text}`")
     clean = rows.filter(~has_entity(body)).withColumns({"n_entities": F.lit(0).cast("long"), "entities": F.lit("{}")})
     others = [n for n in names if n != text]
-    hits = rows.filter(has_entity(body)).select(*(F.col(f"`{n}`") for n in others), F.split(body, ANY, -1).alias("__plain"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("__mentions"))
+    own = F.struct(*(F.col(f"`{n}`") for n in others)) if others else F.struct(F.lit(0).alias("none"))
+    hits = rows.filter(has_entity(body)).select(own.alias("row"), F.split(body, ANY, -1).alias("plain"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("mentions"))
     hits = materialize(hits.withColumn("hid", F.monotonically_increasing_id()), "pii-hits")
-    pieces = materialize(mention_pieces(hits.select("hid", F.posexplode("__mentions").alias("pos", "mention"))), "pii-mentions")
+    pieces = materialize(mention_pieces(hits.select("hid", F.posexplode("mentions").alias("pos", "mention"))), "pii-mentions")
     entities = pieces.filter("kind <> 'title'").groupBy(*ENTITY).agg(F.count("*").alias("mentions"))
     assigned = assign_surrogates(materialize(entities, "pii-entities"), key)
     named = assigned.select(F.struct(*ENTITY).alias("entity"), "mentions", "surrogate")
@@ -221,8 +222,8 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     mentions = words.groupBy("hid", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("new"), F.max_by(F.substring_index("kind", "-", 1), "at").alias("kind"))
     texts = mentions.groupBy("hid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"), F.collect_list(F.when(F.col("kind").isin("given", "family", "title"), "name").otherwise(F.col("kind"))).alias("kinds"))
     joined = hits.join(texts.hint("merge"), "hid")
-    new_text = F.array_join(F.transform("__plain", lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
+    new_text = F.array_join(F.transform("plain", lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct("kinds"))
     counted = F.to_json(F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("kinds", lambda x: x == k)))))
-    dirty = joined.select(*(new_text.alias(n) if n == text else F.col(f"`{n}`") for n in names), F.size("kinds").cast("long").alias("n_entities"), counted.alias("entities"))
+    dirty = joined.select(*(new_text.alias(n) if n == text else F.col(f"row.`{n}`") for n in names), F.size("kinds").cast("long").alias("n_entities"), counted.alias("entities"))
     return clean.unionByName(dirty)

@@ -134,7 +134,7 @@ def allocate(n: int, both: np.ndarray, parts: list[list[int]], tau: int) -> tupl
     for part in parts:
         then: dict[int, tuple[float, list[int]]] = {}
         for given, (so_far, chosen) in best.items():
-            for t in range(-1, tau + 1):
+            for t in range(-1, min(tau, len(part)) + 1):
                 c = so_far + cost(part, t)
                 if given + t not in then or c < then[given + t][0]:
                     then[given + t] = (c, [*chosen, t])
