@@ -225,5 +225,6 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     new_text = F.array_join(F.transform("plain", lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct("kinds"))
     counted = F.to_json(F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("kinds", lambda x: x == k)))))
-    dirty = joined.select(*(new_text.alias(n) if n == text else F.col(f"row.`{n}`") for n in names), F.size("kinds").cast("long").alias("n_entities"), counted.alias("entities"))
+    done = joined.select("row", F.struct(new_text.alias("text"), F.size("kinds").cast("long").alias("n_entities"), counted.alias("entities")).alias("done"))
+    dirty = done.select(*(F.col("done.text").alias(n) if n == text else F.col(f"row.`{n}`") for n in names), "done.n_entities", "done.entities")
     return clean.unionByName(dirty)

@@ -37,7 +37,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu toi te ton ta tes vou
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!]+[^\W\d_]+)+")
+DISGUISED = re.compile(r"[0-9@$!]*[^\W\d_]+(?:[0-9@$!]+[^\W\d_]+)+")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 FEATURES = [
     "log_words", "insult_rate", "insult_log", "profanity_rate", "threat_rate", "learned_rate", "learned_log", "learned_top", "learned_mean",
