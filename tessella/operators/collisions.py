@@ -98,7 +98,7 @@ def offset_pairs(quantized: DataFrame, offset: int, threshold: float = 5.0, dist
 
 
 def _with_distances(rows: DataFrame, wanted: list[tuple[str, str, str]], distance: str) -> DataFrame:
-    """Adds the distances of pairs of colour columns, each distinct pair computed once where rows outnumber pairs."""
+    """Adds the distances of pairs of colour columns; computed in place, which costs no shuffle."""
     for first, second, out in wanted:
         rows = colour_distance(rows, first, second, out, distance)
     return rows

@@ -13,11 +13,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.color import colour_distance
 from tessella.operators.merging import COLOUR_SCALE, COMPACTNESS, ENCLOSURE, WEIGHTS, check_weights, palette_distances
-from tessella.operators.regions import disc_rows
+from tessella.operators.regions import disc_rows, fitting_regions, shared_borders
 
 SHIFT = 32
 STEPS = (1, -1, 1 << SHIFT, -(1 << SHIFT))
@@ -253,39 +254,64 @@ def leader_clusters(colours: DataFrame, threshold: float) -> DataFrame:
     return colours.select("image_id", "rgb", "first_pos", "l", "a", "b").groupBy("image_id").applyInPandas(run, "image_id long, rgb long, leader long")
 
 
-def local_components(pixels: DataFrame, threshold: float, diameter: int) -> DataFrame:
-    """Greedy source components of ``pixels(image_id, x, y, rgb, l, a, b)``.
+def _greedy_components(part: pd.DataFrame, threshold: float) -> list[list[int]]:
+    """Packed members of each component, seed first; ``part`` is in scan order."""
+    packed = (part["y"].to_numpy() << SHIFT | part["x"].to_numpy()).tolist()
+    place = {p: i for i, p in enumerate(packed)}
+    lab = part[["l", "a", "b"]].to_numpy()
+    free, out = set(packed), []
+    for seed in packed:
+        if seed not in free:
+            continue
+        near = ((lab - lab[place[seed]]) ** 2).sum(axis=1) <= threshold * threshold
+        free.discard(seed)
+        members, queue = [seed], deque([seed])
+        while queue:
+            p = queue.popleft()
+            for step in STEPS:
+                q = p + step
+                if q in free and near[place[q]]:
+                    free.discard(q)
+                    members.append(q)
+                    queue.append(q)
+        out.append(members)
+    return out
+
+
+def local_components(pixels: DataFrame, threshold: float) -> DataFrame:
+    """``pixels(image_id, x, y, rgb, l, a, b)`` with ``region_id`` and ``seed_rgb``: greedy source components.
 
     Seeds are taken in scan order; a component is all that is reached from its seed over pixels within
-    the threshold of the seed's colour. ``(image_id, component, rgb, seed_x, seed_y, pixels, min_x,
-    min_y, max_x, max_y, paintable)``.
+    the threshold of the seed's colour (plain Lab distance), so it is no equivalence of colours.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "x"])
-        packed = (part["y"].to_numpy() << SHIFT | part["x"].to_numpy()).tolist()
-        place = {p: i for i, p in enumerate(packed)}
-        lab, rgb = part[["l", "a", "b"]].to_numpy(), part["rgb"].to_numpy()
-        free, rows = set(packed), []
-        for seed in packed:
-            if seed not in free:
-                continue
-            near = ((lab - lab[place[seed]]) ** 2).sum(axis=1) <= threshold * threshold
-            free.discard(seed)
-            members, queue = [seed], deque([seed])
-            while queue:
-                p = queue.popleft()
-                for step in STEPS:
-                    q = p + step
-                    if q in free and near[place[q]]:
-                        free.discard(q)
-                        members.append(q)
-                        queue.append(q)
-            xs, ys = [m & ((1 << SHIFT) - 1) for m in members], [m >> SHIFT for m in members]
-            rows.append((int(part["image_id"].iloc[0]), len(rows) + 1, int(rgb[place[seed]]), xs[0], ys[0], len(members), min(xs), min(ys), max(xs), max(ys), disc_fits(members, diameter)))
-        return pd.DataFrame(rows, columns=["image_id", "component", "rgb", "seed_x", "seed_y", "pixels", "min_x", "min_y", "max_x", "max_y", "paintable"])
-
-    return pixels.select("image_id", "x", "y", "rgb", "l", "a", "b").groupBy("image_id").applyInPandas(run, "image_id long, component long, rgb long, seed_x long, seed_y long, pixels long, min_x long, min_y long, max_x long, max_y long, paintable boolean")
+        colour = dict(zip((part["y"].to_numpy() << SHIFT | part["x"].to_numpy()).tolist(), part["rgb"].tolist()))
+        rows = [(int(part["image_id"].iloc[0]), k + 1, p & ((1 << SHIFT) - 1), p >> SHIFT, int(colour[members[0]])) for k, members in enumerate(_greedy_components(part, threshold)) for p in members]
+        return pd.DataFrame(rows, columns=["image_id", "region_id", "x", "y", "seed_rgb"])
+
+    return pixels.select("image_id", "x", "y", "rgb", "l", "a", "b").groupBy("image_id").applyInPandas(run, "image_id long, region_id long, x long, y long, seed_rgb long")
+
+
+def local_component_table(members: DataFrame, diameter: int) -> DataFrame:
+    """One row a component: seed colour, pixels, bounding box, and whether it holds a disc."""
+    table = members.groupBy("image_id", "region_id").agg(F.first("seed_rgb").alias("seed_rgb"), F.count("*").alias("pixels"), *(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
+    fits = fitting_regions(members, diameter).withColumn("paintable", F.lit(True))
+    return table.join(fits, ["image_id", "region_id"], "left").withColumn("paintable", F.coalesce("paintable", F.lit(False)))
+
+
+def unpaintable_components(members: DataFrame, diameter: int, distance: str = "delta_e_2000") -> DataFrame:
+    """Components without a disc, ranked by size, each with the neighbour of longest border (then nearest colour, colour, number); none is null."""
+    table = local_component_table(members, diameter)
+    other = table.select("image_id", F.col("region_id").alias("dst"), F.col("seed_rgb").alias("other_rgb"))
+    near = shared_borders(members).join(other, ["image_id", "dst"]).withColumnRenamed("src", "region_id")
+    small = table.filter(~F.col("paintable")).drop("paintable")
+    pairs = colour_distance(small.select("image_id", "region_id", "seed_rgb").join(near, ["image_id", "region_id"]), "seed_rgb", "other_rgb", "de", distance)
+    best = Window.partitionBy("image_id", "region_id").orderBy(F.desc("length"), F.round("de", 9), "other_rgb", "dst")
+    chosen = pairs.withColumn("r", F.row_number().over(best)).filter("r = 1").select("image_id", "region_id", F.col("dst").alias("neighbour"), "length", "de")
+    order = Window.partitionBy("image_id").orderBy(F.desc("pixels"), "min_y", "min_x", "seed_rgb", "region_id")
+    return small.join(chosen, ["image_id", "region_id"], "left").withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def local_component_summary(components: DataFrame) -> DataFrame:

@@ -50,9 +50,13 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.leader_clusters(with_lab(Q.unique_colours(event_tiles(spark, sf_dir))), 2.0)
 
 
+def local_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.local_components(with_lab(event_tiles(spark, sf_dir)), 5.0)
+
+
 @query("local_components")
 def local_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.local_components(with_lab(event_tiles(spark, sf_dir)), 5.0, DIAMETER)
+    return D.local_component_table(local_members(spark, sf_dir), DIAMETER)
 
 
 @query("local_component_summary")
@@ -60,6 +64,11 @@ def local_component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.local_component_summary(local_components(spark, sf_dir))
 
 
+@query("unpaintable_components")
+def unpaintable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.unpaintable_components(local_members(spark, sf_dir), DIAMETER), "de")
+
+
 _SIDES = ", ".join("(" + ", ".join(map(str, s)) + ")" for s in O.SIDES)
 
 
