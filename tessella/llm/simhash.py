@@ -117,7 +117,8 @@ def correlated_parts(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 def allocate(n: int, both: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, list[int]]:
     """The thresholds of least estimated cost, by dynamic programming over parts and what is left to give."""
-    p = both.diagonal() / max(n, 1)
+    n = max(n, 1)  # an empty table must not make costly parts look free
+    p = both.diagonal() / n
 
     def cost(part: list[int], t: int) -> float:
         if t < 0:
