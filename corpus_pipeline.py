@@ -16,11 +16,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, language, packing, pii, simhash
+from tessella.llm import exact_dedup, language, packing, pii, shingle_dedup
 from tessella.llm.common import materialize, read_table
 
-#: Words of a shingle and differing bits of 64 that still link two documents.
-SHINGLE_WORDS, DIFFERING_BITS = 5, 6
+#: Words of a shingle; documents of a shingle similarity of 0.8 or more are linked.
+SHINGLE_WORDS = 5
 SURROGATE_KEY = "tessella"
 SEQUENCE_TOKENS, END_ID = 4096, 2
 
@@ -38,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row of least doc_id stays."""
-    return simhash.drop_near_duplicates(docs, tau=DIFFERING_BITS, width=SHINGLE_WORDS)
+    return shingle_dedup.drop_near_duplicates(docs, SHINGLE_WORDS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL can express neither the network nor the fingerprints nor the tokenizer; tests compare with brute force.
+#: SQL can express neither the network nor the shingles nor the tokenizer; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -1,0 +1,169 @@
+"""Near copies by the exact Jaccard similarity of their word shingles.
+
+Two texts are linked exactly if the sets of their shingles (64-bit hashes) have a similarity of four
+fifths or more; groups are the connected components of these links. Candidates come from a prefix
+filter, which loses nothing: of two sets that similar, each has at least four fifths of its shingles in
+the other, so in any order common to all sets the first ``n - ceil(0.8 n) + 1`` shingles of both have
+one in common. The order puts shingles that are frequent in a bounded sample last; the sample only
+decides how many candidates there are, never which links are found. Sets that share a shingle of their
+prefixes are cut into blocks of bounded bytes, and pairs of blocks are compared whole; a tile returns a
+spanning forest of its links, not all pairs. Shared shingles with the same sets are compared once.
+
+Cases: a null or blank text has no shingles, and all such texts are one group; texts of fewer words than
+a shingle are one shingle; the row of least doc_id stays (a null one last, then by a hash of the text);
+rows repeated with equal id and text count once; an empty table gives an empty result; other columns
+pass through.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.common import blocks, join_skewed, materialize
+from tessella.llm.components import block_pairs, connected_components, tile_links
+
+#: Texts in the sample that orders the shingles, and the most shingles that it puts last.
+SAMPLE_TEXTS, MOST_FREQUENT = 20_000, 300_000
+#: Shingles of a block, and cells of a matrix multiplied at once.
+BLOCK_SHINGLES, CELLS = 1 << 17, 1 << 22
+
+
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of a whole text as sorted hashes (uint64)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, th, node, size, hashes)`` of every row; ``node`` is a hash of the set. A narrow map over whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in blocks([t or "" for t in texts]):
+                sets = [shingles_of(t, width).astype("<u8").tobytes() for t in texts[a:b]]
+                nodes = np.array([int.from_bytes(hashlib.md5(s).digest()[:8], "little", signed=True) for s in sets], np.int64)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(nodes), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())], ["doc_id", "th", "node", "size", "hashes"])
+
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, node bigint, size int, hashes binary")
+
+
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met more than once in a sample of bounded size, sorted, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column("hashes").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["key"])
+
+    rate = SAMPLE_TEXTS / max(sets.count(), SAMPLE_TEXTS)
+    drawn = sets.filter((F.col("size") > 0) & (F.pmod(F.xxhash64("node", "th"), F.lit(1 << 30)) < int(rate * (1 << 30)))).select("hashes")
+    counts = drawn.mapInArrow(run, "key bigint").groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
+    rows = counts.toArrow()
+    keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which one is in the prefix of every set of similarity 0.8 or more."""
+    often = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = np.where(frequent[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, often))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def _prefixes(sets: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``(key, node, size)``: a row for each shingle of each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [prefix(np.frombuffer(s, "<u8"), frequent, counts) for s in batch.column("hashes").to_pylist()]
+            if keys:
+                many = np.array([len(k) for k in keys])
+                columns = [np.concatenate(keys).view(np.int64), *(np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "size"))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size"])
+
+    return sets.filter("size > 0").select("node", "size", "hashes").mapInArrow(run, "key bigint, node bigint, size int")
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """Whether sets have a Jaccard similarity of 0.8 or more, for every pair of ``a`` and ``b`` (None: of ``a``)."""
+    every = a if b is None else [*a, *b]
+    sizes = np.array([len(s) for s in every], np.int64)
+    owner = np.repeat(np.arange(len(every)), sizes)
+    _, column, met = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    number = np.where(met > 1, np.cumsum(met > 1) - 1, -1)[column]  # shingles of one set only can be left out
+    rows, columns = owner[number >= 0], number[number >= 0]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    first = slice(0, len(a))
+    second = first if b is None else slice(len(a), len(every))
+    common = np.zeros((len(a), len(a if b is None else b)), np.int64)
+    step = max(1, CELLS // len(every))
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
+        x, y = np.searchsorted(columns, [at, at + step])
+        cells = np.zeros((len(every), step), np.float32) if len(columns) > step else np.zeros((len(every), min(step, int(columns[-1]) + 1)), np.float32)
+        cells[rows[x:y], columns[x:y] - at] = 1
+        common += (cells[first] @ cells[second].T).astype(np.int64)
+    if b is None:
+        np.fill_diagonal(common, sizes)  # a shingle of one set only counts for the set itself
+    return 9 * common >= 4 * (sizes[first][:, None] + sizes[second][None, :])
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links among the nodes of ``sets(node, size, hashes)`` that join all of similarity 0.8 or more."""
+    probes = materialize(_prefixes(sets, *frequent_shingles(sets)), "shingle-prefixes")
+    met = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix")]
+    keys = probes.groupBy("key").agg(*met, F.sum(F.col("size").cast("long")).alias("weight")).filter("low <> high")
+    keys = materialize(keys.groupBy("low", "high", "n", "mix", "weight").agg(F.min("key").alias("key")).select("key", "n", "weight"), "shingle-shared")
+    members = materialize(join_skewed(probes.select("key", "node"), keys, "key", "n").dropDuplicates(["key", "node"]), "shingle-members")
+    wanted = materialize(members.groupBy("node").agg(F.count("*").alias("uses")), "shingle-wanted")
+    whole = sets.join(wanted, "node").dropDuplicates(["node"]).select("node", "hashes", "uses")
+    dealt = join_skewed(members, materialize(whole, "shingle-whole"), "node", "uses")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packed = materialize(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("sets")), "shingle-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = lambda block: (np.array([x["node"] for x in block], np.int64), [np.frombuffer(x["hashes"], "<u8") for x in block])
+        for batch in batches:
+            for own, other in zip(batch.column("sets"), batch.column("other_sets")):
+                nodes, a = unpack(own.as_py())
+                more, b = unpack(other.as_py()) if other.is_valid else (np.zeros(0, np.int64), None)
+                i, j = tile_links(similar(a, b), b is None)
+                nodes = np.concatenate([nodes, more])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
+
+    return block_pairs(packed, ["key"], ["sets"]).mapInArrow(run, "a bigint, b bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a near copy before them in their group."""
+    sets = materialize(shingle_sets(docs, width), "shingle-sets", "lz4")
+    links = materialize(near_links(sets), "shingle-links")
+    found = materialize(connected_components(links), "shingle-components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = sets.groupBy("node").agg(F.min(rank).alias("least"), F.count("*").alias("copies"))
+    grouped = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = materialize(grouped.groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.th"), "shingle-kept")
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th"))
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__th": _text_hash()})
+    keys = ["__id", "__none", "__th"]
+    return rows.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).drop(*keys)

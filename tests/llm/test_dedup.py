@@ -219,3 +219,32 @@ def test_line_dedup(spark):
     for r in line_dedup.drop_repeated_lines(docs).collect():
         gone = set(want[r["doc_id"]])
         assert r["text"] == (texts[r["doc_id"]] if not gone else "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if k not in gone))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, small):
+    import corpus_pipeline
+    from tessella.llm import shingle_dedup
+
+    if small:  # many blocks, no sample and many matrices
+        monkeypatch.setattr(shingle_dedup, "BLOCK_SHINGLES", 300)
+        monkeypatch.setattr(shingle_dedup, "SAMPLE_TEXTS", 1)
+        monkeypatch.setattr(shingle_dedup, "CELLS", 64)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    r = random.Random(5)
+    for text in texts[:60]:
+        words = (text or "").split()
+        for _ in range(len(words) // r.choice([30, 50, 80])):
+            words[r.randrange(len(words))] = "edited"
+        texts.append(" ".join(words))
+    texts += near_texts(6, 20)
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = simhash.fingerprints_of(texts, 5, 42)
+    assert sum(int(fps[i] ^ fps[j]).bit_count() > 6 for i, j in links) > 5  # what 6 bits miss
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(closure(range(len(texts)), links).values()))
