@@ -26,8 +26,14 @@ SEQUENCE_TOKENS, END_ID = 4096, 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or no letter) go; a missing ``lang`` takes the predicted one."""
-    found = language.predict_language(docs, language.fit(docs)).filter(F.col("lang_pred") != language.UNDETERMINED)
+    """Texts that are null or without a letter go; a missing ``lang`` takes the predicted one.
+
+    Without a labelled row to learn from nothing is predicted: the same texts go, and ``lang`` stays.
+    """
+    net = language.fit(docs)
+    if net is None:
+        return docs.filter(language.has_letter(F.col("text")))
+    found = language.predict_language(docs, net).filter(F.col("lang_pred") != language.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,5 +241,10 @@ def predict_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.select(*(f"`{n}`" for n in names)).mapInArrow(run, schema)
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter (or a number that is no digit), as :data:`LETTER` finds it."""
+    return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+
+
 def fit(docs: DataFrame) -> ByteNet | None:
     return train(training_sample(docs))

@@ -158,3 +158,12 @@ def test_planted_values_go_and_other_rows_stay(spark):
         values = planted.findall(before[r["doc_id"]])
         assert not any(v in r["text"] for v in values)
         assert bool(values) == (r["n_entities"] > 0) and (values or r["text"] == before[r["doc_id"]])
+
+
+def test_language_stage_keeps_texts_without_any_label(spark):
+    import corpus_pipeline
+
+    rows = [(1, "clean words", None), (2, None, None), (3, "12 34 :", None), (4, "слово", None), (5, "", None), (None, "no id", None), (7, "x²", None), (8, "²", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted((r for r in rows if r[1] and language.LETTER.search(r[1])), key=str) and len(kept) == 5
