@@ -5,7 +5,10 @@ same case for letters, valid octets in addresses, check digits where the origina
 the same gender and script. Every distinct entity of the corpus gets one surrogate, so mentions that
 mean the same (a number with and without separators, an address in other case, a family name alone)
 still agree; a distributed check gives entities whose surrogates coincide with each other or with
-anything that really occurs another try, until all are distinct.
+anything that really occurs another try, until all are distinct. Formats with few values (a short number, an
+address of two letters) can run out of them: after some tries surrogates grow by a character a try. A
+secret of one repeated mark (``********``) hides nothing and stays; other secrets of marks only get other
+marks.
 
 Only texts with an entity are cut and put together again; all others pass unchanged and unshuffled.
 
@@ -50,8 +53,11 @@ ANY = "|".join(p for _, p in PATTERNS)
 #: What any entity but a name holds; most texts are passed by this cheap test.
 TRIGGER = "[0-9@=:]"
 _LETTERS, _CAPITALS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-#: Far above what collisions need; a guard against a value space that is used up.
-MOST_TRIES = 25
+_MARKS = "!#$%&*+-./?@^_~"
+#: A value of one mark, repeated.
+MASK = r"^([^\p{L}\p{N}])\1*$"
+#: Tries within the format of a value; each further one adds a character, :data:`MOST_ADDED` at most.
+TRIES_IN_FORMAT, MOST_ADDED = 5, 40
 #: What the pieces of entities are counted and joined by.
 ENTITY = ["kind", "canonical"]
 
@@ -115,7 +121,7 @@ def _chars(value: Column, keep: Column | None = None, hexadecimal: Column | None
 
     def one(ch: Column, i: Column) -> Column:
         first = (i == 0) | ~F.coalesce(F.get(chars, i - 1).rlike("[0-9]"), F.lit(False))
-        out = F.when(ch.rlike("^[0-9]$"), F.when(first, F.substr(F.lit("123456789"), F.pmod(_draw(i), F.lit(9)) + 1, F.lit(1))).otherwise(_pick("0123456789", i)))
+        out = F.when(ch.rlike(r"^\p{N}$"), F.when(first, F.substr(F.lit("123456789"), F.pmod(_draw(i), F.lit(9)) + 1, F.lit(1))).otherwise(_pick("0123456789", i)))
         out = out.when(ch.rlike(r"^\p{Ll}$"), _pick(_LETTERS, i)).when(ch.rlike(r"^\p{L}$"), _pick(_CAPITALS, i)).otherwise(ch)
         if hexadecimal is not None:
             out = F.when(hexadecimal & ch.rlike("^[0-9a-f]$"), _pick(_HEX, i)).otherwise(out)
@@ -124,6 +130,22 @@ def _chars(value: Column, keep: Column | None = None, hexadecimal: Column | None
     return F.array_join(F.transform(chars, one), "")
 
 
+def _marks(value: Column) -> Column:
+    """``value`` with each character replaced by a mark."""
+    return F.array_join(F.transform(F.split(value, ""), lambda ch, i: _pick(_MARKS, i)), "")
+
+
+def _added(letters: str) -> Column:
+    """The characters by which a surrogate outgrows its format; empty for the first tries."""
+    many = F.least(F.col("attempt") - TRIES_IN_FORMAT, F.lit(MOST_ADDED))
+    places = F.when(many > 0, F.sequence(F.lit(1), F.greatest(many, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(places, lambda j: _pick(letters, F.length("canonical") + j)), "")
+
+
+def is_mask() -> Column:
+    return (F.col("kind") == "secret") & F.col("canonical").rlike(MASK)
+
+
 def _luhn_sum(digits: Column, others: Column) -> Column:
     """Luhn sum of ``digits``; ``others``: 1 doubles every other digit from the last but one, 0 from the last."""
     values = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == others, F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 1)).otherwise(c.cast("int")))
@@ -141,7 +163,7 @@ def _card() -> Column:
 def _email() -> Column:
     """The last label of the domain stays."""
     last = F.substring_index("canonical", ".", -1)
-    return F.concat(_chars(F.substr("canonical", F.lit(1), F.length("canonical") - F.length(last))), last)
+    return F.concat(_added(_LETTERS), _chars(F.substr("canonical", F.lit(1), F.length("canonical") - F.length(last))), last)
 
 
 def _ip() -> Column:
@@ -164,7 +186,10 @@ def surrogate(key: str) -> Column:
     kept = F.when(F.col("canonical").rlike("^(?:AKIA|ASIA|gh[pousr]_)"), 4).otherwise(0)
     out = F.when(F.col("kind") == "email", _email()).when(F.col("kind") == "ip", _ip()).when(F.col("kind") == "card", _card())
     out = out.when(F.col("kind") == "iban", _chars(F.col("canonical"), keep=F.lit(2))).when(F.col("kind") == "key", _chars(F.col("canonical"), keep=kept, hexadecimal=hexadecimal))
-    out = out.when(F.col("kind").isin("secret", "ip6"), _chars(F.col("canonical"), hexadecimal=hexadecimal | (F.col("kind") == "ip6")))
+    out = out.when(is_mask(), F.col("canonical")).when((F.col("kind") == "secret") & ~F.col("canonical").rlike(r"[\p{L}\p{N}]"), F.concat(_marks(F.col("canonical")), _added(_MARKS)))
+    secret = F.concat(_chars(F.col("canonical"), hexadecimal=hexadecimal), F.when(hexadecimal, _added(_HEX)).otherwise(_added(_LETTERS)))
+    out = out.when(F.col("kind") == "secret", secret).when(F.col("kind") == "ip6", _chars(F.col("canonical"), hexadecimal=F.lit(True)))
+    out = out.when(F.col("kind") == "phone", F.concat(_chars(F.col("canonical")), _added("0123456789")))
     for script in SYLLABLES:
         for gender in "fmn":
             out = out.when(F.col("kind").isin(f"given-{gender}-{script}", f"family-{gender}-{script}"), _name(script, gender))
@@ -175,14 +200,14 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities(kind, canonical, ...)``, one row each, with ``surrogate``: distinct, and unlike all that occurs.
 
     Each round finds the surrogates held more than once, of which the least entity keeps its own, and
-    those that occur as entities; only these rows try again.
+    those that occur as entities; only these rows try again. Masks keep their value.
     """
     known = entities.select(F.lower("canonical").alias("taken")).distinct()
     rows = entities.withColumn("attempt", F.lit(0))
-    for _ in range(MOST_TRIES):
+    while True:
         drawn = materialize(rows.withColumn("stream", _stream(key)).withColumn("surrogate", surrogate(key)).drop("stream"), "pii-surrogates")
         taken = F.lower("surrogate")
-        first = drawn.groupBy(taken.alias("taken")).agg(F.min(F.struct(*ENTITY)).alias("first"), F.count("*").alias("n"))
+        first = drawn.filter(~is_mask()).groupBy(taken.alias("taken")).agg(F.min(F.struct(*ENTITY)).alias("first"), F.count("*").alias("n"))
         bad = first.filter("n > 1").select("taken", "first").unionByName(first.join(known, "taken", "left_semi").select("taken", F.lit(None).cast(first.schema["first"].dataType).alias("first")))
         bad = materialize(bad.groupBy("taken").agg(F.min("first").alias("first"), F.count("first").alias("firsts"), F.count("*").alias("n")), "pii-collisions")
         if not bad.head(1):
@@ -190,7 +215,6 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         joined = drawn.withColumn("taken", taken).join(bad, "taken", "left")
         again = F.col("n").isNotNull() & ((F.col("firsts") < F.col("n")) | (F.struct(*ENTITY) != F.col("first")))
         rows = joined.withColumn("attempt", F.col("attempt") + again.cast("int")).select(*rows.columns)
-    raise ValueError("too few surrogates of some kind and format for the distinct values found")
 
 
 def _rendered() -> Column:
@@ -198,8 +222,10 @@ def _rendered() -> Column:
     chars = F.split("value", "")
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
     source = lambda skip: F.aggregate(chars, start, lambda a, ch: F.when(ch.rlike(skip), F.struct(a["i"].alias("i"), F.concat(a["out"], ch).alias("out"))).otherwise(F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.substr("surrogate", a["i"] + 1, F.lit(1))).alias("out"))))["out"]
+    places = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    number = F.concat(source("[^0-9]"), F.substr("surrogate", places + 1, F.length("surrogate")))  # what outgrew the format comes last
     shouted = (F.col("value") == F.upper("value")) & F.col("kind").isin("email", "ip6")
-    return F.when(F.col("kind") == "title", F.col("value")).when(F.col("kind").isin("phone", "card", "ssn"), source("[^0-9]")).when(F.col("kind") == "iban", source(" ")).when(shouted, F.upper("surrogate")).otherwise(F.col("surrogate"))
+    return F.when(F.col("kind") == "title", F.col("value")).when(F.col("kind").isin("phone", "card", "ssn"), number).when(F.col("kind") == "iban", source(" ")).when(shouted, F.upper("surrogate")).otherwise(F.col("surrogate"))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

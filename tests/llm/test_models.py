@@ -167,3 +167,20 @@ def test_language_stage_keeps_texts_without_any_label(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.identify_language(spark, docs, "").collect()
     assert sorted(map(tuple, kept), key=str) == sorted((r for r in rows if r[1] and language.LETTER.search(r[1])), key=str) and len(kept) == 5
+
+
+def test_surrogates_of_masks_and_marks(spark):
+    rows = [(1, "password: ********"), (2, "pwd=........"), (3, "token={{}}{{}}"), (4, "secret: ١٢٣٤٥٦"), (5, "mail -@-.com now")]
+    found = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert found[1] == rows[0][1] and found[2] == rows[1][1]  # masks stay
+    assert re.fullmatch(r"token=[^\w\s\"']{8}|token=[^\s\"'A-Za-z0-9]{8}", found[3]) and found[3] != rows[2][1]
+    assert re.fullmatch(r"secret: [0-9]{6}", found[4]) and re.fullmatch(r"mail [a-z]+-@-\.com now", found[5])
+
+
+def test_small_spaces_are_widened(spark):
+    rows = [("phone", str(n), 1) for n in range(1000, 7000)] + [("email", f"{a}@{b}.com", 1) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwx"]
+    found = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string, mentions long"), "k").collect()
+    surrogates = [r["surrogate"] for r in found]
+    assert len(set(surrogates)) == len(rows) and not set(surrogates) & {r[1] for r in rows}
+    value = spark.createDataFrame([("phone", "12-34", "987651", 9)], "kind string, value string, surrogate string, attempt int")
+    assert value.select(pii._rendered()).first()[0] == "98-7651"
