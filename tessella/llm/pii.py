@@ -3,8 +3,8 @@
 Detected entities get keyed replacements of their own type and format: digits for digits, letters of the
 same case for letters, valid octets in addresses, check digits where the original has one, names with
 the same gender and script. Every distinct entity of the corpus gets one surrogate, so mentions that
-mean the same (a number with and without separators, an address in other case, a family name alone)
-still agree; a distributed check gives entities whose surrogates coincide with each other or with
+mean the same (a number with and without separators, an address in other case, a family name alone,
+with a title or, in a text that names the person in full or by title, without) still agree; a distributed check gives entities whose surrogates coincide with each other or with
 anything that really occurs another try, until all are distinct. Formats with few values (a short number, an
 address of two letters) can run out of them: after some tries surrogates grow by a character a try. A
 secret of one repeated mark (``********``) hides nothing and stays; other secrets of marks only get other
@@ -51,7 +51,7 @@ PATTERNS: list[tuple[str, str]] = [
 ]
 ANY = "|".join(p for _, p in PATTERNS)
 #: What any entity but a name holds; most texts are passed by this cheap test.
-TRIGGER = "[0-9@=:]"
+TRIGGER = "[0-9@=:]|AKIA|ASIA|gh[pousr]_|[a-f]{32}"
 _LETTERS, _CAPITALS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _MARKS = "!#$%&*+-./?@^_~"
 #: A value of one mark, repeated.
@@ -72,7 +72,15 @@ def _kind(mention: Column) -> Column:
     for kind, pattern in PATTERNS:
         hit = mention.rlike(f"^(?:{pattern})$")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("phone")
+    return out.when(mention.rlike(f"^{_NAME}$"), "name").otherwise("phone")  # a family name alone
+
+
+def entity_pattern(body: Column) -> Column:
+    """The pattern of a text's entities: all kinds, and the last words of the names in it wherever they stand alone."""
+    names = F.filter(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda m: m.rlike("^(?:%s)$" % dict(PATTERNS)["name"]))
+    last = F.array_distinct(F.transform(names, lambda m: F.substring_index(m, " ", -1)))
+    alone = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}]|\p{L}-)(?:"), F.array_join(last, "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
+    return F.when(F.size(last) > 0, alone).otherwise(F.lit(ANY))
 
 
 def _is_one_of(word: Column, words: list[str]) -> Column:
@@ -90,7 +98,7 @@ def mention_pieces(mentions: DataFrame) -> DataFrame:
     gender = F.when(_is_one_of(first, TITLES_F), "f").when(_is_one_of(first, TITLES_M), "m").otherwise("n")
     rows = split.withColumn("title", gender).select("hid", "pos", "whole", "title", F.size("words").alias("many"), F.posexplode("words").alias("at", "word"))
     script = F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    is_title = (F.col("at") == 0) & _is_one_of(F.col("word"), TITLES_F + TITLES_M + TITLES_N)
+    is_title = (F.col("at") == 0) & (F.col("many") > 1) & _is_one_of(F.col("word"), TITLES_F + TITLES_M + TITLES_N)
     given = F.when(F.col("word").isin(GIVEN_F), "f").when(F.col("word").isin(GIVEN_M), "m").when((F.col("many") == 3) & (F.col("at") == 1), F.col("title"))
     name_kind = F.when(is_title, "title").when(given.isNotNull(), F.concat(F.lit("given-"), given, F.lit("-"), script)).otherwise(F.concat(F.lit("family-n-"), script))
     lead = F.when(F.col("whole") == "secret", F.regexp_extract("word", r"^(?i:[a-z_-]+)[ ]?[=:][ ]?[\"']?", 0)).when(F.col("whole") == "phone", F.regexp_extract("word", r"^\+\d{1,3}[ .-]?", 0)).otherwise("")
@@ -236,7 +244,8 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     clean = rows.filter(~has_entity(body)).withColumns({"n_entities": F.lit(0).cast("long"), "entities": F.lit("{}")})
     others = [n for n in names if n != text]
     own = F.struct(*(F.col(f"`{n}`") for n in others)) if others else F.struct(F.lit(0).alias("none"))
-    hits = rows.filter(has_entity(body)).select(own.alias("row"), F.split(body, ANY, -1).alias("plain"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("mentions"))
+    hits = rows.filter(has_entity(body)).select(own.alias("row"), body.alias("body"), F.explode(F.array(entity_pattern(body))).alias("pattern"))
+    hits = hits.select("row", F.split("body", F.col("pattern"), -1).alias("plain"), F.regexp_extract_all("body", F.col("pattern"), F.lit(0)).alias("mentions"))
     hits = materialize(hits.withColumn("hid", F.monotonically_increasing_id()), "pii-hits")
     pieces = materialize(mention_pieces(hits.select("hid", F.posexplode("mentions").alias("pos", "mention"))), "pii-mentions")
     entities = pieces.filter("kind <> 'title'").groupBy(*ENTITY).agg(F.count("*").alias("mentions"))

@@ -184,3 +184,17 @@ def test_small_spaces_are_widened(spark):
     assert len(set(surrogates)) == len(rows) and not set(surrogates) & {r[1] for r in rows}
     value = spark.createDataFrame([("phone", "12-34", "987651", 9)], "kind string, value string, surrogate string, attempt int")
     assert value.select(pii._rendered()).first()[0] == "98-7651"
+
+
+def test_family_names_alone_agree(spark):
+    key, hexadecimal = "AKIA" + "ABCDEFGHIJKLMNOP", "abcdef" * 6
+    rows = [(1, "Mr John Smith came. Smith said that Smith's dog and Smithson left; Mrs Mary Jones-Hall met Jones-Hall, not Hall."), (2, "Smith alone is nobody known."), (3, f"A {key} of letters"), (4, f"and {hexadecimal} too"), (5, "Smith first, then Dr. Smith"), (6, "Mr Thomas met Thomas")]
+    found = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said that (\w+)'s dog and Smithson left; Mrs (\w+) (\w+) met (\w+), not Hall\.", found[1]["text"])
+    assert one and one[2] == one[3] == one[4] != "Smith" and one[6] == one[7] and found[1]["n_entities"] == 5 and found[1]["entities"] == '{"name":5}'
+    assert (found[2]["text"], found[2]["n_entities"]) == (rows[1][1], 0)
+    assert re.fullmatch(r"A AKIA[A-Z]{16} of letters", found[3]["text"]) and key not in found[3]["text"]
+    assert re.fullmatch(r"and [0-9a-f]{36} too", found[4]["text"]) and hexadecimal not in found[4]["text"]
+    assert found[5]["text"] == f"{one[2]} first, then Dr. {one[2]}"
+    six = re.fullmatch(r"Mr (\w+) met (\w+)", found[6]["text"])
+    assert six[1] == six[2] != "Thomas"
