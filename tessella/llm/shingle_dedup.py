@@ -6,8 +6,10 @@ filter, which loses nothing: of two sets that similar, each has at least four fi
 the other, so in any order common to all sets the first ``n - ceil(0.8 n) + 1`` shingles of both have
 one in common. The order puts shingles that are frequent in a bounded sample last; the sample only
 decides how many candidates there are, never which links are found. Sets that share a shingle of their
-prefixes are cut into blocks of bounded bytes, and pairs of blocks are compared whole; a tile returns a
-spanning forest of its links, not all pairs. Shared shingles with the same sets are compared once.
+prefixes are cut into blocks, and pairs of blocks are compared by their sizes and by parity tables, which
+bound the difference of two sets from below. A first round verifies one candidate of each set of a tile by
+the whole sets; a second one every pair that is then still in two components. Shared shingles with the
+same sets are compared once.
 
 Cases: a null or blank text has no shingles, and all such texts are one group; texts of fewer words than
 a shingle are one shingle; the row of least doc_id stays (a null one last, then by a hash of the text);
@@ -26,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import blocks, join_skewed, materialize
-from tessella.llm.components import block_pairs, connected_components, tile_links
+from tessella.llm.components import block_pairs, connected_components
 
 #: Texts in the sample that orders the shingles, and the most shingles that it puts last.
-SAMPLE_TEXTS, MOST_FREQUENT = 20_000, 300_000
-#: Shingles of a block, and cells of a matrix multiplied at once.
-BLOCK_SHINGLES, CELLS = 1 << 17, 1 << 22
+SAMPLE_TEXTS, MOST_FREQUENT = 10_000, 300_000
+#: Sets of a block, and cells of a parity table.
+BLOCK, PARITY_BITS = 512, 1024
 
 
 def shingles_of(text: str | None, width: int) -> np.ndarray:
@@ -48,31 +50,16 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, th, node, size, hashes)`` of every row; ``node`` is a hash of the set. A narrow map over whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in blocks([t or "" for t in texts]):
-                sets = [shingles_of(t, width).astype("<u8").tobytes() for t in texts[a:b]]
-                nodes = np.array([int.from_bytes(hashlib.md5(s).digest()[:8], "little", signed=True) for s in sets], np.int64)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(nodes), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())], ["doc_id", "th", "node", "size", "hashes"])
-
-    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, node bigint, size int, hashes binary")
-
-
-def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sample(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met more than once in a sample of bounded size, sorted, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.column("hashes").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["key"])
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(text.as_py(), width).view(np.int64))], ["key"])
 
-    rate = SAMPLE_TEXTS / max(sets.count(), SAMPLE_TEXTS)
-    drawn = sets.filter((F.col("size") > 0) & (F.pmod(F.xxhash64("node", "th"), F.lit(1 << 30)) < int(rate * (1 << 30)))).select("hashes")
+    rate = SAMPLE_TEXTS / max(docs.count(), SAMPLE_TEXTS)
+    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int(rate * (1 << 30))).select("text")
     counts = drawn.mapInArrow(run, "key bigint").groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
     rows = counts.toArrow()
     keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("count").to_numpy()
@@ -90,74 +77,132 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.n
     return hashes[np.lexsort((hashes, often))[: n - (4 * n + 4) // 5 + 1]]
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(key, node, size)``: a row for each shingle of each prefix."""
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether each cell of a small table is met an odd number of times; two sets differ in as many shingles at least as their tables do in cells."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1, bitorder="little").tobytes()
+
+
+def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, th, node, size, parity, prefix)`` of every row; ``node`` is a hash of the set. A narrow map over whole texts."""
+    frequent, counts = _sample(docs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in blocks([t or "" for t in texts]):
+                sets = [shingles_of(t, width) for t in texts[a:b]]
+                nodes = np.array([int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) for s in sets], np.int64)
+                prefixes = [prefix(s, frequent, counts).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                part = batch.slice(a, b - a)
+                columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "node", "size", "parity", "prefix"])
+
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, node bigint, size int, parity binary, prefix array<bigint>")
+
+
+def may_be_similar(a: tuple, b: tuple) -> np.ndarray:
+    """What sizes and parities of ``(nodes, components, sizes, parities)`` leave open, for every pair; never less than what is similar."""
+    total = a[2][:, None] + b[2][None, :]
+    out = 5 * np.minimum(a[2][:, None], b[2][None, :]) >= 4 * np.maximum(a[2][:, None], b[2][None, :])
+    i, j = np.nonzero(out & (a[1][:, None] != b[1][None, :]))
+    out[:] = False
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        out[x, y] = 9 * np.bitwise_count(a[3][x] ^ b[3][y]).sum(axis=1, dtype=np.int64) <= total[x, y]
+    return out
+
+
+def candidates(packed: DataFrame, every: bool) -> DataFrame:
+    """``(a, b)``: one candidate of each node of a tile that has any, or every pair of candidates."""
+    names = ["node", "component", "size", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unpack(block: pa.Scalar) -> tuple:
+            columns = [block.values.field(k) for k in range(4)]
+            return (*(c.to_numpy().astype(np.int64) for c in columns[:3]), np.frombuffer(b"".join(columns[3].to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64))
+
         for batch in batches:
-            keys = [prefix(np.frombuffer(s, "<u8"), frequent, counts) for s in batch.column("hashes").to_pylist()]
-            if keys:
-                many = np.array([len(k) for k in keys])
-                columns = [np.concatenate(keys).view(np.int64), *(np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "size"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size"])
-
-    return sets.filter("size > 0").select("node", "size", "hashes").mapInArrow(run, "key bigint, node bigint, size int")
-
-
-def similar(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
-    """Whether sets have a Jaccard similarity of 0.8 or more, for every pair of ``a`` and ``b`` (None: of ``a``)."""
-    every = a if b is None else [*a, *b]
-    sizes = np.array([len(s) for s in every], np.int64)
-    owner = np.repeat(np.arange(len(every)), sizes)
-    _, column, met = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    number = np.where(met > 1, np.cumsum(met > 1) - 1, -1)[column]  # shingles of one set only can be left out
-    rows, columns = owner[number >= 0], number[number >= 0]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    first = slice(0, len(a))
-    second = first if b is None else slice(len(a), len(every))
-    common = np.zeros((len(a), len(a if b is None else b)), np.int64)
-    step = max(1, CELLS // len(every))
-    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
-        x, y = np.searchsorted(columns, [at, at + step])
-        cells = np.zeros((len(every), step), np.float32) if len(columns) > step else np.zeros((len(every), min(step, int(columns[-1]) + 1)), np.float32)
-        cells[rows[x:y], columns[x:y] - at] = 1
-        common += (cells[first] @ cells[second].T).astype(np.int64)
-    if b is None:
-        np.fill_diagonal(common, sizes)  # a shingle of one set only counts for the set itself
-    return 9 * common >= 4 * (sizes[first][:, None] + sizes[second][None, :])
-
-
-def near_links(sets: DataFrame) -> DataFrame:
-    """``(a, b)``: links among the nodes of ``sets(node, size, hashes)`` that join all of similarity 0.8 or more."""
-    probes = materialize(_prefixes(sets, *frequent_shingles(sets)), "shingle-prefixes")
-    met = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix")]
-    keys = probes.groupBy("key").agg(*met, F.sum(F.col("size").cast("long")).alias("weight")).filter("low <> high")
-    keys = materialize(keys.groupBy("low", "high", "n", "mix", "weight").agg(F.min("key").alias("key")).select("key", "n", "weight"), "shingle-shared")
-    members = materialize(join_skewed(probes.select("key", "node"), keys, "key", "n").dropDuplicates(["key", "node"]), "shingle-members")
-    wanted = materialize(members.groupBy("node").agg(F.count("*").alias("uses")), "shingle-wanted")
-    whole = sets.join(wanted, "node").dropDuplicates(["node"]).select("node", "hashes", "uses")
-    dealt = join_skewed(members, materialize(whole, "shingle-whole"), "node", "uses")
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packed = materialize(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("sets")), "shingle-blocks")
+            for own, other in zip(batch.column("members"), batch.column("other_members")):
+                a = unpack(own)
+                b = unpack(other) if other.is_valid else a
+                open_ = may_be_similar(a, b)
+                if every:
+                    i, j = np.nonzero(open_)
+                    x, y = a[0][i], b[0][j]
+                else:
+                    i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                    x, y = np.concatenate([a[0][i], b[0][j]]), np.concatenate([b[0][open_[i].argmax(axis=1)], a[0][open_[:, j].argmax(axis=0)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    assert packed.schema["members"].dataType.elementType.names == names
+    return block_pairs(packed, ["key"], ["members"]).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _packed(buckets: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Buckets with members of more than one component, in blocks of their ``classes(node, component, size, parity, uses)``."""
+    members = buckets.select("key", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
+    dealt = join_skewed(members, classes, "node", "uses").drop("uses")
+    mixed = materialize(dealt.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("key", "rows"), f"{name}-mixed")
+    dealt = join_skewed(dealt, mixed, "key", "rows").drop("rows")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return materialize(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "size", "parity")).alias("members")), name)
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose whole sets have a similarity of 0.8 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = lambda block: (np.array([x["node"] for x in block], np.int64), [np.frombuffer(x["hashes"], "<u8") for x in block])
         for batch in batches:
-            for own, other in zip(batch.column("sets"), batch.column("other_sets")):
-                nodes, a = unpack(own.as_py())
-                more, b = unpack(other.as_py()) if other.is_valid else (np.zeros(0, np.int64), None)
-                i, j = tile_links(similar(a, b), b is None)
-                nodes = np.concatenate([nodes, more])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
+            keep = [len(x) > 0 and similar(x, y) for x, y in ((np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")) for p, q in zip(batch.column("x"), batch.column("y")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    uses = lambda c: materialize(pairs.groupBy(c).agg(F.count("*").alias("uses")).join(whole, F.col(c) == F.col("node")).select(c, "uses", F.col("hashes").alias("x" if c == "a" else "y")), f"shingle-whole-{c}")
+    joined = join_skewed(join_skewed(pairs, uses("a"), "a", "uses").drop("uses"), uses("b"), "b", "uses")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
 
-    return block_pairs(packed, ["key"], ["sets"]).mapInArrow(run, "a bigint, b bigint")
+def _whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(node, hashes)`` of the wanted nodes, from their texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles_of(t.as_py(), width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    texts = rows.join(wanted, "node").groupBy("node").agg(F.min("th").alias("th"))
+    found = docs.select("text", _text_hash().alias("th")).join(texts, "th").select("node", "text")
+    return found.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 9 * common >= 4 * (len(x) + len(y))
+
+
+def near_links(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(a, b)``: links among the nodes of ``rows`` that join all of similarity 0.8 or more."""
+    probes = rows.select("node", F.explode("prefix").alias("key")).repartition("key")
+    buckets = probes.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1)
+    buckets = materialize(materialize(buckets, "shingle-shared").groupBy("nodes").agg(F.min("key").alias("key")), "shingle-buckets")
+    uses = buckets.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("uses"))
+    classes = materialize(rows.select("node", "size", "parity").join(uses, "node").dropDuplicates(["node"]).select("node", F.col("node").alias("component"), "size", "parity", "uses"), "shingle-classes")
+    some = materialize(candidates(_packed(buckets, classes, "shingle-first"), False), "shingle-some")
+    wanted = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+    whole = materialize(_whole_sets(docs, rows, wanted, width), "shingle-whole")
+    links = materialize(_verified(some, whole), "shingle-links")
+    # every other candidate pair that these links have not joined already
+    found = materialize(connected_components(links), "shingle-joined").withColumnRenamed("component", "joined")
+    open_ = classes.join(wanted, "node").join(found, "node", "left").select("node", F.coalesce("joined", "component").alias("component"), "size", "parity", "uses")
+    rest = candidates(_packed(buckets, materialize(open_, "shingle-open"), "shingle-second"), True).join(some, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(materialize(rest, "shingle-rest"), whole))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a near copy before them in their group."""
-    sets = materialize(shingle_sets(docs, width), "shingle-sets", "lz4")
-    links = materialize(near_links(sets), "shingle-links")
+    sets = materialize(shingle_rows(docs, width), "shingle-rows")
+    links = materialize(near_links(docs, sets, width), "shingle-links")
     found = materialize(connected_components(links), "shingle-components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = sets.groupBy("node").agg(F.min(rank).alias("least"), F.count("*").alias("copies"))

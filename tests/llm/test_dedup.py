@@ -226,10 +226,10 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, small):
     import corpus_pipeline
     from tessella.llm import shingle_dedup
 
-    if small:  # many blocks, no sample and many matrices
-        monkeypatch.setattr(shingle_dedup, "BLOCK_SHINGLES", 300)
+    if small:  # many blocks, no sample and parities that leave much open
+        monkeypatch.setattr(shingle_dedup, "BLOCK", 2)
         monkeypatch.setattr(shingle_dedup, "SAMPLE_TEXTS", 1)
-        monkeypatch.setattr(shingle_dedup, "CELLS", 64)
+        monkeypatch.setattr(shingle_dedup, "PARITY_BITS", 64)
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(150).collect()]
     r = random.Random(5)
     for text in texts[:60]:
