@@ -10,6 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +91,17 @@ def blocks(texts: list, limit: int = TEXT_BLOCK_BYTES) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def column_blocks(texts: pa.Array, limit: int = TEXT_BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """:func:`blocks` of an Arrow column, by its texts' bytes; nulls count as empty."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = int(sizes[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield start, stop
+        start = stop
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4; remainder 2 is held out of all learning."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, join_skewed, materialize, running_total
+from tessella.llm.common import column_blocks, join_skewed, materialize, running_total
 from tessella.llm.word_tokens import word_encoder
 
 #: Tokens of a window: the span over which the mixture is held.
@@ -38,9 +38,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, columns: list[str]
         encoder = word_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in blocks(texts):
-                ids, ends = encoder.encode(texts[a:b])
+            for a, b in column_blocks(batch.column("text")):
+                ids, ends = encoder.encode(batch.column("text").slice(a, b - a))
                 data, step = ids.tobytes(), encoder.dtype.itemsize
                 starts = np.concatenate([[0], ends[:-1]])
                 part = batch.slice(a, b - a)

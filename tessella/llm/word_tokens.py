@@ -2,19 +2,24 @@
 
 The vocabularies meant here (``word_bpe``) drop white space, lower-case, and split text at it before
 anything else, and neither Unicode composition nor lower-casing reaches across an ASCII blank; so
-the ids of a text are the ids of its lower-cased, blank-separated words in a row. A task keeps the ids of the words it has met (bounded) and sends
+the ids of a text are the ids of its lower-cased, blank-separated words in a row. Arrow splits a block
+of texts and finds its distinct words; a task keeps the ids of the words it has met (bounded) and sends
 only new words to the library, many in one call with a separator whose single id stands for nothing
-else.
+else. A text that holds a special string (``<|endoftext|>``) goes to the library as a whole, and so does
+every text if the file's settings are others than :data:`SETTINGS`.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a task remembers; beyond this it forgets those met once, or all if too many are left.
 MAX_WORDS = 300_000
@@ -22,6 +27,20 @@ MAX_WORDS = 300_000
 JOINED = 256
 #: A control character that forms a word and a token by itself.
 SEPARATOR = "\x01"
+# The settings of a tokenizer file under which words may be encoded apart.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 #: ASCII marks that form one token piece of their own behind a letter or digit, so the word before them
 #: is shared. The apostrophe is left out: it starts contractions.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,8 +75,13 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        added = settings.get("added_tokens") or []
+        self.by_words = all(settings.get(k) == v for k, v in SETTINGS.items()) and settings["model"]["type"] == "BPE" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.special = [t["content"] for t in added]
         ids = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
         self.model, self.letters = self.tokenizer.model, byte_letters()
@@ -96,7 +120,7 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Splits new words into pieces and encodes those that are new too."""
         known = len(self.pieces)
-        stems, marks = zip(*map(cut_marks, words))
+        stems, marks = zip(*(cut_marks(w) if w[-1] in MARKS else (w, None) for w in words))
         number = self.pieces.__getitem__
         first = np.fromiter(map(number, stems), np.int64, len(words))
         second = np.fromiter((-1 if m is None else number(m) for m in marks), np.int64, len(words))
@@ -111,9 +135,7 @@ class WordEncoder:
         self.word_ids = np.concatenate([self.word_ids, ids.astype(self.dtype)])
 
     def _as_letters(self, word: bytes) -> str | None:
-        """What the model gets for a word of lower-case letters that the normaliser leaves as it is."""
-        if word.isascii():
-            return word.decode() if word.isalpha() else None
+        """What the model gets for a word of lower-case letters, not all ASCII, that the normaliser leaves as it is."""
         text = word.decode()
         if text.isalpha() and max(text) < "\u0530" and text.lower() == text and unicodedata.is_normalized("NFC", text):
             return word.decode("latin-1").translate(self.letters)
@@ -125,18 +147,24 @@ class WordEncoder:
         Words of plain letters are one piece for the library's splitter and unchanged by its
         normaliser, so they go to its model at once; the rest goes through the whole tokenizer.
         """
-        tokenize, plain, known_ids, counts = self.model.tokenize, [], [], []
+        tokenize, known_ids, counts = self.model.tokenize, [], []
+        texts = pa.array(words, pa.binary()).cast(pa.string())
+        ascii_letters = pc.match_substring_regex(texts, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        plain, letters = np.flatnonzero(ascii_letters).tolist(), texts.filter(pa.array(ascii_letters)).to_pylist()
         joined, alone = [], []
-        for i, word in enumerate(words):
-            if (text := self._as_letters(word)) is not None:
-                ids = [t.id for t in tokenize(text)]
+        for i in np.flatnonzero(~ascii_letters).tolist():
+            word = words[i]
+            if word[0] > 57 and (text := self._as_letters(word)) is not None:
                 plain.append(i)
-                counts.append(len(ids))
-                known_ids += ids
+                letters.append(text)
             elif self.separator is None or SEPARATOR.encode() in word:
                 alone.append(i)
             else:
                 joined.append(i)
+        for text in letters:
+            ids = [t.id for t in tokenize(text)]
+            counts.append(len(ids))
+            known_ids += ids
         lengths = np.zeros(len(words), np.int64)
         batches = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
         texts = [f" {SEPARATOR} ".join([words[i].decode() for i in b]) + f" {SEPARATOR}" for b in batches]
@@ -157,21 +185,42 @@ class WordEncoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, *parts])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (of ``dtype``) and the ends of the texts' ids; null counts as empty."""
-        words = [(t or "").encode().lower().split() for t in texts]
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        whole = np.full(len(texts), not self.by_words)
+        for content in self.special if self.by_words else []:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode_words(texts)
+        ids, ends = self._encode_words(pc.if_else(pa.array(whole), "", texts))
+        alone = np.flatnonzero(whole)
+        found = self.whole.encode_batch_fast(texts.take(pa.array(alone)).to_pylist(), add_special_tokens=False)
+        parts = np.split(ids, ends[:-1])
+        for i, x in zip(alone.tolist(), found):
+            parts[i] = np.array(x.ids, self.dtype)
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > MAX_WORDS:
             self._forget_rare()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        filled = pc.not_equal(pc.binary_length(flat), 0)  # a blank at either end gives an empty word
+        upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[np.cumsum(sizes)]
+        coded = flat.filter(filled).dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         known = len(self.index)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if len(self.index) > known:
             self._learn(list(itertools.islice(self.index, known, None)))
-        counted = np.bincount(at, minlength=len(self.index))
-        counted[: len(self.uses)] += self.uses
+        used = coded.indices.to_numpy()
+        counted = np.zeros(len(self.index), np.int64)
+        counted[: len(self.uses)] = self.uses
+        counted[number] += np.bincount(used, minlength=len(words))
         self.uses = counted
-        ids, ends = ragged_take(self.word_ids, self.word_starts, self.word_lengths, at)
-        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+        ids, ends = ragged_take(self.word_ids, self.word_starts, self.word_lengths, number[used])
+        return ids, np.concatenate([[0], ends])[upto]
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
