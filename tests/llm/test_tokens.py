@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import shutil
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -17,7 +19,7 @@ from tessella.llm import byte_bpe, packing, token_store
 from tessella.llm.word_tokens import WordEncoder, cut_marks
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
-TEXTS = ["", " \n\t ", "Hello  world's end... 12.5% of it!", "straße ÉTÉ naïve İstanbul ΟΔΟΣ ς", "a.b.c!!! *** word*** é!! İ-", "日本語テキスト。 русский 😀👍🏽", "<|endoftext|> x", "a\x01b \x01", "x" * 5000, "ab " * 4000, "\n".join(["same line here"] * 30)]
+TEXTS = ["", " \n\t ", "Hello  world's end... 12.5% of it!", "straße ÉTÉ naïve İstanbul ΟΔΟΣ ς", "a.b.c!!! *** word*** é!! İ-", "日本語テキスト。 русский 😀👍🏽", "<|endoftext|> x", "é<|startoftext|><|endoftext|>A b<|EndOfText|>", "a\x01b \x01", "x" * 5000, "ab " * 4000, "\n".join(["same line here"] * 30)]
 
 
 def mixed(n=200, seed=1):
@@ -30,9 +32,7 @@ def mixed(n=200, seed=1):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)  # as the library gives it: special strings in a text get their ids
 
 
 def docs_frame(spark, texts):
@@ -130,14 +130,50 @@ def test_store_round_trip(spark, tokenizer):
     assert keys.count() == keys.select("key").distinct().count()
 
 
-def test_damage_is_found(spark):
-    docs = spark.createDataFrame([(1, "some words here"), (2, "other words")], "doc_id long, text string")
-    folder = token_store.write_store(docs, WORDS, 1)
-    broken = f"{folder}-broken"
-    objects = spark.read.parquet(f"{folder}/objects").withColumn("ids", F.when(F.col("kind") == "chunk", F.concat("ids", F.lit(b"\x01\x00"))).otherwise(F.col("ids")))
-    objects.write.partitionBy("kind").parquet(f"{broken}/objects")
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{broken}/recipes")
-    with pytest.raises(Exception, match="damaged"):
+@pytest.fixture(scope="module")
+def store(spark):
+    docs = spark.createDataFrame([(i, f"some words here {i} " + "and more " * 100 * (i % 3)) for i in range(300)], "doc_id long, text string")
+    return token_store.write_store(docs.repartition(4), WORDS, 1)
+
+
+DAMAGE = {
+    "chunk bytes": ("objects", lambda d: d.withColumn("ids", F.when((F.col("kind") == "chunk"), F.concat("ids", F.lit(b"\x01\x00"))).otherwise(F.col("ids"))), "damaged"),
+    "missing chunk": ("objects", lambda d: d.filter((F.col("kind") != "chunk") | (F.hex("key").substr(1, 1) != "A")), "missing"),
+    "missing recipe": ("recipes", lambda d: d.filter("doc_id <> 17"), "differ"),
+    "sizes": ("recipes", lambda d: d.withColumn("sizes", F.expr("unhex(replace(hex(sizes), '0000000', '0000001'))")), "differ"),
+    "n_tokens": ("recipes", lambda d: d.withColumn("n_tokens", F.expr("n_tokens + if(doc_id = 7, 7, 0)")), "differ"),
+    "doc_id": ("recipes", lambda d: d.withColumn("doc_id", F.col("doc_id") + 1000), "differ"),
+    "start": ("recipes", lambda d: d.withColumn("start", F.col("start") + 1), "differ"),
+    "manifest": ("manifest", lambda d: d.filter("block < 0"), "differ"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(DAMAGE))
+def test_damage_is_found(spark, store, tmp_path, kind):
+    table, change, message = DAMAGE[kind]
+    broken = str(tmp_path / "store")
+    shutil.copytree(store, broken)
+    shutil.rmtree(f"{broken}/{table}")
+    changed = change(spark.read.parquet(f"{store}/{table}")).withColumn("__file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    for file in [r[0] for r in changed.select("__file").distinct().collect()]:  # each file keeps its name
+        rows = changed.filter(F.col("__file") == file).drop("__file")
+        (rows.write.partitionBy("kind") if table == "objects" else rows.coalesce(1).write).parquet(f"{tmp_path}/{file}")
+        for part in Path(f"{tmp_path}/{file}").rglob("part-*"):
+            target = Path(broken, table, part.relative_to(f"{tmp_path}/{file}").parent)
+            target.mkdir(parents=True, exist_ok=True)
+            shutil.copy(part, target / (file if table != "objects" else part.name))
+    Path(broken, table).mkdir(exist_ok=True)
+    for read in (token_store.verify_documents, token_store.read_documents):
+        with pytest.raises(Exception, match=message):
+            read(spark, broken).collect()
+
+
+def test_lost_recipe_file_is_found(spark, store, tmp_path):
+    broken = str(tmp_path / "store")
+    shutil.copytree(store, broken)
+    assert token_store.verify_documents(spark, broken).count() == 300
+    next(Path(broken, "recipes").glob("part-*")).unlink()
+    with pytest.raises(Exception, match="differ"):
         token_store.verify_documents(spark, broken).collect()
 
 
@@ -151,11 +187,15 @@ def test_crc_of_parts():
 def test_cut_points_follow_content():
     r = np.random.default_rng(2)
     ids = r.integers(0, 49000, 20000).astype("<u2")
-    ends = token_store.cut_points(ids)
+    ends = np.array(token_store.stream_cuts(ids, np.array([len(ids)]))[0])
     sizes = np.diff(ends, prepend=0)
     assert sizes.sum() == len(ids) and (sizes[:-1] >= token_store.LEAST_IDS).all() and (sizes <= token_store.MOST_IDS).all()
-    moved = token_store.cut_points(np.concatenate([ids[:50], ids]))
+    moved = np.array(token_store.stream_cuts(np.concatenate([ids[:50], ids]), np.array([len(ids) + 50]))[0])
     assert len(set((moved - 50).tolist()) & set(ends.tolist())) > len(ends) * 0.8
+    # documents of one stream are cut as each would be alone
+    bounds = np.array([3, 3, 5000, 5100, 12345, len(ids)])
+    alone = [token_store.stream_cuts(ids[a:b], np.array([b - a]))[0] for a, b in zip([0, *bounds[:-1]], bounds)]
+    assert token_store.stream_cuts(ids, bounds) == alone
 
 
 def test_merkle_root_depends_on_order():
