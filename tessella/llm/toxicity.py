@@ -195,7 +195,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 def isotonic(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps by pool adjacent violators: the margins where steps lie and their smoothed rates."""
-    order = np.argsort(margins, kind="stable")
+    order, rate = np.argsort(margins, kind="stable"), y.mean()
+    smoothed = lambda pool: (pool[0] + rate) / (pool[1] + 1)
     pools: list[list[float]] = []  # sum of labels, rows, mean margin
     for m, v in zip(margins[order].tolist(), y[order].tolist()):
         pools.append([v, 1, m])
@@ -204,8 +205,14 @@ def isotonic(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
             top = pools[-1]
             top[2] = (top[2] * top[1] + at * n) / (top[1] + n)
             top[0], top[1] = top[0] + s, top[1] + n
-    rate = y.mean()
-    return np.array([p[2] for p in pools]), np.array([(p[0] + rate) / (p[1] + 1) for p in pools])
+    rising: list[list[float]] = []  # a small pool is drawn further towards the mean, so the smoothed rates are pooled again
+    for pool in pools:
+        rising.append(pool)
+        while len(rising) > 1 and smoothed(rising[-2]) >= smoothed(rising[-1]):
+            s, n, at = rising.pop()
+            top = rising[-1]
+            rising[-1] = [top[0] + s, top[1] + n, (top[2] * top[1] + at * n) / (top[1] + n)]
+    return np.array([p[2] for p in rising]), np.array([smoothed(p) for p in rising])
 
 
 @dataclass
@@ -240,7 +247,8 @@ def fit_model(rows: list[tuple[int, list[float]]], lexicon: Lexicon, folds: int
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
     """``(doc_id, text, toxic)`` of at most ``bound`` labelled rows outside the held-out fold, stored.
 
-    Half the bound goes to each label first; rows are drawn by a hash of the id.
+    Half the bound goes to each label first; rows are drawn by a hash of the id. Of several rows of one id
+    the one whose text comes first counts, so no more than ``bound`` rows are stored and collected.
     """
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 2)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -250,8 +258,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, 0.95 * room[1] / max(counts.get(1, 0), 1)))).otherwise(F.lit(min(1.0, 0.95 * room[0] / max(counts.get(0, 0), 1))))
     if counts.get(1, 0) <= bound // 2:
         rate = F.when(F.col("toxic") == 1, F.lit(1.0)).otherwise(rate)
-    chosen = known.filter(drawn < rate).limit(bound)  # the bound is proven by this limit, so the join may broadcast
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-training")
+    chosen = known.filter(drawn < rate).orderBy(drawn, "doc_id").limit(bound)  # the bound is proven by this limit, so the join may broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(rows, "toxicity-training")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
