@@ -13,27 +13,26 @@ window in bounded blocks; repeated rows get equal predictions; without any label
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import blocks, fold
+from tessella.llm.common import blocks, fold, materialize
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 SYMBOLS = 128
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
-#: Bounds of the training sample: languages (the most frequent), texts a language, characters a text.
-MOST_LANGUAGES, TEXTS_A_LANGUAGE, SAMPLE_CHARS = 200, 600, 512
-STEPS, BATCH = 320, 48
+#: Bounds of the training sample: texts a language, texts of all languages (but one of each at least), characters a text.
+TEXTS_A_LANGUAGE, SAMPLE_TEXTS, SAMPLE_CHARS = 600, 120_000, 512
+#: Steps of training at least, and for each language; windows of a step.
+STEPS, STEPS_A_LANGUAGE, BATCH = 320, 40, 48
 #: Windows scored at once.
 WINDOWS_AT_ONCE = 512
 
@@ -128,7 +127,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> ByteNet | None:
     classes = np.array([languages.index(lang) for lang, _ in samples])
     by_class = [np.flatnonzero(classes == c) for c in range(len(languages))]
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
-    for step in range(1, STEPS + 1):
+    steps = max(STEPS, STEPS_A_LANGUAGE * len(languages))
+    for step in range(1, steps + 1):
         y = r.integers(0, len(languages), BATCH)  # classes in equal parts
         x = np.zeros((BATCH, WINDOW), np.uint8)
         for i, c in enumerate(y):
@@ -137,7 +137,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> ByteNet | None:
             at = int(r.integers(0, len(text) - size + 1))
             x[i, :size] = text[at : at + size]
         _, grads = gradients(net, x, y)
-        rate = 0.01 * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(net.parameters(), grads, first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -181,7 +181,7 @@ class PairTables:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         languages, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
         if not known:
             return languages, scores
         data = [np.frombuffer(texts[i].encode("utf-8", "replace"), np.uint8) for i in known]
@@ -207,19 +207,23 @@ class PairTables:
 def training_sample(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE) -> list[tuple[str, str]]:
     """A bounded sample ``(lang, part of a text)`` from labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of their id, at a rate that each language's count sets; at most
-    ``MOST_LANGUAGES * texts_a_language`` parts of ``SAMPLE_CHARS`` characters reach the driver.
+    Rows are chosen by a hash of their id, at a rate that each language's count sets, and each language has
+    one row at least. No language is left out; about 1.3 times ``SAMPLE_TEXTS`` parts of ``SAMPLE_CHARS``
+    characters reach the driver at most, or one a language where there are more languages than that.
     """
     labelled = docs.filter((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    labelled = labelled.filter(has_letter(F.col("text")))
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(_draw()).alias("least")), "language-counts")
+    many = counts.count()
+    if not many:
         return []
+    wanted = max(1, min(texts_a_language, SAMPLE_TEXTS // many))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     part = labelled.select("lang", "doc_id", F.substr("text", place, F.lit(SAMPLE_CHARS)).alias("part"))
-    rates = part.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * texts_a_language / r["count"])) for r in counts], "lang string, rate double")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
-    chosen = part.join(F.broadcast(rates), "lang").filter(drawn < F.col("rate")).filter(F.col("part").rlike(r"\p{L}"))
-    rows = chosen.select("lang", "part", "doc_id").limit(2 * MOST_LANGUAGES * texts_a_language).collect()
+    rates = counts.select("lang", F.greatest(F.least(F.lit(1.0), 1.3 * wanted / F.col("count")), F.col("least")).alias("rate"))
+    chosen = part.join(F.broadcast(rates) if many <= SAMPLE_TEXTS else rates, "lang").filter(_draw() <= F.col("rate")).filter(has_letter(F.col("part")))
+    ranked = chosen.select("lang", "part", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(_draw(), "doc_id", "part")).alias("rank"))
+    rows = ranked.filter(F.col("rank") <= int(1.3 * wanted) + 1).collect()
     return [(r["lang"], r["part"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["part"]))]
 
 
@@ -242,8 +246,13 @@ def predict_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
 
 def has_letter(text: Column) -> Column:
-    """Whether a text has a letter (or a number that is no digit), as :data:`LETTER` finds it."""
-    return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+    """Whether a text has a letter; numbers of any form are none."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def _draw() -> Column:
+    """A number from 0 to 1 from a row's id."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
 
 
 def fit(docs: DataFrame) -> ByteNet | None:
