@@ -1,7 +1,7 @@
 """Surrogates for personal data. DataFrame operations only.
 
 Detected entities get keyed replacements of their own type and format: digits for digits, letters of the
-same case for letters, valid octets in addresses, check digits where the original has one, names with
+same case for letters, dates for dates of birth, valid octets in addresses, check digits where the original has one, names with
 the same gender and script. Every distinct entity of the corpus gets one surrogate, so mentions that
 mean the same (a number with and without separators, an address in other case, a family name alone,
 with a title or, in a text that names the person in full or by title, without) still agree; a distributed check gives entities whose surrogates coincide with each other or with
@@ -20,7 +20,9 @@ all other columns pass through (``n_entities`` and ``entities`` replace columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import join_skewed, materialize
@@ -46,7 +48,8 @@ PATTERNS: list[tuple[str, str]] = [
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("card", r"(?<![\d-])(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"),
+    ("birth", r"(?<!\p{L})(?i:born(?: on)?|date of birth|dob|birthday|geboren(?: am)?|geburtsdatum|née? le|nacid[oa] el)[ ]?[:=]?[ ]?(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)"),
+    ("phone", r"(?<![\p{L}\p{N}+])(?:0\d{2,4}[ ]\d{3,4}[ ]\d{3,4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"),
     ("name", r"(?<![\p{L}\p{N}])(?:(?:%s)\.?[ ]%s(?:[ ]%s)?|(?:%s)[ ]%s)(?!\p{L})" % ("|".join(TITLES_F + TITLES_M + TITLES_N), _NAME, _NAME, "|".join(GIVEN_F + GIVEN_M), _NAME)),
 ]
 ANY = "|".join(p for _, p in PATTERNS)
@@ -62,6 +65,19 @@ TRIES_IN_FORMAT, MOST_ADDED = 5, 40
 ENTITY = ["kind", "canonical"]
 
 
+#: The session's setting that holds the key.
+KEY_SETTING = "tessella.surrogates.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets; where none is set, a random one that holds for this session only."""
+    key = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def has_entity(text: Column) -> Column:
     others = "|".join(p for kind, p in PATTERNS if kind != "name")
     return F.coalesce((text.rlike(TRIGGER) & text.rlike(others)) | text.rlike(dict(PATTERNS)["name"]), F.lit(False))
@@ -101,7 +117,7 @@ def mention_pieces(mentions: DataFrame) -> DataFrame:
     is_title = (F.col("at") == 0) & (F.col("many") > 1) & _is_one_of(F.col("word"), TITLES_F + TITLES_M + TITLES_N)
     given = F.when(F.col("word").isin(GIVEN_F), "f").when(F.col("word").isin(GIVEN_M), "m").when((F.col("many") == 3) & (F.col("at") == 1), F.col("title"))
     name_kind = F.when(is_title, "title").when(given.isNotNull(), F.concat(F.lit("given-"), given, F.lit("-"), script)).otherwise(F.concat(F.lit("family-n-"), script))
-    lead = F.when(F.col("whole") == "secret", F.regexp_extract("word", r"^(?i:[a-z_-]+)[ ]?[=:][ ]?[\"']?", 0)).when(F.col("whole") == "phone", F.regexp_extract("word", r"^\+\d{1,3}[ .-]?", 0)).otherwise("")
+    lead = F.when(F.col("whole") == "secret", F.regexp_extract("word", r"^(?i:[a-z_-]+)[ ]?[=:][ ]?[\"']?", 0)).when(F.col("whole") == "birth", F.regexp_extract("word", r"^\P{N}*", 0)).when(F.col("whole") == "phone", F.regexp_extract("word", r"^\+\d{1,3}[ .-]?", 0)).otherwise("")
     pieces = rows.withColumn("kind", F.when(F.col("whole") == "name", name_kind).otherwise(F.col("whole"))).withColumn("lead", lead)
     pieces = pieces.withColumn("value", F.substr("word", F.length("lead") + 1))
     canonical = F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace("value", r"\D", "")).when(F.col("kind").isin("email", "ip6"), F.lower("value")).when(F.col("kind") == "iban", F.regexp_replace("value", " ", "")).otherwise(F.col("value"))
@@ -188,6 +204,16 @@ def _name(script: str, gender: str) -> Column:
     return F.initcap(F.concat(F.array_join(more, ""), ending))
 
 
+def _birth() -> Column:
+    """A date in the same form; where dates run short the year grows by digits."""
+    c = F.col("canonical")
+    day, month = 1 + F.pmod(_draw(F.lit(0)), F.lit(28)), 1 + F.pmod(_draw(F.lit(4)), F.lit(12))
+    year = F.concat((1930 + F.pmod(_draw(F.lit(8)), F.lit(75))).cast("string"), _added("0123456789"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    iso, mark = c.rlike(r"^\d{4}-"), F.regexp_extract(c, r"^\d+(\D)", 1)
+    return F.when(iso, F.concat_ws("-", year, two(month), two(day))).otherwise(F.concat(two(day), mark, two(month), mark, year))
+
+
 def surrogate(key: str) -> Column:
     """The replacement of a row's ``canonical`` at its ``attempt``, from the column ``stream``."""
     hexadecimal = F.col("canonical").rlike("^[0-9a-f]+$")
@@ -197,7 +223,7 @@ def surrogate(key: str) -> Column:
     out = out.when(is_mask(), F.col("canonical")).when((F.col("kind") == "secret") & ~F.col("canonical").rlike(r"[\p{L}\p{N}]"), F.concat(_marks(F.col("canonical")), _added(_MARKS)))
     secret = F.concat(_chars(F.col("canonical"), hexadecimal=hexadecimal), F.when(hexadecimal, _added(_HEX)).otherwise(_added(_LETTERS)))
     out = out.when(F.col("kind") == "secret", secret).when(F.col("kind") == "ip6", _chars(F.col("canonical"), hexadecimal=F.lit(True)))
-    out = out.when(F.col("kind") == "phone", F.concat(_chars(F.col("canonical")), _added("0123456789")))
+    out = out.when(F.col("kind") == "birth", _birth()).when(F.col("kind") == "phone", F.concat(_chars(F.col("canonical")), _added("0123456789")))
     for script in SYLLABLES:
         for gender in "fmn":
             out = out.when(F.col("kind").isin(f"given-{gender}-{script}", f"family-{gender}-{script}"), _name(script, gender))
