@@ -6,6 +6,7 @@ Intermediate tables go to the folder named by ``spark.checkpoint.dir`` so that e
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,10 +41,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that :func:`materialize` writes within; what is read from them must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for paths in _OPEN[-1:]:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,5 +130,16 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
+def held_out() -> Column:
+    """Whether a row is held out of learning; a row without an id is not, but nothing is learned from it either."""
+    return F.coalesce(fold() == 2, F.lit(False)).alias("held_out")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a passing column that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{name}{k}" for k in ["", *range(len(taken) + 1)]) if n not in taken)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_skewed, materialize
+from tessella.llm.common import free_name, join_skewed, materialize
 
 #: ASCII white space, as a Java character class.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -58,10 +58,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; of rows repeated with one id and text, one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__text", F.sha2(normalised().cast("binary"), 256))
-    rows = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    id_, own, sha = (free_name(docs, n) for n in ("id", "own", "sha"))
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumn(own, F.sha2(normalised().cast("binary"), 256))
+    rows = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).drop(own)
 
 
 ORACLE_SQL = r"""

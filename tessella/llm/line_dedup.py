@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_skewed, materialize, running_total
+from tessella.llm.common import free_name, join_skewed, materialize, running_total
 
 #: Words of the shortest lines that are compared by edits: one of five words is a fifth.
 LEAST_WORDS = 5
@@ -137,11 +137,12 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all columns, without the lines that repeat an earlier one."""
-    by_row = line_decisions(docs).filter(F.size("dropped_lines") > 0).dropDuplicates(["did", "th"]).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("dropped_lines").alias("__gone"))
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__th": F.xxhash64(F.coalesce(text, F.lit("")))})
-    joined = rows.join(by_row, ["__did", "__th"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    did, th, gone = (free_name(docs, n) for n in ("did", "th", "gone"))
+    by_row = line_decisions(docs).filter(F.size("dropped_lines") > 0).dropDuplicates(["did", "th"]).select(F.col("did").alias(did), F.col("th").alias(th), F.col("dropped_lines").alias(gone))
+    rows = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), th: F.xxhash64(F.coalesce(text, F.lit("")))})
+    joined = rows.join(by_row, [did, th], "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

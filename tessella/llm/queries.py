@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, line_dedup, packing, pii, simhash, token_store, toxicity
-from tessella.llm.common import fold, read_table
+from tessella.llm.common import held_out, read_table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,15 +45,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
-
-
-#: The key of the surrogates in the query; a user passes a secret one.
-SURROGATE_KEY = "tessella"
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    replaced = pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return replaced.select("doc_id", "n_entities", "entities", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -64,7 +60,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "text", (fold() == 2).alias("held_out"))
+    rows = docs.select("doc_id", "text", held_out())
     return language.predict_language(rows, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -33,6 +33,8 @@ def awkward(spark, tmp_path_factory):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     for extra in ("n_chars", "count", "key", "rid", "fp", "label"):
         docs = docs.selectExpr("*", f"1L as {extra}")
+    for extra in ("score", "lang_pred", "n_entities", "entities", "__text", "__id", "rest"):
+        docs = docs.selectExpr("*", f"concat('own ', doc_id) as {extra}")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (1, 1, None), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (2, None, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
@@ -75,8 +77,9 @@ def test_pipeline_stages(spark, awkward):
     columns, kept = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, awkward), name)
-        assert docs.columns == columns
+        assert docs.columns == columns and docs.filter("score <> concat('own ', doc_id) or lang_pred <> score or n_entities <> score or entities <> score or __text <> score or rest <> score").count() == 0
         kept.append(docs.count())
     assert kept == [10, 6, 4, 4, 4]  # nulls and blanks go, then two copies of the same words
+    assert docs.filter("score is null and doc_id is not null").count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, awkward).collect()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import components, embedding_dedup, exact_dedup, line_dedup, simhash
 
@@ -221,15 +222,16 @@ def test_line_dedup(spark):
         assert r["text"] == (texts[r["doc_id"]] if not gone else "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if k not in gone))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_near_copies_of_the_pipeline(spark, monkeypatch, small):
-    import corpus_pipeline
-    from tessella.llm import shingle_dedup
+def shingle_links(texts):
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
 
-    if small:  # many blocks, no sample and parities that leave much open
-        monkeypatch.setattr(shingle_dedup, "BLOCK", 2)
-        monkeypatch.setattr(shingle_dedup, "SAMPLE_TEXTS", 1)
-        monkeypatch.setattr(shingle_dedup, "PARITY_BITS", 64)
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 8])
+def test_similar_texts(spark, block):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(150).collect()]
     r = random.Random(5)
     for text in texts[:60]:
@@ -238,13 +240,29 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, small):
             words[r.randrange(len(words))] = "edited"
         texts.append(" ".join(words))
     texts += near_texts(6, 20)
-    sets = []
-    for t in texts:
-        words = (t or "").lower().split()
-        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    fps = simhash.fingerprints_of(texts, 5, 42)
-    assert sum(int(fps[i] ^ fps[j]).bit_count() > 6 for i, j in links) > 5  # what 6 bits miss
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
-    assert kept == sorted(set(closure(range(len(texts)), links).values()))
+    links = shingle_links(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"__id": F.lit("a"), "__TH": F.lit("b"), "node": F.lit("c")})
+    found = simhash.drop_similar(docs, 5, tau=6, block=block)  # so many bits that every link is a candidate
+    assert found.columns == docs.columns
+    words = [" ".join((t or "").lower().split()) for t in texts]
+    same = [(i, words.index(w)) for i, w in enumerate(words) if words.index(w) < i]  # the blank texts are one node
+    assert sorted(x["doc_id"] for x in found.collect()) == sorted(set(closure(range(len(texts)), links + same).values()))
+
+
+def test_candidates_find_nine_tenths_of_similar_texts():
+    """Recall of the fingerprints alone, on real texts edited to a similarity just above the bound."""
+    import pyarrow.parquet as pq
+
+    r, hits, n = random.Random(3), 0, 0
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:700]:
+        words = (text or "").split()
+        if len(words) < 60:
+            continue
+        edited = list(words)
+        for k in r.sample(range(len(words)), max(1, len(words) // 48)):
+            edited[k] = f"new{r.randrange(10**6)}"
+        if not shingle_links([" ".join(words), " ".join(edited)]):
+            continue
+        a, b = simhash.sketches_of([[w.lower().encode() for w in x] for x in (words, edited)])
+        hits, n = hits + (np.bitwise_count(a ^ b).min() <= simhash.SKETCH_TAU), n + 1
+    assert n > 150 and hits / n > 0.9
