@@ -12,9 +12,10 @@ verified as numpy tiles that return a spanning forest of the true links, not all
 similarity of four fifths or more are linked, and no others. Candidates are pairs within ``SKETCH_TAU`` bits
 on one of ``SKETCHES`` fingerprints of the words, weighted by ``1 + log(count)``, each probed by the same
 principle; every candidate is then held against the exact similarity, so fingerprints decide only what is
-looked at. A first round verifies the nearest candidate of each text; a second one every other candidate
-that these links have not joined and that sizes and parity tables (a lower bound of the difference of two
-sets) leave open. Of two texts of just that similarity nine tenths or more are candidates; more similar
+looked at. A first round verifies the nearest candidate of each text; further ones, for each text, the
+likeliest candidate of another component, by sizes and parity tables (a lower bound of the difference of two
+sets); the last one every candidate pair that is then still in two components and left open by these
+bounds. So no round but the last grows faster than the texts, and little is left to it. Of two texts of just that similarity nine tenths or more are candidates; more similar
 ones, and those with a common near copy, are lost more rarely (a test measures it).
 
 Cases: a null or blank text has the fingerprint zero and is linked like any other; texts of fewer
@@ -50,8 +51,8 @@ PROBE_COST = 20.0
 SKETCHES, SKETCH_TAU = 8, 3
 #: A link asks for a Jaccard similarity of ``SIMILAR[0] / SIMILAR[1]``.
 SIMILAR = (4, 5)
-#: Cells of a parity table.
-PARITY_BITS = 1024
+#: Cells of a parity table, and rounds in which each text offers its likeliest candidate.
+PARITY_BITS, OFFER_ROUNDS = 2048, 2
 
 
 def fingerprints_of(texts: list[str | None], width: int, seed: int) -> np.ndarray:
@@ -359,20 +360,29 @@ def nearest_candidates(packed: DataFrame, tau: int) -> DataFrame:
     return pairs.groupBy("node").agg(F.min(F.struct("distance", "other"))["other"].alias("other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
 
 
-def may_be_similar(a: tuple, b: tuple, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ``(nodes, components, sizes, parities, fps)`` that are near, not yet joined and left open by sizes and parities."""
+def may_be_similar(a: tuple, b: tuple, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """With the share by which they differ at least (in millionths), the pairs of ``(nodes, components, sizes, parities, fps)`` that are near, not yet joined and left open by sizes and parities."""
     p, q = SIMILAR
     i, j = np.nonzero((_near(a[4], b[4]) <= tau) & (a[1][:, None] != b[1][None, :]) & (q * np.minimum(a[2][:, None], b[2][None, :]) >= p * np.maximum(a[2][:, None], b[2][None, :])))
-    keep = np.zeros(len(i), bool)
+    share = np.zeros(len(i), np.int64)
     for at in range(0, len(i), 1 << 16):
         x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         differ = np.bitwise_count(a[3][x] ^ b[3][y]).sum(axis=1, dtype=np.int64)
-        keep[at : at + (1 << 16)] = (q + p) * differ <= (q - p) * (a[2][x] + b[2][y])
-    return i[keep], j[keep]
+        total = a[2][x] + b[2][y]
+        share[at : at + (1 << 16)] = np.where((q + p) * differ <= (q - p) * total, 1_000_000 * differ // np.maximum(total, 1), -1)
+    keep = share >= 0
+    return i[keep], j[keep], share[keep]
 
 
-def open_candidates(packed: DataFrame, tau: int) -> DataFrame:
-    """``(a, b)``: every pair of :func:`may_be_similar` in the blocks."""
+def _likeliest(nodes: np.ndarray, others: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of each node the one of least share, then of least other node."""
+    order = np.lexsort((others, share, nodes))
+    first = order[np.flatnonzero(np.diff(nodes[order], prepend=nodes[order[0]] - 1 if len(order) else 0))] if len(order) else order
+    return nodes[first], others[first], share[first]
+
+
+def open_candidates(packed: DataFrame, tau: int, every: bool) -> DataFrame:
+    """``(a, b)``: every pair of :func:`may_be_similar` in the blocks, or (not ``every``) the likeliest one of each node over all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(block: pa.Scalar) -> tuple:
@@ -383,11 +393,18 @@ def open_candidates(packed: DataFrame, tau: int) -> DataFrame:
             for own, other in zip(batch.column("members"), batch.column("other_members")):
                 a = unpack(own)
                 b = unpack(other) if other.is_valid else a
-                i, j = may_be_similar(a, b, tau)
+                i, j, share = may_be_similar(a, b, tau)
                 x, y = a[0][i], b[0][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+                if every:
+                    out = (np.maximum(x, y), np.minimum(x, y), share)
+                else:
+                    out = _likeliest(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([share, share]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "share"])
 
-    return block_pairs(packed, ["key"], ["members"]).mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = block_pairs(packed, ["key"], ["members"]).mapInArrow(run, "a bigint, b bigint, share bigint")
+    if not every:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("share", "b"))["b"].alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.select("a", "b").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -434,15 +451,18 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, tau: int = SKETC
     wanted = materialize(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct(), "similar-nodes")
     whole = materialize(_whole_sets(docs, rows, wanted, width), "similar-sets")
     links = materialize(_verified(some, whole), "similar-links")
-    # every other candidate pair that these links have not joined already; only nodes with a candidate can be in one
-    found = materialize(connected_components(links), "similar-joined").withColumnRenamed("component", "joined")
-    open_ = materialize(classes.join(wanted, "node").join(found, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
-    probes = _probes(open_, chosen, "node", "component", "size", "parity")
-    mixed = materialize(probes.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).filter("low <> high").select("key", "count"), "similar-mixed")
-    members = F.collect_list(F.struct("node", "component", "size", "parity", "fp")).alias("members")
-    packed = materialize(_dealt(probes, mixed, "node", max(2, block // 4)).groupBy("key", "blocks", "block").agg(members), "similar-rest-blocks")
-    rest = materialize(open_candidates(packed, tau).join(some, ["a", "b"], "left_anti"), "similar-rest")
-    return links.unionByName(_verified(rest, whole))
+    tried, known = some, classes.join(wanted, "node")  # only nodes with a candidate can be in another pair
+    for every in [False] * OFFER_ROUNDS + [True]:
+        found = materialize(connected_components(links), "similar-joined").withColumnRenamed("component", "joined")
+        open_ = materialize(known.join(found, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
+        keys = _probes(open_, chosen, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"))
+        mixed = materialize(keys.filter("low <> high").select("key", "count"), "similar-mixed")
+        probes = _probes(open_, chosen, "node", "component", "size", "parity")
+        members = F.collect_list(F.struct("node", "component", "size", "parity", "fp")).alias("members")
+        packed = _dealt(probes, mixed, "node", max(2, block // 4)).groupBy("key", "blocks", "block").agg(members)
+        rest = materialize(open_candidates(materialize(packed, "similar-rest-blocks"), tau, every).join(tried, ["a", "b"], "left_anti"), "similar-rest")
+        tried, links = tried.unionByName(rest), materialize(links.unionByName(_verified(rest, whole)), "similar-links")
+    return links
 
 
 def drop_similar(docs: DataFrame, width: int = 5, tau: int = SKETCH_TAU, block: int = BLOCK) -> DataFrame:
