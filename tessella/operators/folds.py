@@ -257,23 +257,19 @@ def leader_clusters(colours: DataFrame, threshold: float) -> DataFrame:
 def _greedy_components(part: pd.DataFrame, threshold: float) -> list[list[int]]:
     """Packed members of each component, seed first; ``part`` is in scan order."""
     packed = (part["y"].to_numpy() << SHIFT | part["x"].to_numpy()).tolist()
-    place = {p: i for i, p in enumerate(packed)}
-    lab = part[["l", "a", "b"]].to_numpy()
-    free, out = set(packed), []
+    free, out, most = dict(zip(packed, part[["l", "a", "b"]].itertuples(index=False, name=None))), [], threshold * threshold
     for seed in packed:
         if seed not in free:
             continue
-        near = ((lab - lab[place[seed]]) ** 2).sum(axis=1) <= threshold * threshold
-        free.discard(seed)
-        members, queue = [seed], deque([seed])
-        while queue:
-            p = queue.popleft()
+        l0, a0, b0 = free.pop(seed)
+        members = [seed]
+        for p in members:  # grows while it is read; a colour is compared only when the flood reaches its pixel
             for step in STEPS:
                 q = p + step
-                if q in free and near[place[q]]:
-                    free.discard(q)
+                colour = free.get(q)
+                if colour is not None and (colour[0] - l0) ** 2 + (colour[1] - a0) ** 2 + (colour[2] - b0) ** 2 <= most:
+                    del free[q]
                     members.append(q)
-                    queue.append(q)
         out.append(members)
     return out
 

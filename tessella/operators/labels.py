@@ -42,11 +42,37 @@ def squared_distances(inside: np.ndarray) -> np.ndarray:
         up[y] = np.where(boundary[y], 0, np.minimum(up[y + 1] + 1, far))
     column2 = np.minimum(down, up) ** 2
     out = np.zeros(inside.shape, np.int64)
-    xs = np.arange(inside.shape[1])
-    for y in np.flatnonzero(inner.any(axis=1)):
-        at = np.flatnonzero(inner[y])
-        for part in np.array_split(at, -(-len(at) * len(xs) // (1 << 22)) or 1):
-            out[y, part] = ((part[:, None] - xs[None, :]) ** 2 + column2[y][None, :]).min(axis=1)
+    rows = np.flatnonzero(inner.any(axis=1))
+    out[rows] = np.where(inner[rows], row_minima(column2[rows]), 0)
+    return out
+
+
+def row_minima(heights: np.ndarray) -> np.ndarray:
+    """``min over v of (x - v)^2 + heights[row, v]`` for each row and x, by the lower envelope of the parabolas (Felzenszwalb and Huttenlocher).
+
+    All rows go from left to right together; each parabola enters and leaves an envelope once at most.
+    """
+    n, width = heights.shape
+    raised = heights + np.arange(width) ** 2
+    apex, begin, last = np.zeros((n, width), np.int64), np.full((n, width + 1), np.inf), np.zeros(n, np.int64)
+    begin[:, 0] = -np.inf
+    for x in range(1, width):
+        open_ = np.arange(n)
+        while len(open_):
+            top = apex[open_, last[open_]]
+            cross = (raised[open_, x] - raised[open_, top]) / (2 * (x - top))
+            hidden = cross <= begin[open_, last[open_]]
+            done = open_[~hidden]
+            last[done] += 1
+            apex[done, last[done]], begin[done, last[done]], begin[done, last[done] + 1] = x, cross[~hidden], np.inf
+            open_ = open_[hidden]
+            last[open_] -= 1
+    out, at, all_rows = np.empty((n, width), np.int64), np.zeros(n, np.int64), np.arange(n)
+    for x in range(width):
+        while len(ahead := all_rows[begin[all_rows, at + 1] < x]):
+            at[ahead] += 1
+        v = apex[all_rows, at]
+        out[:, x] = (x - v) ** 2 + heights[all_rows, v]
     return out
 
 

@@ -12,7 +12,7 @@ from tessella.functions.steps import Steps, apply_steps
 WEIGHTS = {"production": (0.40, 0.25, 0.15, 0.20), "colour-focused": (0.60, 0.15, 0.15, 0.10)}
 COLOUR_SCALE = 10.0
 ENCLOSURE, COMPACTNESS = 0.50, 0.15
-#: Weightings compared by experiments: name, colour scale and the four weights.
+# Weightings compared by experiments: name, colour scale and the four weights.
 STRATEGIES = [
     ("balanced-c10", 10.0, 0.40, 0.20, 0.20, 0.20),
     ("balanced-c25", 25.0, 0.40, 0.20, 0.20, 0.20),

@@ -99,10 +99,11 @@ def palette_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "name", identity.alias("identity"), version.alias("version"), palettes.file_name(identity, version).alias("again"))
 
 
-@query("unsupported_code_points", "SELECT n_nationkey::BIGINT AS n_nationkey, 'U+65E5,U+0416' AS points FROM nation")
+# Each nation gets three characters of a row of six, half of them outside the encoding.
+@query("unsupported_code_points", "SELECT n_nationkey::BIGINT AS n_nationkey, array_to_string(list_transform(list_filter(string_split(substr('é日€ЖñΩ', n_nationkey % 5 + 1, 3), ''), lambda c: c IN ('日', 'Ж', 'Ω')), lambda c: 'U+' || printf('%04X', unicode(c))), ',') AS points FROM nation")
 def unsupported_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    points = palettes.unsupported_code_points(F.concat("n_name", F.lit("é日€Ж日")))
+    points = palettes.unsupported_code_points(F.concat("n_name", F.substr(F.lit("é日€ЖñΩ"), F.col("n_nationkey") % 5 + 1, F.lit(3))))
     return n.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.array_join(points, ",").alias("points"))
 
 
@@ -112,9 +113,17 @@ def preview_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.overlay(px, px.filter("rgb % 7 = 0")).select("image_id", "x", "y", "rgb")
 
 
-@query("preview_bmp", f"WITH {TILES_SQL} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 54 + ((max(x) + 1) * 3 + 3) // 4 * 4 * (max(y) + 1) AS bytes FROM px GROUP BY image_id")
+# Bytes are compared as hexadecimal digits; pixels that a tile lacks are white.
+_LITTLE = "(printf('%02X', ({v}) & 255) || printf('%02X', (({v}) >> 8) & 255) || printf('%02X', (({v}) >> 16) & 255) || printf('%02X', (({v}) >> 24) & 255))"
+_HEADER = "'424D' || " + " || ".join(_LITTLE.format(v=v) for v in ("54 + data", "0", "54", "40", "width", "4294967296 - height")) + " || '01001800' || " + " || ".join(_LITTLE.format(v=v) for v in ("0", "data", "2835", "2835", "0", "0"))
+_BITMAP = f"""dim AS (SELECT *, (width * 3 + 3) // 4 * 4 * height AS data FROM (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM px GROUP BY image_id)),
+cell AS (SELECT d.image_id, d.width, gx.x, gy.y FROM dim d CROSS JOIN (SELECT unnest(range(50)) AS x) gx CROSS JOIN (SELECT unnest(range(50)) AS y) gy WHERE gx.x < d.width AND gy.y < d.height),
+line AS (SELECT c.image_id, c.y, string_agg(printf('%02X', coalesce(rgb, 16777215) & 255) || printf('%02X', coalesce(rgb, 16777215) >> 8 & 255) || printf('%02X', coalesce(rgb, 16777215) >> 16 & 255), '' ORDER BY c.x) || repeat('00', (max(width) * 3 + 3) // 4 * 4 - max(width) * 3) AS bytes FROM cell c LEFT JOIN px ON px.image_id = c.image_id AND px.x = c.x AND px.y = c.y GROUP BY c.image_id, c.y)"""
+
+
+@query("preview_bmp", f"WITH {TILES_SQL}, {_BITMAP} SELECT d.image_id, any_value(width) AS width, any_value(height) AS height, md5(any_value({_HEADER}) || string_agg(bytes, '' ORDER BY line.y)) AS hex_md5 FROM dim d JOIN line ON line.image_id = d.image_id GROUP BY d.image_id")
 def preview_bmp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.to_bmp(event_tiles(spark, sf_dir)).select("image_id", "width", "height", F.length("bmp").cast("long").alias("bytes"))
+    return I.to_bmp(event_tiles(spark, sf_dir)).select("image_id", "width", "height", F.md5(F.hex("bmp").cast("binary")).alias("hex_md5"))
 
 
 @query("vector_pages")

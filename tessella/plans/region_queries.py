@@ -173,18 +173,29 @@ def boundary_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLOATS = ["de", *M.MEASURES[2:], *M.COSTS]
-_COST_LIST = ", ".join([*CAND_COLUMNS[:-1], *M.MEASURES[:2], *(f"round({c}, 6) AS {c}" for c in _FLOATS)])
 
 
-@query("merge_candidates", with_sql(MERGING, f"SELECT {_COST_LIST} FROM mc", True))
+# Written from the definitions, apart from the formulas that the plan runs.
+_BY_HAND = """own AS (SELECT image_id, source_id, target_id, border, source_idx, target_idx, source_area, target_area, source_perimeter, target_perimeter, de,
+    source_area + target_area AS ma, source_perimeter + target_perimeter - 2 * border AS mp, pow(target_perimeter, 2) / target_area AS tc, border / source_perimeter::DOUBLE AS enc, source_area / (source_area + target_area)::DOUBLE AS ar, de / (10 + de) AS cp,
+    least(4 * pi() * source_area / pow(source_perimeter, 2), 1) AS round_ FROM mc),
+grown AS (SELECT *, pow(mp, 2) / ma AS mc2, pow(mp, 2) / ma - tc AS cc, CASE WHEN pow(mp, 2) / ma > tc THEN (pow(mp, 2) / ma - tc) / (pow(mp, 2) / ma) ELSE 0 END AS gp FROM own),
+based AS (SELECT *, 0.4 * cp + 0.25 * ar + 0.15 * (1 - enc) + 0.2 * gp AS bc FROM grown),
+held AS (SELECT *, 1 - (1 - bc) * (1 - 0.5 * enc * cp * (1 - ar)) AS ec FROM based),
+total AS (SELECT *, 1 - (1 - ec) * (1 - 0.15 * (1 - round_) * cp * (1 - ar)) AS tcost FROM held)"""
+_OWN_LIST = ", ".join([*CAND_COLUMNS[:-1], "ma AS merged_area", "mp AS merged_perimeter", *(f"round({c}, 6) AS {n}" for n, c in {"de": "de", "area_ratio": "ar", "source_border_ratio": "enc", "target_border_ratio": "border / target_perimeter::DOUBLE", "source_compactness": "round_", "target_complexity": "tc", "merged_complexity": "mc2", "complexity_change": "cc", "color_penalty": "cp", "border_penalty": "1 - enc", "geometry_penalty": "gp", "base_cost": "bc", "enclosed_cost": "ec", "cost": "tcost"}.items())])
+
+
+@query("merge_candidates", with_sql([*MERGING, _BY_HAND], f"SELECT {_OWN_LIST} FROM total", True))
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(candidates(spark, sf_dir)[1].select(*CAND_COLUMNS, *M.MEASURES, *M.COSTS), *_FLOATS)
 
 
-@query("touching_candidates", with_sql(MERGING, "SELECT image_id, source_id, target_id, border FROM mc WHERE source_id <= 3 OR target_id <= 3", True))
+# Candidates with an end in a region that holds no disc.
+@query("touching_candidates", with_sql([*MERGING, fit_sql(DIAMETER)], "SELECT image_id, source_id, target_id, border FROM mc WHERE NOT EXISTS (SELECT 1 FROM fit WHERE fit.image_id = mc.image_id AND fit.region_id = mc.source_id) OR NOT EXISTS (SELECT 1 FROM fit WHERE fit.image_id = mc.image_id AND fit.region_id = mc.target_id)", True))
 def touching_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = region_pixels(spark, sf_dir)
-    touching = px.filter("region_id <= 3").select("image_id", "region_id")
+    touching = R.paintability(px, DIAMETER).select("image_id", "region_id")
     found = M.candidates(R.region_table(px), R.shared_borders(px), nation_palette(spark, sf_dir), touching=touching)
     return found.select("image_id", "source_id", "target_id", "border")
 

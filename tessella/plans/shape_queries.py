@@ -111,8 +111,22 @@ def outline_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.point_reduction(O.trace_outlines(members), O.trace_outlines(members, tolerance=1.0)), "reduction")
 
 
-@query("invalid_outlines", "SELECT 0::BIGINT AS image_id, 0::BIGINT AS region_id WHERE false")
+# Squares in a row, one a customer; every third ring crosses itself, and every seventh of the others reaches over the next one.
+@query("invalid_outlines", """WITH s AS (SELECT c_custkey // 10 AS image_id, c_custkey % 10 AS region_id, c_custkey % 3 = 1 AS crossed, c_custkey % 7 = 2 AND c_custkey % 3 <> 1 AS wide FROM customer)
+SELECT image_id, region_id FROM s WHERE crossed OR (wide AND EXISTS (SELECT 1 FROM s n WHERE n.image_id = s.image_id AND n.region_id = s.region_id + 1 AND NOT n.crossed)) OR EXISTS (SELECT 1 FROM s p WHERE p.image_id = s.image_id AND p.region_id = s.region_id - 1 AND p.wide AND NOT s.crossed)""")
 def invalid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(key / 10).alias("image_id"), (key % 10).alias("region_id"), (key % 3 == 1).alias("crossed"), ((key % 7 == 2) & (key % 3 != 1)).alias("wide"))
+    left = (F.col("region_id") * 4).cast("int")
+    right = left + F.when(F.col("wide"), 5).otherwise(2)
+    at = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    square, bow = F.array(at(left, 0), at(right, 0), at(right, 2), at(left, 2)), F.array(at(left, 0), at(right, 2), at(right, 0), at(left, 2))
+    points = F.when(F.col("crossed"), bow).otherwise(square)
+    return O.validate_outlines(rows.select("image_id", "region_id", points.alias("points"), F.array().cast("array<array<struct<x:int,y:int>>>").alias("hole_rings")))
+
+
+@query("invalid_simplified_outlines")
+def invalid_simplified_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.validate_outlines(O.trace_outlines(merged(spark, sf_dir), tolerance=1.0))
 
 

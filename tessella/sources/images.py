@@ -1,7 +1,8 @@
-"""Image files to pixels: formats are recognised by content, limits are checked on headers before decoding.
+"""Image files to pixels: formats are recognised by content, sizes are read from headers.
 
-The JVM decodes BMP, JPEG and PNG; WEBP has no decoder here and is refused by name. EXIF orientation is
-not applied.
+:func:`refused_images` tells from headers alone why a file is not accepted. The JVM decodes BMP, JPEG and
+PNG; its source decodes every file under the path, so a folder of unknown files is best held against
+:func:`refused_images` first. WEBP has no decoder here and is refused. EXIF orientation is not applied.
 """
 
 from __future__ import annotations
@@ -16,8 +17,22 @@ from pyspark.sql import functions as F
 FORMATS = {"bmp": "bmp", "jpg": "jpeg", "jpeg": "jpeg", "png": "png"}
 
 
-class UnsupportedImageError(ValueError):
-    """The file's name or content is of no accepted format."""
+def jpeg_size(data: bytes) -> tuple[int | None, int | None]:
+    """Width and height from the first start-of-frame segment of a JPEG file."""
+    at = 2
+    while at + 9 < len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8:  # fill bytes and marks without a length
+            at += 1 if kind == 0xFF else 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None, None
+
+
+def _jpeg_sizes(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([jpeg_size(c) if c is not None else (None, None) for c in content], columns=["width", "height"]).astype("Int64")
 
 
 def sniffed_format(content: Column) -> Column:
@@ -32,12 +47,13 @@ def _number(content: Column, at: int, size: int, little: bool) -> Column:
 
 
 def image_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, format, named, width, height)`` from the first bytes; sizes of JPEG files are only known after decoding."""
+    """``(path, format, named, width, height)`` from the files' first segments; null where there is none to read."""
     files = spark.read.format("binaryFile").load(path).withColumn("format", sniffed_format(F.col("content")))
+    files = files.withColumn("jpeg", F.pandas_udf(_jpeg_sizes, "width long, height long")(F.when(F.col("format") == "jpeg", F.col("content"))))
     named = F.lower(F.element_at(F.split("path", r"\."), -1))
     little = lambda at: F.conv(F.concat(*(F.hex(F.substring("content", at + i, 1)) for i in (4, 3, 2, 1))), 16, 10).cast("long")
-    width = F.when(F.col("format") == "png", _number(F.col("content"), 16, 4, False)).when(F.col("format") == "bmp", little(18))
-    height = F.when(F.col("format") == "png", _number(F.col("content"), 20, 4, False)).when(F.col("format") == "bmp", F.when(little(22) >= 1 << 31, (1 << 32) - little(22)).otherwise(little(22)))  # negative: top row first
+    width = F.when(F.col("format") == "png", _number(F.col("content"), 16, 4, False)).when(F.col("format") == "bmp", little(18)).otherwise(F.col("jpeg.width"))
+    height = F.when(F.col("format") == "png", _number(F.col("content"), 20, 4, False)).when(F.col("format") == "bmp", F.when(little(22) >= 1 << 31, (1 << 32) - little(22)).otherwise(little(22))).otherwise(F.col("jpeg.height"))  # negative: top row first
     return files.select("path", "format", F.create_map(*(F.lit(v) for kv in FORMATS.items() for v in kv))[named].alias("named"), width.alias("width"), height.alias("height"))
 
 
@@ -49,10 +65,20 @@ def acceptance(images: DataFrame, most_pixels: int = 50_000_000, most_width: int
     return images.withColumn("refusal", F.when((w < 1) | (h < 1), "empty").when(w > most_width, "width").when(h > most_height, "height").when(w * h > most_pixels, "pixels"))
 
 
+def checked_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """Headers with ``refusal``: ``format`` (none that is accepted), ``name`` (another than the content's), ``header`` (no size) or a limit; null if accepted."""
+    own = F.when(F.col("format").isNull() | ~F.col("format").isin(*FORMATS.values()), "format").when(~F.coalesce(F.col("format") == F.col("named"), F.lit(False)), "name").when(F.col("width").isNull() | F.col("height").isNull(), "header")
+    return acceptance(image_headers(spark, path), **limits).withColumn("refusal", F.coalesce(own, "refusal"))
+
+
+def refused_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """``(path, refusal)`` of every file under ``path`` that :func:`load_images` leaves out, from headers alone."""
+    return checked_images(spark, path, **limits).filter("refusal is not null").select("path", "refusal")
+
+
 def load_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
-    """``pixels`` of all accepted images under ``path``, numbered by path; others are left out."""
-    headers = image_headers(spark, path).filter("format = named")
-    accepted = acceptance(headers.withColumns({"width": F.coalesce("width", F.lit(1)), "height": F.coalesce("height", F.lit(1))}), **limits).filter("refusal is null").select("path")
+    """``pixels`` of all accepted images under ``path``, numbered by path; :func:`refused_images` names the others."""
+    accepted = checked_images(spark, path, **limits).filter("refusal is null").select("path")
     decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").join(accepted, F.regexp_replace(F.col("origin"), "^file:/+", "/") == F.regexp_replace(F.col("path"), "^file:/+", "/"))
     decoded = decoded.withColumn("image_id", F.xxhash64("origin"))
     decoded = acceptance(decoded, **limits).filter("refusal is null")

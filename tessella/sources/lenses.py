@@ -25,13 +25,6 @@ def event_tiles(spark: SparkSession, sf_dir: str, side: int = 50) -> DataFrame:
     return at.select("image_id", "pos", "x", "y", _rgb(F.col("x"), F.col("y"), F.col("user_id")).alias("rgb"))
 
 
-def event_raster(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame:
-    """One image of all events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("pos"), "user_id")
-    at = e.withColumns({"x": F.col("pos") % width, "y": F.floor(F.col("pos") / width)})
-    return at.select(F.lit(0).cast("long").alias("image_id"), "pos", "x", "y", _rgb(F.col("x"), F.col("y"), F.col("user_id")).alias("rgb"))
-
-
 def nation_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 colours, one a nation."""
     n = F.col("n_nationkey").cast("long")
@@ -45,5 +38,4 @@ def _rgb_sql() -> str:
 
 
 TILES_SQL = f"px AS (SELECT image_id, pos, x, y, {_rgb_sql()} AS rgb FROM (SELECT event_id // 2500 AS image_id, event_id % 2500 AS pos, event_id % 50 AS x, event_id % 2500 // 50 AS y, user_id FROM events))"
-RASTER_SQL = f"px AS (SELECT 0::BIGINT AS image_id, pos, x, y, {_rgb_sql()} AS rgb FROM (SELECT event_id AS pos, event_id % 100 AS x, event_id // 100 AS y, user_id FROM events))"
 PALETTE_SQL = "palette AS (SELECT n_nationkey::BIGINT AS idx, n_nationkey::BIGINT + 1 AS number, n_name AS name, (n_nationkey::BIGINT * 53 % 256) * 65536 + (n_nationkey::BIGINT * 97 % 256) * 256 + n_nationkey::BIGINT * 193 % 256 AS rgb FROM nation)"

@@ -76,3 +76,16 @@ def test_pdf_has_its_objects():
 def test_options_are_checked():
     with pytest.raises(ValueError):
         Options(diameter=0)
+
+
+def test_refusals_come_from_headers(spark, tmp_path):
+    bmp = bytes(images.to_bmp(synthetic.raster(spark, "gradient", 13, 7)).first()["bmp"])
+    frame = b"\xff\xc2\x00\x11\x08" + (300).to_bytes(2, "big") + (400).to_bytes(2, "big") + b"\x03" + bytes(9)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc4\x00\x03x" + frame
+    assert images.jpeg_size(jpeg) == (400, 300) and images.jpeg_size(b"\xff\xd8\xff\xe0") == (None, None)
+    files = {"good.bmp": bmp, "large.jpg": jpeg, "named.png": bmp, "text.bmp": b"hello", "web.webp": b"RIFF\0\0\0\0WEBPVP8 ", "cut.jpg": b"\xff\xd8\xff\xe0\x00"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r["path"].rsplit("/", 1)[1]: r["refusal"] for r in images.refused_images(spark, str(tmp_path), most_width=399).collect()}
+    assert found == {"large.jpg": "width", "named.png": "name", "text.bmp": "format", "web.webp": "format", "cut.jpg": "header"}
+    assert images.load_images(spark, str(tmp_path), most_width=399).count() == 13 * 7
