@@ -113,7 +113,7 @@ def outline_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Squares in a row, one a customer; every third ring crosses itself, and every seventh of the others reaches over the next one.
 @query("invalid_outlines", """WITH s AS (SELECT c_custkey // 10 AS image_id, c_custkey % 10 AS region_id, c_custkey % 3 = 1 AS crossed, c_custkey % 7 = 2 AND c_custkey % 3 <> 1 AS wide FROM customer)
-SELECT image_id, region_id FROM s WHERE crossed OR (wide AND EXISTS (SELECT 1 FROM s n WHERE n.image_id = s.image_id AND n.region_id = s.region_id + 1 AND NOT n.crossed)) OR EXISTS (SELECT 1 FROM s p WHERE p.image_id = s.image_id AND p.region_id = s.region_id - 1 AND p.wide AND NOT s.crossed)""")
+SELECT image_id, region_id FROM s WHERE crossed OR (wide AND EXISTS (SELECT 1 FROM s n WHERE n.image_id = s.image_id AND n.region_id = s.region_id + 1)) OR EXISTS (SELECT 1 FROM s p WHERE p.image_id = s.image_id AND p.region_id = s.region_id - 1 AND p.wide AND NOT s.crossed)""")
 def invalid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(key / 10).alias("image_id"), (key % 10).alias("region_id"), (key % 3 == 1).alias("crossed"), ((key % 7 == 2) & (key % 3 != 1)).alias("wide"))
