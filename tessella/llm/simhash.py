@@ -353,8 +353,8 @@ def nearest_candidates(packed: DataFrame, tau: int) -> DataFrame:
                 distance = np.bitwise_count(v[:, :, None] ^ v[:, None, :])
                 distance[:, np.arange(size), np.arange(size)] = 255
                 found.append(_nearest(x, x, distance, tau))
-            columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "other", "distance"])
+            columns = [np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _likeliest(*columns)], ["node", "other", "distance"])
 
     pairs = block_pairs(packed, ["key"], ["members"]).mapInArrow(run, "node bigint, other bigint, distance bigint")
     return pairs.groupBy("node").agg(F.min(F.struct("distance", "other"))["other"].alias("other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
@@ -390,16 +390,20 @@ def open_candidates(packed: DataFrame, tau: int, every: bool) -> DataFrame:
             return (*(c.to_numpy().astype(np.int64) for c in columns[:3]), np.frombuffer(b"".join(columns[3].to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64), columns[4].to_numpy())
 
         for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 3]
             for own, other in zip(batch.column("members"), batch.column("other_members")):
                 a = unpack(own)
                 b = unpack(other) if other.is_valid else a
                 i, j, share = may_be_similar(a, b, tau)
                 x, y = a[0][i], b[0][j]
                 if every:
-                    out = (np.maximum(x, y), np.minimum(x, y), share)
+                    found.append((np.maximum(x, y), np.minimum(x, y), share))
                 else:
-                    out = _likeliest(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([share, share]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "share"])
+                    found.append(_likeliest(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([share, share])))
+            x, y, share = (np.concatenate(c) for c in zip(*found))
+            if not every:
+                x, y, share = _likeliest(x, y, share)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, y, share)], ["a", "b", "share"])
 
     pairs = block_pairs(packed, ["key"], ["members"]).mapInArrow(run, "a bigint, b bigint, share bigint")
     if not every:
