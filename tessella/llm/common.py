@@ -61,11 +61,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    ``keep``: the table outlives the innermost :func:`temporary_tables`.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    for paths in _OPEN[-1:]:
+    for paths in _OPEN[: -1 if keep else None][-1:]:
         paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

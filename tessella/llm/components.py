@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_skewed, materialize
+from tessella.llm.common import join_skewed, materialize, temporary_tables
 
 #: Far above the logarithmic number of rounds that any input needs; a guard against a defect only.
 MAX_ROUNDS = 60
 
 
-def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
+def _star(links: DataFrame, large: bool, name: str, keep: bool = False) -> DataFrame:
     """One step: every node's (larger or smaller) neighbours are linked to its least neighbour."""
     both = links.select("a", "b")
     if large:
@@ -27,7 +27,7 @@ def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return materialize(out.filter(F.col("a") > F.col("b")).distinct(), name)
+    return materialize(out.filter(F.col("a") > F.col("b")).distinct(), name, keep=keep)
 
 
 def _digest(links: DataFrame) -> tuple:
@@ -44,7 +44,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = materialize(ordered, "links")
     seen = _digest(links)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
-        links = _star(_star(links, True, "large"), False, "small")
+        with temporary_tables(links.sparkSession):
+            links = _star(_star(links, True, "large"), False, "small", keep=True)
         now = _digest(links)
         if now == seen:
             break

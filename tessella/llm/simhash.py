@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, column_blocks, free_name, join_skewed, materialize
+from tessella.llm.common import blocks, column_blocks, free_name, join_skewed, materialize, temporary_tables
 from tessella.llm.components import block_pairs, connected_components, tile_links
 
 BITS = 64
@@ -52,7 +52,7 @@ SKETCHES, SKETCH_TAU = 8, 3
 #: A link asks for a Jaccard similarity of ``SIMILAR[0] / SIMILAR[1]``.
 SIMILAR = (4, 5)
 #: Cells of a parity table, and rounds in which each text offers its likeliest candidate.
-PARITY_BITS, OFFER_ROUNDS = 2048, 2
+PARITY_BITS, OFFER_ROUNDS = 2048, 1
 
 
 def fingerprints_of(texts: list[str | None], width: int, seed: int) -> np.ndarray:
@@ -457,15 +457,16 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, tau: int = SKETC
     links = materialize(_verified(some, whole), "similar-links")
     tried, known = some, classes.join(wanted, "node")  # only nodes with a candidate can be in another pair
     for every in [False] * OFFER_ROUNDS + [True]:
-        found = materialize(connected_components(links), "similar-joined").withColumnRenamed("component", "joined")
-        open_ = materialize(known.join(found, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
-        keys = _probes(open_, chosen, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"))
-        mixed = materialize(keys.filter("low <> high").select("key", "count"), "similar-mixed")
-        probes = _probes(open_, chosen, "node", "component", "size", "parity")
-        members = F.collect_list(F.struct("node", "component", "size", "parity", "fp")).alias("members")
-        packed = _dealt(probes, mixed, "node", max(2, block // 4)).groupBy("key", "blocks", "block").agg(members)
-        rest = materialize(open_candidates(materialize(packed, "similar-rest-blocks"), tau, every).join(tried, ["a", "b"], "left_anti"), "similar-rest")
-        tried, links = tried.unionByName(rest), materialize(links.unionByName(_verified(rest, whole)), "similar-links")
+        with temporary_tables(docs.sparkSession):
+            found = materialize(connected_components(links), "similar-joined").withColumnRenamed("component", "joined")
+            open_ = materialize(known.join(found, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
+            keys = _probes(open_, chosen, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"))
+            mixed = materialize(keys.filter("low <> high").select("key", "count"), "similar-mixed")
+            probes = _probes(open_, chosen, "node", "component", "size", "parity")
+            members = F.collect_list(F.struct("node", "component", "size", "parity", "fp")).alias("members")
+            packed = _dealt(probes, mixed, "node", max(2, block // 4)).groupBy("key", "blocks", "block").agg(members)
+            rest = materialize(open_candidates(materialize(packed, "similar-rest-blocks"), tau, every).join(tried, ["a", "b"], "left_anti"), "similar-rest", keep=True)
+            tried, links = tried.unionByName(rest), materialize(links.unionByName(_verified(rest, whole)), "similar-links", keep=True)
     return links
 
 
