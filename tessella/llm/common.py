@@ -74,18 +74,18 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", keep: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_skewed(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def join_skewed(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner", sizes: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Joins ``rows`` to ``classes`` (one row a key, ``size`` = rows of that key) without a hot partition.
 
     Keys with more than ``HOT_SHARE`` of all rows, at most ``1 / HOT_SHARE`` of them, are joined by
     broadcast where their rows already are; only the rest is shuffled by the key. ``classes`` should
-    be a stored table, it is read three times.
+    be a stored table, it is read three times. ``sizes``: the sum and the largest of ``size``, if known.
     """
-    total = classes.agg(F.sum(size)).first()[0] or 0
-    hot = classes.filter(F.col(size) > max(1000, int(total * HOT_SHARE)))
-    cold = classes.filter(F.col(size) <= max(1000, int(total * HOT_SHARE)))
-    if not hot.head(1):
+    total, most = sizes or classes.agg(F.sum(size), F.max(size)).first()
+    bound = max(1000, int((total or 0) * HOT_SHARE))
+    if (most or 0) <= bound:
         return rows.join(classes, key, how)
+    hot, cold = classes.filter(F.col(size) > bound), classes.filter(F.col(size) <= bound)
     at_hand = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return at_hand.unionByName(rest.select(*at_hand.columns))

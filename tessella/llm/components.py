@@ -16,43 +16,41 @@ from tessella.llm.common import join_skewed, materialize, temporary_tables
 MAX_ROUNDS = 60
 
 
-def _star(links: DataFrame, large: bool, name: str, keep: bool = False) -> DataFrame:
-    """One step: every node's (larger or smaller) neighbours are linked to its least neighbour."""
+def _neighbours(links: DataFrame, large: bool) -> DataFrame:
+    """``(a, b)``: every link once from its larger end, or (large) from both ends."""
     both = links.select("a", "b")
-    if large:
-        both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), f"{name}-least")
-    joined = join_skewed(both, least, "a", "n")
-    if large:
-        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return materialize(out.filter(F.col("a") > F.col("b")).distinct(), name, keep=keep)
+    return both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else both
 
 
-def _digest(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _least(both: DataFrame, name: str) -> DataFrame:
+    """``(a, m, n)``: every node's least neighbour (or itself), and the number of its neighbours."""
+    return materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), f"{name}-least")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; component is the least node reachable.
 
     Self-links and repeated links are allowed; nodes without a link to another node don't appear.
+    Links that are stars already (those of components found before) cost one look.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     links = materialize(ordered, "links")
-    seen = _digest(links)
-    for _ in range(MAX_ROUNDS if seen[0] else 0):
+    for _ in range(MAX_ROUNDS):
         with temporary_tables(links.sparkSession):
-            links = _star(_star(links, True, "large"), False, "small", keep=True)
-        now = _digest(links)
-        if now == seen:
-            break
-        seen = now
+            both = _neighbours(links, True)
+            least = _least(both, "large")
+            # every link is there once, so these are stars when no node with a smaller neighbour has another one
+            total, most, unsettled = least.agg(F.sum("n"), F.max("n"), F.max(F.expr("m < a AND n > 1"))).first()
+            if not unsettled:
+                break
+            # a link leaves its larger end only: there are no more of them than before, so they need not be made distinct here
+            larger = join_skewed(both, least, "a", "n", sizes=(total, most)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            links = materialize(larger.filter("a > b"), "large")
+            least = _least(links, "small")
+            smaller = join_skewed(links, least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            links = materialize(smaller.filter("a > b").distinct(), "small", keep=True)
     else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     # links are stars now: (node, least node); the centres themselves are added
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -187,9 +187,9 @@ def _probes(rows: DataFrame, chosen: list[list[tuple[list[int], int]]], *columns
     return probes.select(F.xxhash64(F.col("m.mask"), F.col("fp").bitwiseAND(F.col("m.bits"))).alias("key"), "fp", *columns)
 
 
-def _dealt(probes: DataFrame, counts: DataFrame, by: str, block: int) -> DataFrame:
+def _dealt(probes: DataFrame, counts: DataFrame, by: str, block: int, sizes: tuple | None = None) -> DataFrame:
     """The probes whose key is in ``counts(key, count)``, with the block of their bucket."""
-    dealt = join_skewed(probes, counts, "key", "count").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    dealt = join_skewed(probes, counts, "key", "count", sizes=sizes).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     return dealt.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
 
 
@@ -425,8 +425,11 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
             keep = [similar(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")) for p, q in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    uses = lambda c: materialize(pairs.groupBy(c).agg(F.count("*").alias("uses")).join(whole, F.col(c) == F.col("node")).select(c, "uses", F.col("hashes").alias("x" if c == "a" else "y")), f"similar-{c}")
-    joined = join_skewed(join_skewed(pairs, uses("a"), "a", "uses").drop("uses"), uses("b"), "b", "uses")
+    joined = pairs
+    for c, out in (("a", "x"), ("b", "y")):
+        uses = materialize(pairs.groupBy(c).agg(F.count("*").alias("uses")), "similar-uses")
+        sets = uses.join(whole, F.col(c) == F.col("node")).select(c, "uses", F.col("hashes").alias(out))
+        joined = join_skewed(joined, sets, c, "uses", sizes=uses.agg(F.sum("uses"), F.max("uses")).first()).drop("uses")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -443,8 +446,8 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int)
     return found.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, width: int, tau: int = SKETCH_TAU, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: verified links among the nodes of ``rows`` that join the candidates that are similar."""
+def similar_components(docs: DataFrame, rows: DataFrame, width: int, tau: int = SKETCH_TAU, block: int = BLOCK) -> DataFrame:
+    """``(node, component)`` of the nodes of ``rows`` that verified links join, for all candidates that are similar; component is the least node."""
     classes = materialize(rows.dropDuplicates(["node"]).select("node", "size", "parity", "fps"), "similar-classes")
     chosen = [plan(n, both, tau) for n, both in bit_statistics(classes, SKETCHES)]
     probes = _probes(classes, chosen, "node")
@@ -454,27 +457,33 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, tau: int = SKETC
     some = materialize(nearest_candidates(packed, tau).distinct(), "similar-nearest")
     wanted = materialize(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct(), "similar-nodes")
     whole = materialize(_whole_sets(docs, rows, wanted, width), "similar-sets")
-    links = materialize(_verified(some, whole), "similar-links")
+    found = connected_components(_verified(some, whole))
     tried, known = some, classes.join(wanted, "node")  # only nodes with a candidate can be in another pair
     for every in [False] * OFFER_ROUNDS + [True]:
         with temporary_tables(docs.sparkSession):
-            found = materialize(connected_components(links), "similar-joined").withColumnRenamed("component", "joined")
-            open_ = materialize(known.join(found, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
+            open_ = materialize(known.join(found.withColumnRenamed("component", "joined"), "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined"), "similar-open")
             keys = _probes(open_, chosen, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count"))
             mixed = materialize(keys.filter("low <> high").select("key", "count"), "similar-mixed")
+            sizes = mixed.agg(F.sum("count"), F.max("count")).first()
+            if not sizes[0]:  # no bucket holds two components
+                break
             probes = _probes(open_, chosen, "node", "component", "size", "parity")
             members = F.collect_list(F.struct("node", "component", "size", "parity", "fp")).alias("members")
-            packed = _dealt(probes, mixed, "node", max(2, block // 4)).groupBy("key", "blocks", "block").agg(members)
+            packed = _dealt(probes, mixed, "node", max(2, block // 4), sizes).groupBy("key", "blocks", "block").agg(members)
             rest = materialize(open_candidates(materialize(packed, "similar-rest-blocks"), tau, every).join(tried, ["a", "b"], "left_anti"), "similar-rest", keep=True)
-            tried, links = tried.unionByName(rest), materialize(links.unionByName(_verified(rest, whole)), "similar-links", keep=True)
-    return links
+            if not rest.agg(F.count("*")).first()[0]:
+                continue
+            links = materialize(_verified(rest, whole), "similar-links", keep=True)
+        tried = tried.unionByName(rest)
+        stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars.unionByName(links))
+    return found
 
 
 def drop_similar(docs: DataFrame, width: int = 5, tau: int = SKETCH_TAU, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, of which the least doc_id of each group of similar texts stays (a null one last, then by a hash of the text)."""
     rows = materialize(sketch_rows(docs, width), "similar-rows")
-    links = materialize(similar_links(docs, rows, width, tau, block), "similar-links")
-    found = materialize(connected_components(links), "similar-components")
+    found = materialize(similar_components(docs, rows, width, tau, block), "similar-components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     grouped = rows.groupBy("node").agg(F.min(rank).alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = materialize(grouped.groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.th"), "similar-kept")
