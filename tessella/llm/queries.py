@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, language, line_dedup, packing, pii, simhash, token_store, toxicity
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, packing, pii, simhash, token_store, toxicity, vector_codes
 from tessella.llm.common import held_out, read_table
 
 
@@ -64,6 +64,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(rows, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, low=80, high=100)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": op8_surrogates,
     "op9_token_store": op9_token_store,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
