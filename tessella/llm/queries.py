@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, packing, pii, simhash, token_store, toxicity, vector_codes
+from tessella.llm import byte_bpe, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, packing, pii, repeats, simhash, token_store, toxicity, vector_codes
 from tessella.llm.common import held_out, read_table
 
 
@@ -69,6 +69,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, low=80, high=100)
 
 
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeat_spans(read_table(spark, sf_dir, "documents"), length=200, keep="none")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
     return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_repeats": op12_suffix_repeats,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -94,5 +100,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_suffix_repeats": repeats.ORACLE_SQL,
     "op13_vector_codes": vector_codes.oracle_sql(),
 }
