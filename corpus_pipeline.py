@@ -39,12 +39,12 @@ def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null or without a letter go; a missing ``lang`` takes the predicted one.
 
-    Without a labelled row to learn from nothing is predicted: the same texts go, and ``lang`` stays.
+    The text decides what goes, never the name of a predicted label. Without a labelled row to learn from nothing is predicted: the same texts go, and ``lang`` stays.
     """
     net = language.fit(docs)
     if net is None:
         return docs.filter(language.has_letter(F.col("text")))
-    found = language.predict_language(_text_and_rest(docs), net).filter(F.col("lang_pred") != language.UNDETERMINED)
+    found = language.predict_language(_text_and_rest(docs), net).filter(language.has_letter(F.col("text")))
     return _unpacked(found, docs, lang=F.coalesce("rest.lang", "lang_pred"))
 
 
