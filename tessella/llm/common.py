@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: can be hot, which is the proven bound of what :func:`join_skewed` broadcasts.
 HOT_SHARE = 0.002
 
+#: Rows of hot keys are broadcast up to this many bytes of the column that a join names as their weight.
+BROADCAST_BYTES = 4 << 20
+
 #: Bytes of text handled at once inside a Python task.
 TEXT_BLOCK_BYTES = 3 << 20
 
@@ -74,19 +77,27 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", keep: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_skewed(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner", sizes: tuple[int | None, int | None] | None = None) -> DataFrame:
+def join_skewed(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner", sizes: tuple[int | None, int | None] | None = None, weight: str | None = None) -> DataFrame:
     """Joins ``rows`` to ``classes`` (one row a key, ``size`` = rows of that key) without a hot partition.
 
     Keys with more than ``HOT_SHARE`` of all rows, at most ``1 / HOT_SHARE`` of them, are joined by
     broadcast where their rows already are; only the rest is shuffled by the key. ``classes`` should
     be a stored table, it is read three times. ``sizes``: the sum and the largest of ``size``, if known.
+    ``weight``: a column of ``classes`` without a bound on its length; hot keys whose values are longer than
+    ``BROADCAST_BYTES`` together are not broadcast but sent once to each part of their dealt rows.
     """
     total, most = sizes or classes.agg(F.sum(size), F.max(size)).first()
     bound = max(1000, int((total or 0) * HOT_SHARE))
     if (most or 0) <= bound:
         return rows.join(classes, key, how)
     hot, cold = classes.filter(F.col(size) > bound), classes.filter(F.col(size) <= bound)
-    at_hand = rows.join(F.broadcast(hot), key)
+    if weight and (hot.agg(F.sum(F.octet_length(weight))).first()[0] or 0) > BROADCAST_BYTES:
+        parts = hot.select(key, F.ceil(F.col(size) / bound).cast("int").alias("__parts"))
+        dealt = rows.join(F.broadcast(parts), key).withColumn("__part", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.col("__parts")).cast("int")).drop("__parts")
+        sent = hot.join(F.broadcast(parts), key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+        at_hand = dealt.join(sent, [key, "__part"]).drop("__part")
+    else:
+        at_hand = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return at_hand.unionByName(rest.select(*at_hand.columns))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, column_blocks, free_name, join_skewed, materialize, temporary_tables
+from tessella.llm.common import HOT_SHARE, blocks, column_blocks, free_name, join_skewed, materialize, temporary_tables
 from tessella.llm.components import block_pairs, connected_components, tile_links
 
 BITS = 64
@@ -428,8 +428,11 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     joined = pairs
     for c, out in (("a", "x"), ("b", "y")):
         uses = materialize(pairs.groupBy(c).agg(F.count("*").alias("uses")), "similar-uses")
+        sizes = uses.agg(F.sum("uses"), F.max("uses")).first()
         sets = uses.join(whole, F.col(c) == F.col("node")).select(c, "uses", F.col("hashes").alias(out))
-        joined = join_skewed(joined, sets, c, "uses", sizes=uses.agg(F.sum("uses"), F.max("uses")).first()).drop("uses")
+        if (sizes[1] or 0) > max(1000, (sizes[0] or 0) * HOT_SHARE):  # else the sets are joined, and read, once
+            sets = materialize(sets, "similar-used-sets")
+        joined = join_skewed(joined, sets, c, "uses", sizes=sizes, weight=out).drop("uses")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 

@@ -266,3 +266,14 @@ def test_candidates_find_nine_tenths_of_similar_texts():
         a, b = simhash.sketches_of([[w.lower().encode() for w in x] for x in (words, edited)])
         hits, n = hits + (np.bitwise_count(a ^ b).min() <= simhash.SKETCH_TAU), n + 1
     assert n > 150 and hits / n > 0.9
+
+
+def test_skewed_join_of_heavy_rows(spark, monkeypatch):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    rows = spark.range(6000).selectExpr("id", "if(id % 2 = 0, 1L, id) as k")  # 1 has 3,001 rows, the others one
+    classes = common.materialize(rows.groupBy("k").count().selectExpr("k", "count as n", "repeat('x', 2000) as heavy"), "heavy")
+    found = common.join_skewed(rows, classes, "k", "n", weight="heavy").collect()
+    want = [(i, 1, 3001, 2000) if i % 2 == 0 or i == 1 else (i, i, 1, 2000) for i in range(6000)]
+    assert sorted((r["id"], r["k"], r["n"], len(r["heavy"])) for r in found) == want
