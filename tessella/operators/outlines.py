@@ -1,20 +1,22 @@
-"""Outlines of regions: boundary edges, rings, simplification that keeps shared borders shared, validity.
+"""Outlines of regions: boundary edges, rings, corners, areas.
 
-Edges are directed with the region on their right (y grows downwards), on grid corners. Rings are
-traced per image; an image's regions are traced together so that shared chains are simplified once.
+Edges are directed with the region on their right (y grows downwards), on grid corners. Every edge has
+one edge after it, so rings are the cycles of a permutation; edges of whole regions are linked and
+numbered at once by pointer jumping over arrays, in tasks that hold some regions each. Rings, chains and
+outlines are relations from there on.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Point = tuple[int, int]
-#: Shares of the tolerance that are tried in turn until all outlines are valid.
-FALLBACKS = (1.0, 0.5, 0.25, 0.125, 0.0)
+from tessella.operators.overlaps import invalid_outlines, twice_area
+from tessella.operators.topology import simplified_rings
 
 
 class OutlineError(ValueError):
@@ -34,258 +36,104 @@ def boundary_edges(members: DataFrame) -> DataFrame:
     return asked.join(owners, ["image_id", "nx", "ny"], "left").filter("other is null or other <> region_id").select("image_id", "region_id", "sx", "sy", "ex", "ey", "other")
 
 
-def trace_rings(edges: list[tuple[Point, Point]]) -> list[list[Point]]:
-    """Closed rings from directed unit edges: from the least edge on, right turns first; a ring ends on reaching its start."""
-    out: dict[Point, list[Point]] = defaultdict(list)
-    for a, b in edges:
-        out[a].append(b)
-    rings = []
-    for a, b in sorted(edges):
-        if b not in out[a]:
-            continue
-        out[a].remove(b)
-        ring, before, at = [a], a, b
-        while at != a:
-            ring.append(at)
-            dx, dy = at[0] - before[0], at[1] - before[1]
-            for turn in ((-dy, dx), (dx, dy), (dy, -dx), (-dx, -dy)):  # right, straight, left, back
-                then = (at[0] + turn[0], at[1] + turn[1])
-                if then in out[at]:
-                    break
-            else:
-                raise OutlineError("a boundary does not close")
-            out[at].remove(then)
-            before, at = at, then
-        rings.append(ring)
-    return rings
-
-
-def twice_area(ring: list[Point]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]]))
-
-
-def classify_rings(rings: list[list[Point]]) -> tuple[list[Point], list[list[Point]]]:
-    """The outer ring and the holes, by signed area."""
-    areas = [twice_area(r) for r in rings]
-    outer = [r for r, a in zip(rings, areas) if a > 0]
-    if len(outer) != 1 or 0 in areas:
-        raise OutlineError("a region needs exactly one outer ring and no empty one")
-    return outer[0], sorted((r for r, a in zip(rings, areas) if a < 0), key=lambda r: (min(r), r))
-
-
-def drop_straight(ring: list[Point]) -> list[Point]:
-    """Without the points between two edges of one direction."""
-    n = len(ring)
-    return [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - p[0])]
-
-
-def _distance2(p: Point, a: Point, b: Point) -> float:
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    length = dx * dx + dy * dy
-    t = 0.0 if not length else max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / length))
-    return (p[0] - a[0] - t * dx) ** 2 + (p[1] - a[1] - t * dy) ** 2
-
-
-def simplify_chain(points: list[Point], tolerance: float) -> list[Point]:
-    """Douglas-Peucker with a stack; the first farthest point splits a part if it is farther than the tolerance."""
-    keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
-    while stack:
-        a, b = stack.pop()
-        best, at = tolerance * tolerance, -1
-        for i in range(a + 1, b):
-            if (d := _distance2(points[i], points[a], points[b])) > best:
-                best, at = d, i
-        if at >= 0:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
-
-
-def simplify_ring(ring: list[Point], tolerance: float) -> list[Point]:
-    """A closed ring as two chains between its first point and the farthest one; three points at least stay."""
-    if len(ring) <= 3 or tolerance <= 0:
-        return ring
-    far = max(range(1, len(ring)), key=lambda i: ((ring[i][0] - ring[0][0]) ** 2 + (ring[i][1] - ring[0][1]) ** 2, -i))
-    out = simplify_chain(ring[: far + 1], tolerance)[:-1] + simplify_chain([*ring[far:], ring[0]], tolerance)[:-1]
-    if len(out) < 3 or not twice_area(out):
-        third = max((i for i in range(len(ring)) if i not in (0, far)), key=lambda i: (_distance2(ring[i], ring[0], ring[far]), -i))
-        out = [ring[i] for i in sorted({0, far, third})]
-    return out
-
-
-def boundary_chains(ring: list[Point], others: list[int | None]) -> list[list[Point]]:
-    """A ring cut where the region beyond changes; ``others[i]`` lies beyond the edge from point i. One chain if it never does."""
-    n = len(ring)
-    cuts = [i for i in range(n) if others[i] != others[i - 1]]
-    if not cuts:
-        return [ring]
-    return [[ring[k % n] for k in range(a, b + 1)] for a, b in zip(cuts, [*cuts[1:], cuts[0] + n])]
-
-
-def canonical_chain(chain: list[Point]) -> list[Point]:
-    """The lesser of a chain and its reverse, so that both sides of a border get one form."""
-    return min(chain, chain[::-1])
-
-
-def canonical_ring(ring: list[Point]) -> list[Point]:
-    """A ring from its least point on, in the lesser direction."""
-    at = ring.index(min(ring))
-    forward = ring[at:] + ring[:at]
-    return min(forward, [forward[0], *forward[:0:-1]])
-
-
-def _orient(a: Point, b: Point, c: Point) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
-def on_segment(p: Point, a: Point, b: Point) -> bool:
-    return _orient(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
-
-
-def crosses(a: Point, b: Point, c: Point, d: Point) -> bool:
-    """Whether two segments cross inside both."""
-    return _orient(a, b, c) * _orient(a, b, d) < 0 and _orient(c, d, a) * _orient(c, d, b) < 0
-
-
-def ring_is_valid(ring: list[Point]) -> bool:
-    """Three distinct points, an area, and no edges that cross, overlap or touch except at one shared corner."""
-    n = len(ring)
-    if len(set(ring)) < 3 or not twice_area(ring):
-        return False
-    edges = [(ring[i], ring[(i + 1) % n]) for i in range(n)]
-    order = sorted(range(n), key=lambda i: min(edges[i][0][0], edges[i][1][0]))
-    active: list[int] = []
-    for i in order:  # a sweep over x
-        a, b = edges[i]
-        active = [j for j in active if max(edges[j][0][0], edges[j][1][0]) >= min(a[0], b[0])]
-        for j in active:
-            c, d = edges[j]
-            if max(c[1], d[1]) < min(a[1], b[1]) or min(c[1], d[1]) > max(a[1], b[1]):
-                continue
-            if crosses(a, b, c, d):
-                return False
-            shared = {a, b} & {c, d}
-            if len(shared) == 2 or any(on_segment(p, c, d) for p in {a, b} - shared) or any(on_segment(p, a, b) for p in {c, d} - shared):
-                return False
-        active.append(i)
-    return True
-
-
-def point_inside(p: tuple[float, float], rings: list[list[Point]]) -> bool:
-    """Strictly inside by the even-odd rule over outer ring and holes; points on an edge are not."""
-    inside = False
-    for ring in rings:
-        for a, b in zip(ring, [*ring[1:], *ring[:1]]):
-            if on_segment(p, a, b):
-                return False
-            if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
-                inside = not inside
-    return inside
-
-
-def areas_overlap(a: list[list[Point]], b: list[list[Point]]) -> bool:
-    """Whether two outlines (outer ring, then holes) share area: a proper crossing, or a sample of one inside the other."""
-    segments = [[(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))] for rings in (a, b)]
-    for p, q in segments[0]:
-        for r, s in segments[1]:
-            if max(p[0], q[0]) >= min(r[0], s[0]) and max(r[0], s[0]) >= min(p[0], q[0]) and crosses(p, q, r, s):
-                return True
-    for own, other in ((0, b), (1, a)):
-        for p, q in segments[own]:
-            if point_inside(p, other) or point_inside(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2), other):
-                return True
-    return {frozenset(s) for s in segments[0]} == {frozenset(s) for s in segments[1]}
-
-
-def _box(ring: list[Point]) -> tuple[int, int, int, int]:
-    return min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)
-
-
-def invalid_regions(outlines: dict[int, list[list[Point]]], cell: int = 16) -> set[int]:
-    """Regions with an invalid ring or with area in common with another; pairs are met through grid cells of their boxes."""
-    bad = {r for r, rings in outlines.items() if not all(map(ring_is_valid, rings))}
-    cells: dict[Point, list[int]] = defaultdict(list)
-    boxes = {r: _box(rings[0]) for r, rings in outlines.items()}
-    for r, (x0, y0, x1, y1) in boxes.items():
-        for cx in range(int(x0) // cell, int(x1) // cell + 1):
-            for cy in range(int(y0) // cell, int(y1) // cell + 1):
-                cells[cx, cy].append(r)
-    pairs = {(a, b) for found in cells.values() for i, a in enumerate(sorted(found)) for b in sorted(found)[i + 1 :]}
-    for a, b in pairs:
-        (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = boxes[a], boxes[b]
-        if ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1 and areas_overlap(outlines[a], outlines[b]):
-            bad |= {a, b}
-    return bad
-
-
-def simplify_together(rings: dict[int, list[tuple[list[Point], list[int | None]]]], tolerance: float) -> dict[int, list[list[Point]]]:
-    """Outlines of one image, simplified chain by chain so that neighbours keep one border.
-
-    Chains of regions that come out invalid step down in tolerance until all is valid.
-    """
-    chains = {r: [boundary_chains(ring, others) for ring, others in found] for r, found in rings.items()}
-    whole = {r: [len(parts) == 1 and parts[0] is ring for parts, (ring, _) in zip(chains[r], found)] for r, found in rings.items()}
-    key = lambda part, closed: tuple(canonical_ring(part) if closed else canonical_chain(part))
-    level: dict[tuple, int] = {key(p, c): 0 for r in chains for parts, c in zip(chains[r], whole[r]) for p in parts}
-    users: dict[tuple, set[int]] = defaultdict(set)
-    for r in chains:
-        for parts, closed in zip(chains[r], whole[r]):
-            for p in parts:
-                users[key(p, closed)].add(r)
+def edge_after(region: np.ndarray, sx: np.ndarray, sy: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
+    """The edge that follows each one; all edges are in order of region and start. Two leave a corner that a region touches twice: the one that turns right."""
+    names = np.stack([np.concatenate([region, region]), np.concatenate([sx, ex]), np.concatenate([sy, ey])], axis=1)
+    _, corner = np.unique(names, axis=0, return_inverse=True)
+    starts, ends = corner[: len(sx)], corner[len(sx) :]
+    found = np.searchsorted(starts, ends)
+    if (found >= len(starts)).any() or (starts[np.minimum(found, len(starts) - 1)] != ends).any():
+        raise OutlineError("a boundary does not close")
+    twice = np.minimum(found + 1, len(starts) - 1)
+    right = (ex[twice] - sx[twice] == -(ey - sy)) & (ey[twice] - sy[twice] == ex - sx)
+    return np.where((starts[twice] == ends) & right, twice, found)
+
+
+def rings_of(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least edge of each edge's ring, and how many edges it comes after it. By pointer jumping."""
+    n = len(after)
+    least, jump = np.arange(n), after
     while True:
-        done: dict[tuple, list[Point]] = {}
-        out: dict[int, list[list[Point]]] = {}
-        for r in chains:
-            out[r] = []
-            for parts, closed in zip(chains[r], whole[r]):
-                ring: list[Point] = []
-                for p in parts:
-                    k = key(p, closed)
-                    if k not in done:
-                        t = tolerance * FALLBACKS[level[k]]
-                        done[k] = simplify_ring(list(k), t) if closed else (simplify_chain(list(k), t) if t > 0 else list(k))
-                    short = done[k]
-                    if closed:
-                        ring = short if (twice_area(short) > 0) == (twice_area(p) > 0) else short[::-1]
-                    else:
-                        ring += (short if list(k) == p else short[::-1])[:-1]
-                out[r].append(ring)
-        bad = invalid_regions(out)
-        lower = [k for k, regions in users.items() if regions & bad and level[k] < len(FALLBACKS) - 1]
-        if not lower:
-            return out
-        for k in lower:
-            level[k] += 1
-
-
-OUTLINE = "image_id long, region_id long, points array<struct<x:long,y:long>>, hole_rings array<array<struct<x:long,y:long>>>"
+        met = np.minimum(least, least[jump])
+        if np.array_equal(met, least) and np.array_equal(least[after], least):
+            break
+        least, jump = met, jump[jump]
+    leads = least == np.arange(n)
+    left, jump = np.where(leads, 0, 1), np.where(leads, np.arange(n), after)  # edges until the ring's least one
+    while not leads[jump].all():
+        left, jump = left + left[jump], jump[jump]
+    size = np.bincount(least, minlength=n)[least]
+    return least, np.where(leads, 0, size - left)
+
+
+def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the edges of whole regions; they come in order of image, region and start."""
+    rest: pa.Table | None = None
+
+    def traced(edges: pa.Table) -> pa.RecordBatch:
+        image, region, sx, sy, ex, ey = (edges.column(c).to_numpy() for c in ("image_id", "region_id", "sx", "sy", "ex", "ey"))
+        new = (np.diff(image, prepend=image[:1]) != 0) | (np.diff(region, prepend=region[:1]) != 0)
+        number = np.cumsum(new)
+        least, at = rings_of(edge_after(number, sx, sy, ex, ey))
+        area = np.zeros(len(sx), np.int64)
+        np.add.at(area, least, sx * ey - ex * sy)
+        leads = np.flatnonzero(least == np.arange(len(sx)))
+        outer = np.bincount(number[leads[area[leads] > 0]], minlength=number[-1] + 1)
+        if (outer != 1).any() or (area[leads] == 0).any():
+            raise OutlineError("a region needs exactly one outer ring and no empty one")
+        holes = leads[area[leads] < 0]  # in order of region and least edge
+        ring = np.zeros(len(sx), np.int64)
+        ring[holes] = np.arange(len(holes)) - np.searchsorted(number[holes], number[holes]) + 1
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (image, region, ring[least], at, sx, sy)), edges.column("other").combine_chunks()], ["image_id", "region_id", "ring", "at", "x", "y", "other"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest.num_rows < 200_000:
+            continue
+        image, region = (rest.column(c).to_numpy() for c in ("image_id", "region_id"))
+        whole = int(np.flatnonzero((image == image[-1]) & (region == region[-1]))[0])  # the last region may go on
+        if whole:
+            yield traced(rest.slice(0, whole))
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield traced(rest)
 
 
-def trace_outlines(members: DataFrame, tolerance: float | None = None, raw: bool = False) -> DataFrame:
-    """``(image_id, region_id, points, hole_rings)``: every grid corner (``raw``), corners only, or simplified within ``tolerance``."""
+def ring_points(members: DataFrame) -> DataFrame:
+    """``(image_id, region_id, ring, at, x, y, other)``: the corners of all rings in order from the least one on.
+
+    Ring 0 is the outer one, holes follow in order of their least corners; ``other`` lies beyond the edge that leaves the corner.
+    """
     edges = boundary_edges(members)
+    dealt = edges.repartition("image_id", "region_id").sortWithinPartitions("image_id", "region_id", "sx", "sy", "ex", "ey")
+    return dealt.mapInArrow(_trace, "image_id long, region_id long, ring long, at long, x long, y long, other long")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        image = int(part["image_id"].iloc[0])
-        traced = {}
-        for r, e in part.groupby("region_id"):
-            pairs = list(zip(zip(e["sx"].tolist(), e["sy"].tolist()), zip(e["ex"].tolist(), e["ey"].tolist())))
-            beyond = {p: None if pd.isna(o) else int(o) for p, o in zip(pairs, e["other"].tolist())}
-            outer, holes = classify_rings(trace_rings(pairs))
-            traced[int(r)] = [(ring, [beyond[ring[i], ring[(i + 1) % len(ring)]] for i in range(len(ring))]) for ring in (outer, *holes)]
-        if tolerance is None:
-            done = {r: [ring if raw else drop_straight(ring) for ring, _ in found] for r, found in traced.items()}
-        else:
-            done = {r: [drop_straight(ring) for ring in rings] for r, rings in simplify_together(traced, tolerance).items()}
-        as_rows = lambda ring: [{"x": int(x), "y": int(y)} for x, y in ring]
-        return pd.DataFrame([(image, r, as_rows(rings[0]), [as_rows(h) for h in rings[1:]]) for r, rings in sorted(done.items())], columns=["image_id", "region_id", "points", "hole_rings"])
 
-    return edges.groupBy("image_id").applyInPandas(run, OUTLINE)
+def without_straight(ring: Column) -> Column:
+    """A ring's corners without those between two edges of one direction."""
 
+    def turns(p: Column, i: Column) -> Column:
+        a, b = F.get(ring, F.pmod(i - 1 + F.size(ring), F.size(ring))), F.get(ring, F.pmod(i + 1, F.size(ring)))
+        return (p["x"] - a["x"]) * (b["y"] - p["y"]) != (p["y"] - a["y"]) * (b["x"] - p["x"])
 
-def ring_area(ring: str) -> str:
-    """SQL for twice the signed area of an array of points."""
-    return f"aggregate(transform({ring}, (p, i) -> p.x * {ring}[(i + 1) % size({ring})].y - {ring}[(i + 1) % size({ring})].x * p.y), cast(0 as bigint), (a, v) -> a + v)"
+    return F.filter(ring, turns)
+
+
+def whole_outlines(rings: DataFrame, straight: bool) -> DataFrame:
+    """Outlines from ``rings(image_id, region_id, ring, points)``; not ``straight``: corners only."""
+    own = rings if straight else rings.withColumn("points", without_straight(F.col("points")))
+    parts = own.groupBy("image_id", "region_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda r: r["points"]).alias("rings"))
+    return parts.select("image_id", "region_id", F.get("rings", F.lit(0)).alias("points"), F.slice("rings", 2, F.size("rings")).alias("hole_rings"))
+
+
+def trace_outlines(members: DataFrame, tolerance: float | None = None, raw: bool = False) -> DataFrame:
+    """``(image_id, region_id, points, hole_rings)``: every grid corner (``raw``), corners only, or simplified within ``tolerance``."""
+    corners = ring_points(members)
+    if tolerance is not None:
+        return whole_outlines(simplified_rings(corners, tolerance, whole_outlines), False)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return whole_outlines(corners.groupBy("image_id", "region_id", "ring").agg(points.alias("points")), raw)
 
 
 def outline_set_stats(outlines: DataFrame) -> DataFrame:
@@ -296,7 +144,7 @@ def outline_set_stats(outlines: DataFrame) -> DataFrame:
 
 def outline_areas(outlines: DataFrame) -> DataFrame:
     """Area inside the outer ring without the holes."""
-    total = F.expr(f"{ring_area('points')} + aggregate(transform(hole_rings, h -> {ring_area('h')}), cast(0 as bigint), (a, v) -> a + v)")
+    total = F.expr(f"{twice_area('points')} + aggregate(transform(hole_rings, h -> {twice_area('h')}), cast(0 as bigint), (a, v) -> a + v)")
     return outlines.select("image_id", "region_id", (total / 2).alias("area"))
 
 
@@ -308,10 +156,4 @@ def point_reduction(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def validate_outlines(outlines: DataFrame) -> DataFrame:
     """``(image_id, region_id)`` of outlines with an invalid ring, or with area in common with another of their image."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        points = lambda ring: [(p["x"], p["y"]) for p in ring]
-        bad = invalid_regions({int(r): [points(o), *map(points, h)] for r, o, h in zip(part["region_id"], part["points"], part["hole_rings"])})
-        return pd.DataFrame({"image_id": [int(part["image_id"].iloc[0])] * len(bad), "region_id": sorted(bad)}, columns=["image_id", "region_id"])
-
-    return outlines.groupBy("image_id").applyInPandas(run, "image_id long, region_id long")
+    return invalid_outlines(outlines)

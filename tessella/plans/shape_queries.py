@@ -9,8 +9,10 @@ from tessella.functions.color import with_lab
 from tessella.operators import folds as D
 from tessella.operators import labels as L
 from tessella.operators import outlines as O
+from tessella.operators import overlaps as V
 from tessella.operators import quantize as Q
 from tessella.operators import regions as R
+from tessella.operators import topology as T
 from tessella.plans.colour_queries import rounded
 from tessella.plans.region_queries import DIAMETER, REGIONS, TABLE, region_pixels
 from tessella.plans.registry import query, with_sql
@@ -111,10 +113,26 @@ def outline_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.point_reduction(O.trace_outlines(members), O.trace_outlines(members, tolerance=1.0)), "reduction")
 
 
-# Squares in a row, one a customer; every third ring crosses itself, and every seventh of the others reaches over the next one.
-@query("invalid_outlines", """WITH s AS (SELECT c_custkey // 10 AS image_id, c_custkey % 10 AS region_id, c_custkey % 3 = 1 AS crossed, c_custkey % 7 = 2 AND c_custkey % 3 <> 1 AS wide FROM customer)
-SELECT image_id, region_id FROM s WHERE crossed OR (wide AND EXISTS (SELECT 1 FROM s n WHERE n.image_id = s.image_id AND n.region_id = s.region_id + 1)) OR EXISTS (SELECT 1 FROM s p WHERE p.image_id = s.image_id AND p.region_id = s.region_id - 1 AND p.wide AND NOT s.crossed)""")
-def invalid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Edges with the one after them; of two at a corner the one that turns right. Chains are walked from their cuts on.
+_CHAINS = [
+    f"sd(dx, dy, px1, py1, px2, py2) AS (VALUES {_SIDES})",
+    "bnd AS MATERIALIZED (SELECT r.image_id, r.region_id, r.x + px1 AS sx, r.y + py1 AS sy, r.x + px2 AS ex, r.y + py2 AS ey, o.region_id AS other FROM reg r CROSS JOIN sd LEFT JOIN reg o ON o.image_id = r.image_id AND o.x = r.x + dx AND o.y = r.y + dy WHERE o.region_id IS NULL OR o.region_id <> r.region_id)",
+    """nxt AS MATERIALIZED (SELECT e.*, o.ex AS nx, o.ey AS ny, e.other IS DISTINCT FROM o.other AS cut FROM bnd e JOIN bnd o ON o.image_id = e.image_id AND o.region_id = e.region_id AND o.sx = e.ex AND o.sy = e.ey
+  QUALIFY row_number() OVER (PARTITION BY e.image_id, e.region_id, e.sx, e.sy, e.ex, e.ey ORDER BY (o.ex - o.sx = e.sy - e.ey AND o.ey - o.sy = e.ex - e.sx) DESC) = 1)""",
+    """walk AS (SELECT image_id, region_id, ex AS sx, ey AS sy, nx AS ex, ny AS ey, [(ex, ey), (nx, ny)] AS pts FROM nxt WHERE cut
+  UNION ALL SELECT n.image_id, n.region_id, n.ex, n.ey, n.nx, n.ny, list_append(pts, (n.nx, n.ny)) FROM walk w JOIN nxt n ON n.image_id = w.image_id AND n.region_id = w.region_id AND n.sx = w.sx AND n.sy = w.sy AND n.ex = w.ex AND n.ey = w.ey AND NOT n.cut)""",
+    "whole AS (SELECT w.image_id, pts FROM walk w JOIN nxt n ON n.image_id = w.image_id AND n.region_id = w.region_id AND n.sx = w.sx AND n.sy = w.sy AND n.ex = w.ex AND n.ey = w.ey AND n.cut)",
+]
+
+
+@query("border_chains", with_sql([*REGIONS, *_CHAINS], "SELECT image_id, count(DISTINCT least(pts, list_reverse(pts))) AS open_chains, count(*) AS open_refs, (SELECT count(DISTINCT (ex, ey)) FROM nxt n WHERE n.cut AND n.image_id = whole.image_id) AS nodes FROM whole GROUP BY image_id", True))
+def border_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.chain_stats(O.ring_points(region_pixels(spark, sf_dir)))
+    return found.filter("nodes > 0").select("image_id", (F.col("chains") - F.col("closed_chains")).alias("open_chains"), (F.col("refs") - F.col("closed_refs")).alias("open_refs"), "nodes")
+
+
+def customer_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares in a row, one a customer; every third ring crosses itself, and every seventh of the others reaches over the next one."""
     key = F.col("c_custkey")
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(key / 10).alias("image_id"), (key % 10).alias("region_id"), (key % 3 == 1).alias("crossed"), ((key % 7 == 2) & (key % 3 != 1)).alias("wide"))
     left = (F.col("region_id") * 4).cast("int")
@@ -122,7 +140,20 @@ def invalid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
     square, bow = F.array(at(left, 0), at(right, 0), at(right, 2), at(left, 2)), F.array(at(left, 0), at(right, 2), at(right, 0), at(left, 2))
     points = F.when(F.col("crossed"), bow).otherwise(square)
-    return O.validate_outlines(rows.select("image_id", "region_id", points.alias("points"), F.array().cast("array<array<struct<x:int,y:int>>>").alias("hole_rings")))
+    return rows.select("image_id", "region_id", points.alias("points"), F.array().cast("array<array<struct<x:int,y:int>>>").alias("hole_rings"))
+
+
+_SQUARES = "s AS (SELECT c_custkey // 10 AS image_id, c_custkey % 10 AS region_id, c_custkey % 3 = 1 AS crossed, c_custkey % 7 = 2 AND c_custkey % 3 <> 1 AS wide FROM customer)"
+
+
+@query("invalid_outlines", with_sql([_SQUARES], "SELECT image_id, region_id FROM s WHERE crossed OR (wide AND EXISTS (SELECT 1 FROM s n WHERE n.image_id = s.image_id AND n.region_id = s.region_id + 1)) OR EXISTS (SELECT 1 FROM s p WHERE p.image_id = s.image_id AND p.region_id = s.region_id - 1 AND p.wide AND NOT s.crossed)"))
+def invalid_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.validate_outlines(customer_squares(spark, sf_dir))
+
+
+@query("overlapping_outlines", with_sql([_SQUARES], "SELECT s.image_id, s.region_id AS first_id, n.region_id AS second_id FROM s JOIN s n ON s.wide AND n.image_id = s.image_id AND n.region_id = s.region_id + 1"))
+def overlapping_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.overlapping_pairs(customer_squares(spark, sf_dir))
 
 
 @query("invalid_simplified_outlines")
