@@ -1,8 +1,8 @@
 """Regions of a quantized raster: detection, borders, perimeters, paintability.
 
-Detection is the one step that needs an image as a whole: it is a grouped map over single images, whose
-size is bounded (:data:`MOST_PIXELS`, checked), with arrays inside. All else is windows, joins on
-region ids and aggregations.
+Regions and components are found in tiles of bounded size, with arrays inside, and joined across tiles as
+links between their parts, so an image is spread over tasks. All else is windows, joins on region ids and
+aggregations.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pixels of the largest image that is handled in one task.
+from tessella.operators.components import roots
+from tessella.tables import stored
+
+#: Pixels of the largest image that a fold may hold in one task; tiles are far smaller.
 MOST_PIXELS = 50_000_000
 
 
@@ -64,15 +67,60 @@ def label_grid(grid: np.ndarray) -> np.ndarray:
     return np.where(roots >= 0, np.searchsorted(known, roots) + 1, 0)
 
 
-def detect_regions(quantized: DataFrame) -> DataFrame:
-    """``(image_id, region_id, pos, x, y, idx)``: the region of every pixel."""
+#: Side of a tile that one task labels.
+TILE = 256
+
+
+#: Bits of x in a scan position.
+SCAN = 31
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows(image_id, root, ...)`` with ``name`` for ``root``: the numbers of an image's roots, from 1, in their order."""
+    order = Window.partitionBy("image_id").orderBy("root")
+    numbers = rows.select("image_id", "root").distinct().withColumn(name, F.row_number().over(order).cast("long"))
+    return rows.join(numbers, ["image_id", "root"]).drop("root")
+
+
+def tile_labels(quantized: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(image_id, pos, x, y, idx, local)``: pixels with the first one, in scan order, of their region's part within a tile."""
 
     def label(pixels: pd.DataFrame) -> pd.DataFrame:
         x, y = pixels["x"].to_numpy(), pixels["y"].to_numpy()
-        ids = label_grid(grid_of(x, y, pixels["idx"].to_numpy()))
-        return pixels.assign(region_id=ids[y, x])[["image_id", "region_id", "pos", "x", "y", "idx"]]
-
-    return quantized.select("image_id", "pos", "x", "y", "idx").groupBy("image_id").applyInPandas(label, "image_id long, region_id long, pos long, x long, y long, idx long")
+        u, v = x - x.min(), y - y.min()
+        ids = label_grid(grid_of(u, v, pixels["idx"].to_numpy()))[v, u]
+        scan = y << SCAN | x
+        first = np.full(int(ids.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, ids, scan)
+        return pixels.assign(local=first[ids])[["image_id", "pos", "x", "y", "idx", "local"]]
+
+    dealt = quantized.select("image_id", "pos", "x", "y", "idx", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    return dealt.groupBy("image_id", "tx", "ty").applyInPandas(label, "image_id long, pos long, x long, y long, idx long, local long")
+
+
+def tile_links(labelled: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(image_id, node, other)``: parts of regions that meet across the edge of two tiles; only pixels on such edges are read."""
+    found = None
+    for moving, fixed in (("x", "y"), ("y", "x")):
+        edge = labelled.filter(F.pmod(F.col(moving), F.lit(tile)).isin(0, tile - 1)).select("image_id", "x", "y", "idx", "local")
+        near = Window.partitionBy("image_id", fixed).orderBy(moving)
+        at = F.lag(F.struct("idx", "local", moving)).over(near)
+        met = edge.withColumn("before", at).filter((F.col("before")[moving] == F.col(moving) - 1) & (F.pmod(F.col(moving), F.lit(tile)) == 0) & (F.col("before.idx") == F.col("idx")))
+        links = met.select("image_id", F.col("local").alias("node"), F.col("before.local").alias("other"))
+        found = links if found is None else found.unionByName(links)
+    return found.distinct()
+
+
+def detect_regions(quantized: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(image_id, region_id, pos, x, y, idx)``: the 4-connected region of every pixel, numbered by its first pixel in scan order.
+
+    Tiles are labelled by themselves, and the parts that meet across their edges are joined as components.
+    """
+    labelled = stored(tile_labels(quantized, tile), "tile-labels")
+    linked = roots(tile_links(labelled, tile))
+    parts = labelled.join(linked.withColumnRenamed("node", "local"), ["image_id", "local"], "left")
+    rooted = parts.select("image_id", F.coalesce("root", "local").alias("root"), "pos", "x", "y", "idx")
+    return numbered(rooted, "region_id").select("image_id", "region_id", "pos", "x", "y", "idx")
 
 
 def _moved(column: str, offset: int, orientation: str) -> Column:
@@ -177,21 +225,29 @@ def merge_targets(undersized: DataFrame, borders: DataFrame) -> DataFrame:
     return ranked.filter("r = 1").select("image_id", F.col("src").alias("region_id"), F.col("dst").alias("target_id"), "length")
 
 
-def components_by_points(edges: DataFrame) -> DataFrame:
-    """``edges(image_id, orientation, x, y, x1, y1, x2, y2, ...)`` with ``component``: edges that share grid points, numbered in scan order."""
-    columns = edges.columns
+def components_by_points(edges: DataFrame, tile: int = TILE) -> DataFrame:
+    """``edges(image_id, orientation, x, y, x1, y1, x2, y2, ...)`` with ``component``: edges that share grid points, numbered in scan order.
+
+    Edges that start in a tile are joined by themselves, then their parts through the points where several meet.
+    """
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x", "orientation"])
-        points = np.concatenate([rows["y1"].to_numpy() << 32 | rows["x1"].to_numpy(), rows["y2"].to_numpy() << 32 | rows["x2"].to_numpy()])
+        scan = ((rows["y"].to_numpy() << SCAN | rows["x"].to_numpy()) << 1) | (rows["orientation"] == "vertical").to_numpy()
+        rows = rows.iloc[np.argsort(scan, kind="stable")]
+        points = np.concatenate([rows[f"y{e}"].to_numpy() << SCAN | rows[f"x{e}"].to_numpy() for e in (1, 2)])
         _, numbers = np.unique(points, return_inverse=True)
         n = len(rows)
-        roots = join_labels(n + int(numbers.max()) + 1, np.tile(np.arange(n), 2), numbers + n)[:n]
-        known = np.unique(roots)
-        return rows.assign(component=np.searchsorted(known, roots) + 1)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields) + ", component long"
-    return edges.groupBy("image_id").applyInPandas(label, schema).select(*columns, "component")
+        parents = join_labels(n + int(numbers.max()) + 1, np.tile(np.arange(n), 2), numbers + n)[:n]
+        return rows.assign(local=np.sort(scan)[parents])
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields)
+    tiled = edges.groupBy("image_id", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)).applyInPandas(label, f"{names}, local long")
+    labelled = stored(tiled, "edge-parts")
+    ends = labelled.select("image_id", "local", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).distinct()
+    shared = ends.withColumn("least", F.min("local").over(Window.partitionBy("image_id", "p")))  # four edges meet at a point at most
+    linked = roots(shared.filter("local > least").select("image_id", F.col("local").alias("node"), F.col("least").alias("other")))
+    parts = labelled.join(linked.withColumnRenamed("node", "local"), ["image_id", "local"], "left")
+    return numbered(parts.withColumn("root", F.coalesce("root", "local")), "component").select(*edges.columns, "component")
 
 
 def boundary_components(labelled: DataFrame) -> DataFrame:
