@@ -234,26 +234,6 @@ def reduction_matrix(pixels: DataFrame, palette: DataFrame, diameter: int, fract
 
 
 
-def leader_clusters(colours: DataFrame, threshold: float) -> DataFrame:
-    """``colours(image_id, rgb, first_pos, l, a, b)`` with ``leader``: the first earlier leader within the threshold (plain Lab distance), else itself."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("first_pos")
-        lab, rgb = part[["l", "a", "b"]].to_numpy(), part["rgb"].to_numpy()
-        leaders: list[int] = []
-        out = np.zeros(len(part), np.int64)
-        for i in range(len(part)):
-            near = np.flatnonzero(((lab[leaders] - lab[i]) ** 2).sum(axis=1) <= threshold * threshold) if leaders else []
-            if len(near):
-                out[i] = rgb[leaders[near[0]]]
-            else:
-                leaders.append(i)
-                out[i] = rgb[i]
-        return pd.DataFrame({"image_id": part["image_id"], "rgb": rgb, "leader": out})
-
-    return colours.select("image_id", "rgb", "first_pos", "l", "a", "b").groupBy("image_id").applyInPandas(run, "image_id long, rgb long, leader long")
-
-
 def _greedy_components(part: pd.DataFrame, threshold: float) -> list[list[int]]:
     """Packed members of each component, seed first; ``part`` is in scan order."""
     packed = (part["y"].to_numpy() << SHIFT | part["x"].to_numpy()).tolist()

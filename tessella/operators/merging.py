@@ -77,6 +77,34 @@ def candidates(regions: DataFrame, borders: DataFrame, palette: DataFrame, dista
     return apply_steps(rows, DERIVED, [*MEASURES, "border_penalty", "geometry_penalty"]).withColumnsRenamed({"src": "source_id", "dst": "target_id"})
 
 
+def union_measures(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(image_id, src, dst)`` with ``union_area`` and ``union_perimeter`` of regions that may share pixels.
+
+    A side of a region's pixel counts if neither region lies beyond it: what the other region covers of
+    each one's sides comes off, and sides that both have count once. No pixel is sent once a pair.
+    """
+    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    own = members.select("image_id", "region_id", "x", "y").distinct()
+    sides = own.select("image_id", "region_id", "x", "y", F.explode(offsets).alias("o")).select("image_id", "region_id", "x", "y", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
+    beyond = own.select("image_id", "region_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    open_ = sides.join(beyond, ["image_id", "region_id", "nx", "ny"], "left_anti")
+    sizes = own.groupBy("image_id", "region_id").agg(F.count("*").alias("area")).join(open_.groupBy("image_id", "region_id").agg(F.count("*").alias("perimeter")), ["image_id", "region_id"])
+    named = lambda df, name: df.withColumnRenamed("region_id", name)
+    count = lambda met, name: met.filter("src <> dst").groupBy("image_id", "src", "dst").agg(F.count("*").alias(name))
+    shared = count(named(own, "src").join(named(own, "dst"), ["image_id", "x", "y"]), "shared")
+    covered = count(named(open_, "src").join(named(beyond, "dst"), ["image_id", "nx", "ny"]), "covered")
+    common = count(named(open_, "src").join(named(open_, "dst"), ["image_id", "x", "y", "nx", "ny"]), "common")
+    back = covered.select("image_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("covered").alias("covered_back"))
+    key = ["image_id", "src", "dst"]
+    rows = pairs.select(*key).distinct()
+    for end in ("src", "dst"):
+        rows = rows.join(sizes.select("image_id", F.col("region_id").alias(end), F.col("area").alias(f"{end}_area"), F.col("perimeter").alias(f"{end}_perimeter")), ["image_id", end])
+    for table in (shared, covered, back, common):
+        rows = rows.join(table, key, "left")
+    rows = rows.fillna(0, ["shared", "covered", "covered_back", "common"])
+    return rows.select(*key, F.expr("src_area + dst_area - shared").alias("union_area"), F.expr("src_perimeter + dst_perimeter - covered - covered_back - common").alias("union_perimeter"))
+
+
 def palette_distances(palette: DataFrame, distance: str = "delta_e_2000") -> DataFrame:
     """``(source_idx, target_idx, de)`` of all pairs of palette colours; a palette has 256 at most."""
     lab = with_lab(palette.select("idx", "rgb"))

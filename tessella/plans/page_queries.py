@@ -11,7 +11,7 @@ from tessella.plans.colour_queries import rounded
 from tessella.plans.pipeline import Options, generate
 from tessella.plans.registry import query
 from tessella.sources import images as I
-from tessella.sources import palettes, sinks, synthetic
+from tessella.sources import palettes, resampling, sinks, synthetic
 from tessella.sources.lenses import PALETTE_SQL, TILES_SQL, event_tiles, nation_palette
 
 KINDS = ["flat", "checkerboard", "comb", "gradient"]
@@ -51,6 +51,25 @@ def processing_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.processing_size(sizes(spark, sf_dir).filter("width > 0 and height > 0").select("image_id", "width", "height"), 1_600_000)
 
 
+_TAPS = lambda n, m, name: f"""{name}0 AS (SELECT image_id, {n} AS n, {n}::DOUBLE / {m} AS scale, greatest({n}::DOUBLE / {m}, 1) AS wide, i, (i + 0.5) * ({n}::DOUBLE / {m}) AS c FROM dims, range(0, {m}) t(i)),
+{name}1 AS (SELECT image_id, i, k, (k + 0.5 - c) / wide AS t FROM {name}0, range(greatest(0, floor(c - 3 * wide + 0.5))::BIGINT, least(n, floor(c + 3 * wide + 0.5))::BIGINT) r(k)),
+{name}2 AS (SELECT image_id, i, k, CASE WHEN t = 0 THEN 1 WHEN abs(t) >= 3 THEN 0 ELSE 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) END AS w FROM {name}1),
+{name} AS (SELECT image_id, i, k, w / sum(w) OVER (PARTITION BY image_id, i) AS w FROM {name}2)"""
+_CHANNELS = (("r", 16), ("g", 8), ("b", 0))
+
+
+# Tiles shrink to half their width and a third of their height.
+@query("resampled_tiles", f"""WITH {TILES_SQL}, dims AS (SELECT *, greatest(height // 3, 1) AS mh, greatest(width // 2, 1) AS mw FROM (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM px GROUP BY image_id)),
+{_TAPS("width", "mw", "ac")}, {_TAPS("height", "mh", "dn")},
+rw AS (SELECT px.image_id, i AS x, y, {", ".join(f"sum(((rgb >> {s}) & 255) * w) AS {c}" for c, s in _CHANNELS)} FROM px JOIN ac ON ac.image_id = px.image_id AND ac.k = px.x GROUP BY ALL),
+cl AS (SELECT rw.image_id, x, i AS y, {", ".join(f"least(greatest(floor(sum({c} * w) + 0.5), 0), 255)::BIGINT AS {c}" for c, _ in _CHANNELS)} FROM rw JOIN dn ON dn.image_id = rw.image_id AND dn.k = rw.y GROUP BY ALL)
+SELECT cl.image_id, y * mw + x AS pos, x, y, r * 65536 + g * 256 + b AS rgb FROM cl JOIN dims ON dims.image_id = cl.image_id""")
+def resampled_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = event_tiles(spark, sf_dir)
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return resampling.resample(px, sizes.withColumns({"process_width": F.greatest(F.floor(F.col("width") / 2), F.lit(1)), "process_height": F.greatest(F.floor(F.col("height") / 3), F.lit(1))}))
+
+
 _PLACED = f"""{_SIZES}, r AS (SELECT *, {P.effective_margin(5.0, 0.1)!r}::DOUBLE AS m, CASE WHEN page = 'A4' THEN 210e0 ELSE 297e0 END AS s, CASE WHEN page = 'A4' THEN 297e0 ELSE 420e0 END AS l FROM sz WHERE width > 0 AND height > 0),
 o AS (SELECT *, CASE WHEN orientation = 'landscape' THEN l ELSE s END - 2 * m AS rw, CASE WHEN orientation = 'landscape' THEN s ELSE l END - 2 * m AS rh FROM r),
 k AS (SELECT *, CASE WHEN placement = 'fit' THEN least(rw / width, rh / height) ELSE greatest(rw / width, rh / height) END AS scale FROM o),

@@ -96,6 +96,17 @@ def overlapping_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlapping_borders(blocks(spark, sf_dir))
 
 
+_UNIONS = """pr AS (SELECT DISTINCT a.image_id, a.region_id AS src, b.region_id AS dst FROM mem a JOIN mem b ON a.image_id = b.image_id AND a.region_id <> b.region_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+un AS (SELECT DISTINCT pr.image_id, src, dst, x, y FROM pr JOIN mem m ON m.image_id = pr.image_id AND m.region_id IN (src, dst))"""
+
+
+# In SQL every pair's pixels are put together and their open sides counted.
+@query("union_measures", with_sql([QUANTIZED[0], _BLOCKS, _UNIONS], "SELECT u.image_id, u.src, u.dst, count(DISTINCT (u.x, u.y)) AS union_area, (4 * count(DISTINCT (u.x, u.y)) - count(n.x))::BIGINT AS union_perimeter FROM un u LEFT JOIN un n ON n.image_id = u.image_id AND n.src = u.src AND n.dst = u.dst AND abs(n.x - u.x) + abs(n.y - u.y) = 1 GROUP BY u.image_id, u.src, u.dst"))
+def union_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = blocks(spark, sf_dir)
+    return M.union_measures(members, R.overlapping_borders(members))
+
+
 @query("overlapping_images", with_sql([QUANTIZED[0], _BLOCKS], "SELECT image_id, max(n) > 1 AS overlapping FROM (SELECT image_id, x, y, count(DISTINCT region_id) AS n FROM mem GROUP BY ALL) GROUP BY image_id"))
 def overlapping_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlapping_images(blocks(spark, sf_dir))

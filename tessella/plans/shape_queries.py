@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.color import with_lab
 from tessella.operators import folds as D
 from tessella.operators import labels as L
+from tessella.operators import leaders as C
 from tessella.operators import outlines as O
 from tessella.operators import overlaps as V
 from tessella.operators import quantize as Q
@@ -49,7 +50,12 @@ def reduction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("leader_clusters")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.leader_clusters(with_lab(Q.unique_colours(event_tiles(spark, sf_dir))), 2.0)
+    return C.leader_clusters(with_lab(Q.unique_colours(event_tiles(spark, sf_dir))), 2.0)
+
+
+@query("leader_clusters_2000")
+def leader_clusters_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.leader_clusters(with_lab(Q.unique_colours(event_tiles(spark, sf_dir))), 2.0, "delta_e_2000")
 
 
 def local_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Image files to pixels: formats are recognised by content, sizes are read from headers.
+"""Image files to pixels: formats are recognised by content, sizes and orientation are read from headers.
 
-:func:`refused_images` tells from headers alone why a file is not accepted. The JVM decodes BMP, JPEG and
-PNG; its source decodes every file under the path, so a folder of unknown files is best held against
-:func:`refused_images` first. WEBP has no decoder here and is refused. EXIF orientation is not applied.
+Files are accepted or refused by their headers; only accepted ones are given to the JVM's decoder (BMP,
+JPEG, PNG), so a small file that claims a huge image is never decoded. :func:`refused_images` tells why a file
+is left out, a body that turns out broken included. WEBP has no decoder here and is refused. The eight EXIF
+orientations are applied as a map of pixel positions.
 """
 
 from __future__ import annotations
@@ -31,8 +32,31 @@ def jpeg_size(data: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-def _jpeg_sizes(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([jpeg_size(c) if c is not None else (None, None) for c in content], columns=["width", "height"]).astype("Int64")
+def exif_orientation(data: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG file's EXIF segment gives; 1 if none or no valid one."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+            if order is None:
+                return 1
+            number = lambda start, n: int.from_bytes(tiff[start : start + n], order)  # noqa: E731, B023
+            table = number(4, 4)
+            for k in range(number(table, 2)):
+                entry = table + 2 + 12 * k
+                if number(entry, 2) == 0x0112:
+                    found = number(entry + 8, 2)
+                    return found if 1 <= found <= 8 else 1
+            return 1
+        at += 2 + size
+    return 1
+
+
+def _jpeg_headers(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(*jpeg_size(c), exif_orientation(c)) if c is not None else (None, None, None) for c in content], columns=["width", "height", "orientation"]).astype("Int64")
 
 
 def sniffed_format(content: Column) -> Column:
@@ -47,14 +71,14 @@ def _number(content: Column, at: int, size: int, little: bool) -> Column:
 
 
 def image_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, format, named, width, height)`` from the files' first segments; null where there is none to read."""
+    """``(path, format, named, width, height, orientation)`` from the files' first segments; null where there is none to read."""
     files = spark.read.format("binaryFile").load(path).withColumn("format", sniffed_format(F.col("content")))
-    files = files.withColumn("jpeg", F.pandas_udf(_jpeg_sizes, "width long, height long")(F.when(F.col("format") == "jpeg", F.col("content"))))
+    files = files.withColumn("jpeg", F.pandas_udf(_jpeg_headers, "width long, height long, orientation long")(F.when(F.col("format") == "jpeg", F.col("content"))))
     named = F.lower(F.element_at(F.split("path", r"\."), -1))
     little = lambda at: F.conv(F.concat(*(F.hex(F.substring("content", at + i, 1)) for i in (4, 3, 2, 1))), 16, 10).cast("long")
     width = F.when(F.col("format") == "png", _number(F.col("content"), 16, 4, False)).when(F.col("format") == "bmp", little(18)).otherwise(F.col("jpeg.width"))
     height = F.when(F.col("format") == "png", _number(F.col("content"), 20, 4, False)).when(F.col("format") == "bmp", F.when(little(22) >= 1 << 31, (1 << 32) - little(22)).otherwise(little(22))).otherwise(F.col("jpeg.height"))  # negative: top row first
-    return files.select("path", "format", F.create_map(*(F.lit(v) for kv in FORMATS.items() for v in kv))[named].alias("named"), width.alias("width"), height.alias("height"))
+    return files.select("path", "format", F.create_map(*(F.lit(v) for kv in FORMATS.items() for v in kv))[named].alias("named"), width.alias("width"), height.alias("height"), F.coalesce("jpeg.orientation", F.lit(1)).alias("orientation"))
 
 
 def acceptance(images: DataFrame, most_pixels: int = 50_000_000, most_width: int = 20_000, most_height: int = 20_000) -> DataFrame:
@@ -71,17 +95,48 @@ def checked_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
     return acceptance(image_headers(spark, path), **limits).withColumn("refusal", F.coalesce(own, "refusal"))
 
 
-def refused_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
-    """``(path, refusal)`` of every file under ``path`` that :func:`load_images` leaves out, from headers alone."""
-    return checked_images(spark, path, **limits).filter("refusal is not null").select("path", "refusal")
+#: Paths that one reader gets; Spark lists a reader's files on the driver, as it does for any folder.
+PATHS = 10_000
+
+
+def decoded_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """``(path, orientation, height, width, nChannels, data)`` of the accepted files under ``path``, and no others; ``data`` is null where the body is broken."""
+    accepted = checked_images(spark, path, **limits).filter("refusal is null").select("path", "orientation")
+    paths = sorted(r["path"] for r in accepted.select("path").toLocalIterator())
+    literal = lambda p: "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in p)  # noqa: E731  a path is no pattern
+    frames = [spark.read.format("image").option("dropInvalid", False).load([literal(p) for p in paths[at : at + PATHS]]).select("image.*") for at in range(0, len(paths), PATHS)]
+    if not frames:
+        return spark.createDataFrame([], "path string, orientation long, height int, width int, nChannels int, data binary")
+    images = frames[0]
+    for more in frames[1:]:
+        images = images.unionByName(more)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    images = images.withColumn("at", plain("origin")).join(accepted.withColumn("at", plain("path")), "at")
+    broken = F.coalesce(F.col("height") < 1, F.lit(True)) | (F.length("data") == 0)
+    return images.select("path", "orientation", "height", "width", "nChannels", F.when(~broken, F.col("data")).alias("data"))
+
+
+def refused_images(spark: SparkSession, path: str, decode: bool = False, **limits: int) -> DataFrame:
+    """``(path, refusal)`` of every file under ``path`` that :func:`load_images` leaves out. ``decode``: also accepted files whose ``body`` is broken."""
+    refused = checked_images(spark, path, **limits).filter("refusal is not null").select("path", "refusal")
+    if not decode:
+        return refused
+    return refused.unionByName(decoded_images(spark, path, **limits).filter("data is null").select("path", F.lit("body").alias("refusal")))
+
+
+def oriented(pixels: DataFrame) -> DataFrame:
+    """``pixels(image_id, x, y, rgb, width, height, orientation)`` turned upright: ``(image_id, pos, x, y, rgb)``."""
+    x, y, o = F.col("x"), F.col("y"), F.col("orientation")
+    right, low = F.col("width") - 1 - x, F.col("height") - 1 - y
+    turned = o >= 5  # rows become columns
+    u = F.when(o.isin(2, 3), right).when(o.isin(5, 8), y).when(o.isin(6, 7), low).otherwise(x)
+    v = F.when(o.isin(3, 4), low).when(o.isin(5, 6), x).when(o.isin(7, 8), right).otherwise(y)
+    across = F.when(turned, F.col("height")).otherwise(F.col("width"))
+    return pixels.select("image_id", (v * across + u).alias("pos"), u.alias("x"), v.alias("y"), "rgb")
 
 
 def load_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
     """``pixels`` of all accepted images under ``path``, numbered by path; :func:`refused_images` names the others."""
-    accepted = checked_images(spark, path, **limits).filter("refusal is null").select("path")
-    decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").join(accepted, F.regexp_replace(F.col("origin"), "^file:/+", "/") == F.regexp_replace(F.col("path"), "^file:/+", "/"))
-    decoded = decoded.withColumn("image_id", F.xxhash64("origin"))
-    decoded = acceptance(decoded, **limits).filter("refusal is null")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,9 +144,11 @@ def load_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
                 raw = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(np.int64)
                 raw = raw[..., [0, 0, 0]] if row.nChannels == 1 else raw[..., :3]  # the decoder gives blue, green, red
                 y, x = np.mgrid[: row.height, : row.width]
-                yield pd.DataFrame({"image_id": row.image_id, "pos": np.arange(row.height * row.width), "x": x.ravel(), "y": y.ravel(), "rgb": (raw[..., 2] << 16 | raw[..., 1] << 8 | raw[..., 0]).ravel()})
+                yield pd.DataFrame({"image_id": row.image_id, "x": x.ravel(), "y": y.ravel(), "rgb": (raw[..., 2] << 16 | raw[..., 1] << 8 | raw[..., 0]).ravel(), "width": row.width, "height": row.height, "orientation": row.orientation})
 
-    return decoded.select("image_id", "height", "width", "nChannels", "data").mapInPandas(explode, "image_id long, pos long, x long, y long, rgb long")
+    decoded = acceptance(decoded_images(spark, path, **limits).filter("data is not null"), **limits).filter("refusal is null")
+    rows = decoded.select(F.xxhash64("path").alias("image_id"), "orientation", "height", "width", "nChannels", "data")
+    return oriented(rows.mapInPandas(explode, "image_id long, x long, y long, rgb long, width long, height long, orientation long"))
 
 
 def bmp_bytes(x: np.ndarray, y: np.ndarray, rgb: np.ndarray) -> bytes:
