@@ -163,6 +163,13 @@ def reduce_regions(mosaic: Mosaic, costs: Costs, diameter: int, most_regions: in
     return steps
 
 
+def check_paintable(mosaic: Mosaic, diameter: int) -> None:
+    """:class:`PaintabilityError` if a region holds no disc."""
+    small = [r for r, p in sorted(mosaic.pixels.items()) if not disc_fits(p, diameter)]
+    if small:
+        raise PaintabilityError(f"regions too small to paint: {small[:10]}")
+
+
 def _mosaic(pixels: pd.DataFrame) -> Mosaic:
     return Mosaic(*(pixels[c].to_numpy() for c in ("region_id", "x", "y", "idx")))
 
@@ -181,24 +188,33 @@ def merged_regions(pixels: DataFrame, diameter: int, strict: bool = False) -> Da
     def run(part: pd.DataFrame) -> pd.DataFrame:
         mosaic = _mosaic(part)
         merge_undersized(mosaic, diameter)
-        if strict and not all(disc_fits(p, diameter) for p in mosaic.pixels.values()):
-            raise PaintabilityError("a region is too small to paint and stands alone")
+        if strict:
+            check_paintable(mosaic, diameter)
         return _members(part, mosaic)
 
     return pixels.select("image_id", "region_id", "x", "y", "idx").groupBy("image_id").applyInPandas(run, MEMBERS)
 
 
+def stage_loss(pixels: DataFrame, diameter: int) -> DataFrame:
+    """``(image_id, detected, merged, lost, loss)``: regions as detected, after the mandatory merge, and the share of them that it takes."""
+    count = lambda df, name: df.groupBy("image_id").agg(F.count_distinct("region_id").alias(name))
+    counts = count(pixels, "detected").join(count(merged_regions(pixels, diameter), "merged"), "image_id")
+    return counts.withColumn("lost", F.col("detected") - F.col("merged")).withColumn("loss", F.col("lost") / F.col("detected"))
+
+
 def _distances(palette: DataFrame, distance: str) -> dict[tuple[int, int], float]:
     return {(r["source_idx"], r["target_idx"]): r["de"] for r in palette_distances(palette, distance).collect()}  # 256 x 256 at most
 
 
-def reduced_regions(pixels: DataFrame, palette: DataFrame, diameter: int, most_regions: int = 350, most_cost: float = 0.300, distance: str = "delta_e_2000") -> DataFrame:
-    """Region members after the optional reduction."""
-    costs = Costs(_distances(palette, distance))
+def reduced_regions(pixels: DataFrame, palette: DataFrame, diameter: int, most_regions: int = 350, most_cost: float = 0.300, distance: str = "delta_e_2000", strict: bool = False, **weighting) -> DataFrame:
+    """Region members after the optional reduction. ``strict``: a region left too small is an error; ``weighting``: see :class:`Costs`."""
+    costs = Costs(_distances(palette, distance), **weighting)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         mosaic = _mosaic(part)
         reduce_regions(mosaic, costs, diameter, most_regions, most_cost)
+        if strict:
+            check_paintable(mosaic, diameter)
         return _members(part, mosaic)
 
     return pixels.select("image_id", "region_id", "x", "y", "idx").groupBy("image_id").applyInPandas(run, MEMBERS)

@@ -13,11 +13,13 @@ from tessella.operators import outlines as O
 from tessella.operators import overlaps as V
 from tessella.operators import quantize as Q
 from tessella.operators import regions as R
+from tessella.operators import replay as P
 from tessella.operators import topology as T
 from tessella.plans.colour_queries import rounded
 from tessella.plans.region_queries import DIAMETER, REGIONS, TABLE, region_pixels
 from tessella.plans.registry import query, with_sql
 from tessella.sources.lenses import event_tiles, nation_palette
+from tessella.tables import stored
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,30 @@ def merge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.merge_trace(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, 8, 0.6), "cost")
 
 
+def traced_merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regions and borders before the reduction, its trace, and the palette."""
+    palette = nation_palette(spark, sf_dir)
+    members = stored(merged(spark, sf_dir), "merged")
+    return R.region_table(members.withColumn("pos", F.lit(0))), R.shared_borders(members), stored(D.merge_trace(members, palette, DIAMETER, 8, 0.6), "trace"), palette
+
+
+@query("accepted_merges")
+def accepted_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.accepted_merges(*traced_merges(spark, sf_dir))
+    return rounded(found.select("image_id", "step", "source_id", "target_id", "source_idx", "target_idx", "source_area", "target_area", "border", "source_perimeter", "target_perimeter", "de", "base_cost", "cost"), "de", "base_cost", "cost")
+
+
+@query("accepted_contrast")
+def accepted_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.accepted_contrast(*traced_merges(spark, sf_dir)), "coverage", "dominant_share", "min_de", "max_de", "mean_de", "weighted_de", "weighted_penalty", "target_share")
+
+
+@query("stage_loss")
+def stage_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each image as detected and after the mandatory merge."""
+    return D.stage_loss(region_pixels(spark, sf_dir), DIAMETER)
+
+
 @query("reduction_matrix")
 def reduction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.reduction_matrix(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, [0.25, 0.5, 0.75], [0.3, 0.6]), "reduction")

@@ -99,19 +99,24 @@ def checked_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
 PATHS = 10_000
 
 
-def decoded_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
-    """``(path, orientation, height, width, nChannels, data)`` of the accepted files under ``path``, and no others; ``data`` is null where the body is broken."""
-    accepted = checked_images(spark, path, **limits).filter("refusal is null").select("path", "orientation")
-    paths = sorted(r["path"] for r in accepted.select("path").toLocalIterator())
+def decode_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Spark's image columns of these files, and no others; a broken body gives an empty image."""
     literal = lambda p: "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in p)  # noqa: E731  a path is no pattern
     frames = [spark.read.format("image").option("dropInvalid", False).load([literal(p) for p in paths[at : at + PATHS]]).select("image.*") for at in range(0, len(paths), PATHS)]
     if not frames:
-        return spark.createDataFrame([], "path string, orientation long, height int, width int, nChannels int, data binary")
+        return spark.createDataFrame([], "origin string, height int, width int, nChannels int, mode int, data binary")
     images = frames[0]
     for more in frames[1:]:
         images = images.unionByName(more)
+    return images
+
+
+def decoded_images(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """``(path, orientation, height, width, nChannels, data)`` of the accepted files under ``path``; ``data`` is null where the body is broken."""
+    accepted = checked_images(spark, path, **limits).filter("refusal is null").select("path", "orientation")
+    images = decode_files(spark, sorted(r["path"] for r in accepted.select("path").toLocalIterator()))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    images = images.withColumn("at", plain("origin")).join(accepted.withColumn("at", plain("path")), "at")
+    images = images.withColumn("at", plain(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))).join(accepted.withColumn("at", plain("path")), "at")
     broken = F.coalesce(F.col("height") < 1, F.lit(True)) | (F.length("data") == 0)
     return images.select("path", "orientation", "height", "width", "nChannels", F.when(~broken, F.col("data")).alias("data"))
 
