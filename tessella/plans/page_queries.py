@@ -160,12 +160,12 @@ _WIDTH = lambda text: f"(SELECT sum(w) FROM unnest(string_split({text}, '')) t(c
 
 # Narrow columns, so that some names take two lines.
 @query("legend_texts", f"""WITH {PALETTE_SQL}, glyph(g, w) AS (VALUES {_GLYPHS}),
-wd AS (SELECT idx, at, word, sum({_WIDTH("word")} * 0.009) OVER (PARTITION BY idx ORDER BY at) + (at - 1) * 278 * 0.009 AS upto FROM (SELECT idx, unnest(string_split(name, ' ')) AS word, generate_subscripts(string_split(name, ' '), 1) AS at FROM palette)),
-ln AS (SELECT idx, CASE WHEN upto <= 50 OR at = 1 THEN 1 ELSE 2 END AS part, string_agg(word, ' ' ORDER BY at) AS text FROM wd GROUP BY ALL),
+wd AS (SELECT idx, nth, word, sum({_WIDTH("word")} * 0.009e0) OVER (PARTITION BY idx ORDER BY nth) + (nth - 1) * 278 * 0.009e0 AS upto FROM (SELECT idx, unnest(string_split(name, ' ')) AS word, generate_subscripts(string_split(name, ' '), 1) AS nth FROM palette)),
+ln AS (SELECT idx, CASE WHEN upto <= 50 OR nth = 1 THEN 1 ELSE 2 END AS part, string_agg(word, ' ' ORDER BY nth) AS text FROM wd GROUP BY ALL),
 ct AS (SELECT idx, count(*) AS many FROM ln GROUP BY idx),
-pl AS (SELECT idx, number, rgb, idx // 12 AS page, 56.7 + (idx % 12 // 4) * 80 AS x, 751.2 - (idx % 4) * 42.5 AS y FROM palette)
-SELECT idx, page, 0 AS part, number::VARCHAR AS text, round(x + (22.5 - length(number::VARCHAR) * 556 * 0.009) / 2, 6)::DOUBLE AS x_pt, round(y + 7.75, 6)::DOUBLE AS y_pt, (rgb >> 16) * 0.2126 + ((rgb >> 8) & 255) * 0.7152 + (rgb & 255) * 0.0722 < 150 AS light FROM pl
-UNION ALL SELECT idx, page, part, text, round(x + 30, 6), round(y + 6.75 + (many - 1) * 4.5 - (part - 1) * 9, 6), false FROM pl JOIN ln USING (idx) JOIN ct USING (idx)""")
+pl AS (SELECT idx, number, rgb, idx // 12 AS page, 56.7e0 + (idx % 12 // 4) * 80 AS x, 751.2e0 - (idx % 4) * 42.5e0 AS y FROM palette)
+SELECT idx, page, 0 AS part, number::VARCHAR AS text, round(x + (22.5e0 - length(number::VARCHAR) * 556 * 0.009e0) / 2, 6) AS x_pt, round(y + 7.75e0, 6) AS y_pt, (rgb >> 16) * 0.2126e0 + ((rgb >> 8) & 255) * 0.7152e0 + (rgb & 255) * 0.0722e0 < 150 AS light FROM pl
+UNION ALL SELECT idx, page, part, text, round(x + 30, 6), round(y + 6.75e0 + (many - 1) * 4.5e0 - (part - 1) * 9, 6), false FROM pl JOIN ln USING (idx) JOIN ct USING (idx)""")
 def legend_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = legend.LegendStyle(columns=3, rows=4, start_x=56.7, top_y=751.2, column_width=80.0)
     return rounded(legend.legend_texts(nation_palette(spark, sf_dir), style), "x_pt", "y_pt")

@@ -15,6 +15,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query, with its SQL where SQL can express it."""
 
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered already")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql

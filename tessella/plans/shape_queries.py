@@ -63,8 +63,8 @@ def accepted_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.accepted_contrast(*traced_merges(spark, sf_dir)), "coverage", "dominant_share", "min_de", "max_de", "mean_de", "weighted_de", "weighted_penalty", "target_share")
 
 
-@query("stage_loss")
-def stage_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("mandatory_stage_loss")
+def mandatory_stage_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of each image as detected and after the mandatory merge."""
     return D.stage_loss(region_pixels(spark, sf_dir), DIAMETER)
 
