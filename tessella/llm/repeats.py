@@ -283,8 +283,8 @@ def _shifted(runs: Column, by: Column) -> Column:
     return F.transform(runs, lambda r: F.struct((r["start"] + by).alias("start"), (r["stop"] + by).alias("stop"), r["earlier"].alias("earlier")))
 
 
-def _repeated_runs(anchored: DataFrame, attach, length: int, level: int) -> DataFrame:
-    """``(pos, runs)``: the repeated strings of texts at ``pos``, as runs of starts; a run of a string met earlier is marked.
+def _repeated_runs(anchored: DataFrame, attach, length: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """``(pos, runs)``: the repeated strings of texts at ``pos``, as runs of starts; a run of a string met earlier is marked. And ``(pos, text)`` of the texts that may have some.
 
     ``anchored``: ``(pos, hashes, starts, stops)``, stored. ``attach`` adds the ``text`` to rows with ``pos``.
     """
@@ -309,7 +309,7 @@ def _repeated_runs(anchored: DataFrame, attach, length: int, level: int) -> Data
         hot = materialize(sized.filter(is_hot).select(F.col("first").alias("pos"), F.col("content").alias("text")), f"{name}-hot")
         cut = hot.mapInArrow(_anchor(length, lengths[level + 1], "pos"), "pos bigint, text binary, hashes array<bigint>, starts array<int>, stops array<int>")
         cut = materialize(cut, f"{name}-cut")
-        deeper = _repeated_runs(cut.drop("text"), lambda rows: rows.join(cut.select("pos", "text"), "pos"), length, level + 1)
+        deeper, _ = _repeated_runs(cut.drop("text"), lambda rows: rows.join(cut.select("pos", "text"), "pos"), length, level + 1)
         runs = runs.unionByName(deeper.select(F.col("pos").alias("first"), "runs"))
     classes = contents.select("digest", "n", "first", (F.col("first") < F.col("last")).alias("copied")).join(runs, "first", "left")
     classes = materialize(classes.filter("runs is not null or copied"), f"{name}-classes")
@@ -319,7 +319,8 @@ def _repeated_runs(anchored: DataFrame, attach, length: int, level: int) -> Data
     whole = lambda earlier: F.array(F.struct(F.lit(0).alias("start"), F.col("many").alias("stop"), F.lit(earlier).alias("earlier")))
     none = F.array().cast(RUN)
     own = F.when(~is_first, whole(True)).otherwise(F.concat(F.coalesce("runs", none), F.when(F.col("copied"), whole(False)).otherwise(none)))
-    return met.select("pos", _shifted(own, F.col("start")).alias("runs")).groupBy("pos").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = met.select("pos", _shifted(own, F.col("start")).alias("runs")).groupBy("pos").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found, candidates.select("pos", "text")
 
 
 def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
@@ -376,8 +377,8 @@ def repeat_spans(docs: DataFrame, length: int = 200, keep: str = "first", with_t
         """The text from a row of the class's first id; several equal ones do no harm."""
         return keyed.join(found.join(named, "pos").hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("lead_id"))).select("pos", "text", "runs")
 
-    runs = _repeated_runs(materialize(anchored, "repeats-anchored"), attach, length, 0)
-    decided = materialize(attach(runs).mapInArrow(_decide(length, keep), _DECIDED).dropDuplicates(["pos"]), "repeats-decided")
+    runs, candidates = _repeated_runs(materialize(anchored, "repeats-anchored"), attach, length, 0)
+    decided = materialize(candidates.join(runs.hint("merge"), "pos").mapInArrow(_decide(length, keep), _DECIDED).dropDuplicates(["pos"]), "repeats-decided")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     decisions = placed.select("pos", "key", "copies", "lead_rid").join(decided, "pos", "left").drop("pos")
