@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.color import with_distance, with_lab
+from tessella.tables import stored
 
 MOST_COLOURS = 256
 #: Distances are compared after rounding to this many parts, so engines agree on ties.
@@ -53,12 +54,30 @@ def nearest_colours(colours: DataFrame, palette: DataFrame, distance: str = "del
     return best.select("rgb", (F.col("key") % MOST_COLOURS).alias("idx"), (F.floor(F.col("key") / MOST_COLOURS) / PARTS).alias("de"))
 
 
+#: Distinct colours up to which the table of matches is broadcast, counted first (a few megabytes).
+BROADCAST_COLOURS = 200_000
+#: A colour is hot when it has more than this share of all pixels; at most as many colours as its inverse can be.
+HOT_SHARE = 0.002
+
+
 def quantize(pixels: DataFrame, palette: DataFrame, distance: str = "delta_e_2000") -> DataFrame:
     """``pixels`` with ``idx`` and ``de``: the nearest palette colour of each.
 
-    Colours are matched once each; the table of matches has a row a distinct colour and is joined by it.
+    Colours are matched once each, and the matches stored. While they are few they are broadcast and no pixel
+    moves; else hot colours are, and only the other pixels are shuffled by their colour.
     """
-    return pixels.join(nearest_colours(pixels, palette, distance), "rgb")
+    counts = pixels.groupBy("rgb").agg(F.count("*").alias("n"))
+    matches = stored(counts.join(nearest_colours(counts, palette, distance), "rgb"), "colour-matches")
+    colours, total, most = matches.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if colours <= BROADCAST_COLOURS:
+        return pixels.join(F.broadcast(matches.drop("n")), "rgb")
+    bound = max(1000, int(total * HOT_SHARE))
+    if most <= bound:
+        return pixels.join(matches.drop("n"), "rgb")
+    hot, cold = matches.filter(F.col("n") > bound).drop("n"), matches.filter(F.col("n") <= bound).drop("n")
+    at_hand = pixels.join(F.broadcast(hot), "rgb")
+    rest = pixels.join(F.broadcast(hot.select("rgb")), "rgb", "left_anti").join(cold, "rgb")
+    return at_hand.unionByName(rest)
 
 
 def ranked_candidates(colours: DataFrame, palette: DataFrame, limit: int = 3, distance: str = "delta_e_2000") -> DataFrame:

@@ -11,6 +11,7 @@ from tessella.operators import collisions as C
 from tessella.operators import quantize as Q
 from tessella.plans.registry import query, with_sql
 from tessella.sources.lenses import PALETTE_SQL, TILES_SQL, event_tiles, nation_palette
+from tessella.tables import stored
 
 OFFSETS = [2, 4, 8]
 
@@ -72,7 +73,7 @@ def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnosed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = quantized(spark, sf_dir)
+    q = stored(quantized(spark, sf_dir), "quantized")  # both branches read it
     candidates = Q.ranked_candidates(event_tiles(spark, sf_dir), nation_palette(spark, sf_dir), 3)
     return q, C.rescue_diagnostics(C.collapsed_boundaries(q), candidates)
 
@@ -200,6 +201,7 @@ def rescue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offsets(q: DataFrame) -> DataFrame:
+    q = stored(q, "quantized")  # every offset reads it
     out = C.offset_pairs(q, OFFSETS[0])
     for k in OFFSETS[1:]:
         out = out.unionAll(C.offset_pairs(q, k))
@@ -207,6 +209,7 @@ def _offsets(q: DataFrame) -> DataFrame:
 
 
 def _surround(q: DataFrame) -> DataFrame:
+    q = stored(q, "quantized")  # every offset reads it
     out = C.center_surround(q, OFFSETS[0])
     for k in OFFSETS[1:]:
         out = out.unionAll(C.center_surround(q, k))

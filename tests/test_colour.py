@@ -50,3 +50,17 @@ def test_lab_of_black_white_and_red(spark):
     assert found[0] == pytest.approx((0, 0, 0), abs=1e-9)
     assert found[0xFFFFFF] == pytest.approx((100, 0, 0), abs=0.02)
     assert found[0xFF0000] == pytest.approx((53.24, 80.09, 67.20), abs=0.02)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_matches_are_joined_alike(spark, monkeypatch, most):
+    """A third of all pixels have one colour; few matches are broadcast, many only for hot colours."""
+    from tessella.operators import quantize
+
+    monkeypatch.setattr(quantize, "BROADCAST_COLOURS", most)
+    palette = spark.createDataFrame([(0, 1, "a", 0), (1, 2, "b", 0x8080FF), (2, 3, "c", 0xFFFFFF)], "idx long, number long, name string, rgb long")
+    pixels = spark.range(6000).selectExpr("id as pos", "if(id % 3 = 0, 16777215L, id * 257 % 16777216) as rgb")
+    found = quantize.quantize(pixels, palette)
+    nearest = {r["rgb"]: r["idx"] for r in quantize.nearest_colours(pixels, palette).collect()}
+    rows = found.collect()
+    assert len(rows) == 6000 and all(r["idx"] == nearest[r["rgb"]] for r in rows)
