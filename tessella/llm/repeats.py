@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import column_blocks, join_skewed, materialize, running_total
+from tessella.llm.common import column_blocks, join_skewed, materialize, running_total, temporary_tables
 
 #: Starts of strings handled at once; places in a part fit the low bits of a key.
 PART = 1 << 21
@@ -286,33 +286,36 @@ def _shifted(runs: Column, by: Column) -> Column:
 def _repeated_runs(anchored: DataFrame, attach, length: int, level: int) -> tuple[DataFrame, DataFrame]:
     """``(pos, runs)``: the repeated strings of texts at ``pos``, as runs of starts; a run of a string met earlier is marked. And ``(pos, text)`` of the texts that may have some.
 
-    ``anchored``: ``(pos, hashes, starts, stops)``, stored. ``attach`` adds the ``text`` to rows with ``pos``.
+    ``anchored``: ``(pos, hashes, starts, stops)``, stored but at level 0. ``attach`` adds the ``text`` to rows with ``pos``.
     """
     lengths = anchor_lengths(length)
     name = f"repeats-{level}"
-    each = anchored.select("pos", F.explode(F.arrays_zip("hashes", "starts", "stops")).alias("r")).select("pos", F.col("r.hashes").alias("hash"), F.col("r.starts").alias("start"), F.col("r.stops").alias("stop"))
-    seen = materialize(each.groupBy("hash").agg(F.count("*").alias("seen")).filter("seen > 1"), f"{name}-seen")
-    again = join_skewed(each, seen, "hash", "seen").groupBy("pos").agg(F.collect_list(F.struct("hash", "start", "stop")).alias("runs"))  # a text's own runs
-    candidates = materialize(attach(again), f"{name}-candidates")
-    found = candidates.mapInArrow(_pieces(length, True), "hash bigint, content binary, pos bigint")
-    contents = found.groupBy("hash", "content").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    contents = materialize(contents.withColumn("digest", F.unhex(F.md5("content"))), f"{name}-contents")
-    sizes = materialize(contents.groupBy("hash").agg(F.count("*").alias("pieces"), F.sum(F.octet_length("content")).alias("bytes")).filter("pieces > 1"), f"{name}-sizes")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    # an anchor with one piece only has nothing to compare
-    sized = join_skewed(contents.select("hash", "content", "first"), sizes, "hash", "pieces")
-    is_hot = (F.col("bytes") > HOT) & F.lit(level + 1 < len(lengths))
-    groups = max(1, -(-total // GROUP))
-    cold = sized.filter(~is_hot).select("first", "content", F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("group"))
-    runs = cold.groupBy("group").applyInArrow(_factor_group(length), f"first bigint, runs {RUN}")
-    if level + 1 < len(lengths) and sizes.filter(F.col("bytes") > HOT).head(1):
-        hot = materialize(sized.filter(is_hot).select(F.col("first").alias("pos"), F.col("content").alias("text")), f"{name}-hot")
-        cut = hot.mapInArrow(_anchor(length, lengths[level + 1], "pos"), "pos bigint, text binary, hashes array<bigint>, starts array<int>, stops array<int>")
-        cut = materialize(cut, f"{name}-cut")
-        deeper, _ = _repeated_runs(cut.drop("text"), lambda rows: rows.join(cut.select("pos", "text"), "pos"), length, level + 1)
-        runs = runs.unionByName(deeper.select(F.col("pos").alias("first"), "runs"))
-    classes = contents.select("digest", "n", "first", (F.col("first") < F.col("last")).alias("copied")).join(runs, "first", "left")
-    classes = materialize(classes.filter("runs is not null or copied"), f"{name}-classes")
+    with temporary_tables(anchored.sparkSession):  # candidates and classes outlive it
+        if level == 0:
+            anchored = materialize(anchored, f"{name}-anchored")
+        each = anchored.select("pos", F.explode(F.arrays_zip("hashes", "starts", "stops")).alias("r")).select("pos", F.col("r.hashes").alias("hash"), F.col("r.starts").alias("start"), F.col("r.stops").alias("stop"))
+        seen = materialize(each.groupBy("hash").agg(F.count("*").alias("seen")).filter("seen > 1"), f"{name}-seen")
+        again = join_skewed(each, seen, "hash", "seen").groupBy("pos").agg(F.collect_list(F.struct("hash", "start", "stop")).alias("runs"))  # a text's own runs
+        candidates = materialize(attach(again), f"{name}-candidates", keep=True)
+        found = candidates.mapInArrow(_pieces(length, True), "hash bigint, content binary, pos bigint")
+        contents = found.groupBy("hash", "content").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        contents = materialize(contents.withColumn("digest", F.unhex(F.md5("content"))), f"{name}-contents")
+        sizes = materialize(contents.groupBy("hash").agg(F.count("*").alias("pieces"), F.sum(F.octet_length("content")).alias("bytes")).filter("pieces > 1"), f"{name}-sizes")
+        total = sizes.agg(F.sum("bytes")).first()[0] or 0
+        # an anchor with one piece only has nothing to compare
+        sized = join_skewed(contents.select("hash", "content", "first"), sizes, "hash", "pieces")
+        is_hot = (F.col("bytes") > HOT) & F.lit(level + 1 < len(lengths))
+        groups = max(1, -(-total // GROUP))
+        cold = sized.filter(~is_hot).select("first", "content", F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("group"))
+        runs = cold.groupBy("group").applyInArrow(_factor_group(length), f"first bigint, runs {RUN}")
+        if level + 1 < len(lengths) and sizes.filter(F.col("bytes") > HOT).head(1):
+            hot = materialize(sized.filter(is_hot).select(F.col("first").alias("pos"), F.col("content").alias("text")), f"{name}-hot")
+            cut = hot.mapInArrow(_anchor(length, lengths[level + 1], "pos"), "pos bigint, text binary, hashes array<bigint>, starts array<int>, stops array<int>")
+            cut = materialize(cut, f"{name}-cut")
+            deeper, _ = _repeated_runs(cut.drop("text"), lambda rows: rows.join(cut.select("pos", "text"), "pos"), length, level + 1)
+            runs = runs.unionByName(deeper.select(F.col("pos").alias("first"), "runs"))
+        classes = contents.select("digest", "n", "first", (F.col("first") < F.col("last")).alias("copied")).join(runs, "first", "left")
+        classes = materialize(classes.filter("runs is not null or copied"), f"{name}-classes", keep=True)
     places = candidates.mapInArrow(_pieces(length, False), "pos bigint, start int, many int, digest binary")
     met = join_skewed(places, classes, "digest", "n")
     is_first = F.col("pos") + F.col("start") == F.col("first")
@@ -377,7 +380,7 @@ def repeat_spans(docs: DataFrame, length: int = 200, keep: str = "first", with_t
         """The text from a row of the class's first id; several equal ones do no harm."""
         return keyed.join(found.join(named, "pos").hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("lead_id"))).select("pos", "text", "runs")
 
-    runs, candidates = _repeated_runs(materialize(anchored, "repeats-anchored"), attach, length, 0)
+    runs, candidates = _repeated_runs(anchored, attach, length, 0)
     decided = materialize(candidates.join(runs.hint("merge"), "pos").mapInArrow(_decide(length, keep), _DECIDED).dropDuplicates(["pos"]), "repeats-decided")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     none = F.array().cast("array<struct<start:int,stop:int>>")
