@@ -1,21 +1,23 @@
 """Surrogates for personal data. DataFrame operations only.
 
 Detected entities get keyed replacements of their own type and format: digits for digits, letters of the
-same case for letters, dates for dates of birth, valid octets in addresses, check digits where the original has right ones (cards, IBANs), a leading zero of a
-national number, names with the same gender, script and capitals. Every distinct entity of the corpus gets one surrogate, so mentions that
-mean the same (a number with and without separators, an address in other case, a name in capitals, a given or family name alone,
-with a title or, in a text that names the person in full or by title, without) still agree; a distributed check gives entities whose surrogates coincide with each other or with
-anything that really occurs another try, until all are distinct. Formats with few values (a short number, an
-address of two letters) can run out of them: after some tries surrogates grow by a character a try. A
-secret of one repeated mark (``********``) hides nothing and stays; other secrets of marks only get other
-marks.
+same case for letters, dates for dates of birth, valid octets in addresses, check digits where the
+original has right ones (cards, IBANs), a leading zero of a national number, names with the same gender,
+script and capitals. Every distinct entity of the corpus gets one surrogate, so mentions that mean the
+same (a number with and without separators, an address in other case, a name in capitals, a given or
+family name alone, with a title or, in a text that names the person in full or by title, without) still
+agree; a distributed check gives entities whose surrogates coincide with each other or with anything that
+really occurs another try, until all are distinct. Formats with few values (a short number, an address of
+two letters) can run out of them: after some tries surrogates grow by a character a try. A secret of one
+repeated mark (``********``) hides nothing and stays; other secrets of marks only get other marks.
 
 Only texts with an entity are cut and put together again; all others pass unchanged and unshuffled.
 
 Cases: a null text stays null and an empty one empty, both with no entities; very long texts are handled
-whole, in time that grows with their length, as are values of very many parts; repeated rows get equal texts; a value that occurs in a large share of the rows is one row of
-the table of surrogates and is joined without a hot partition; an empty table gives an empty result;
-all other columns pass through (``n_entities`` and ``entities`` replace columns of these names).
+whole, in time that grows with their length, as are values of very many parts; repeated rows get equal
+texts; a value that occurs in a large share of the rows is one row of the table of surrogates and is
+joined without a hot partition; an empty table gives an empty result; all other columns pass through
+(``n_entities`` and ``entities`` replace columns of these names).
 """
 
 from __future__ import annotations
