@@ -1,7 +1,7 @@
 """Steps whose result depends on the order of earlier steps: merging, reduction, greedy grouping.
 
-Each runs as a grouped map over single images (or single runs of an experiment on one image), whose
-size is bounded; images are spread over the cluster by a shuffle on their id.
+Merging works on region graphs, whose measures, borders and too small regions Spark finds and deals
+(:mod:`tessella.operators.contraction`). Greedy components are a grouped map over single images, whose size is bounded.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.color import colour_distance
-from tessella.operators.merging import COLOUR_SCALE, COMPACTNESS, ENCLOSURE, WEIGHTS, check_weights, palette_distances
+from tessella.operators.merging import COLOUR_SCALE, COMPACTNESS, ENCLOSURE, WEIGHTS, check_weights
 from tessella.operators.regions import disc_rows, fitting_regions, shared_borders
 
 SHIFT = 32
@@ -30,7 +30,7 @@ class PaintabilityError(ValueError):
 
 def disc_fits(pixels: Iterable[int], diameter: int) -> bool:
     """Whether the packed pixels hold a disc of this diameter."""
-    packed = np.fromiter(pixels, np.int64)
+    packed = pixels if isinstance(pixels, np.ndarray) else np.fromiter(pixels, np.int64)
     rows = disc_rows(diameter) if diameter > 0 else []
     if not rows or len(packed) < sum(2 * k + 1 for _, k in rows):
         return False
@@ -49,72 +49,87 @@ def disc_fits(pixels: Iterable[int], diameter: int) -> bool:
     return bool(fits.any())
 
 
-class Mosaic:
-    """The regions of one image: pixels, colours, border lengths, perimeters."""
+class RegionGraph:
+    """The regions of one image by their measures and border lengths; of those that hold no disc also the pixels.
 
-    def __init__(self, region: np.ndarray, x: np.ndarray, y: np.ndarray, idx: np.ndarray):
-        packed = y << SHIFT | x
-        order = np.lexsort((packed, region))
-        cuts = np.flatnonzero(np.diff(region[order], prepend=-1))
-        self.pixels = {int(region[order[a]]): set(packed[order[a:b]].tolist()) for a, b in zip(cuts, [*cuts[1:], len(order)])}
-        self.colour = {int(region[order[a]]): int(idx[order[a]]) for a in cuts}
-        owner = dict(zip(packed.tolist(), region.tolist()))
-        self.borders: dict[int, dict[int, int]] = {r: {} for r in self.pixels}
-        self.perimeter = dict.fromkeys(self.pixels, 0)
-        for p, r in owner.items():
-            for step in STEPS:
-                other = owner.get(p + step)
-                if other != r:
-                    self.perimeter[r] += 1
-                    if other is not None:
-                        self.borders[r][other] = self.borders[r].get(other, 0) + 1
+    ``rows``: see :func:`tessella.operators.contraction.region_graph`.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("region_id")
+        ids = rows["region_id"].tolist()
+        self.colour, self.area, self.perimeter = (dict(zip(ids, rows[c].tolist())) for c in ("idx", "area", "perimeter"))
+        self.borders = {r: {b["dst"]: b["length"] for b in near} if near is not None else {} for r, near in zip(ids, rows["near"])}
+        self.small = {r: np.asarray(p, np.int64) for r, p in zip(ids, rows["pixels"]) if p is not None}
 
     def merge(self, source: int, target: int) -> None:
         """``source`` becomes part of ``target``, which keeps its id and colour."""
-        shared = self.borders[source].get(target, 0)
-        self.perimeter[target] += self.perimeter.pop(source) - 2 * shared
-        self.pixels[target] |= self.pixels.pop(source)
-        for other, length in self.borders.pop(source).items():
-            del self.borders[other][source]
-            if other != target:
-                self.borders[other][target] = self.borders[other].get(target, 0) + length
-                self.borders[target][other] = self.borders[target].get(other, 0) + length
+        self.perimeter[target] += self.perimeter.pop(source) - 2 * self.borders[source][target]
+        self.area[target] += self.area.pop(source)
+        join_borders(self.borders, source, target)
         del self.colour[source]
+        part, rest = self.small.pop(source, None), self.small.pop(target, None)
+        if part is not None and rest is not None:
+            self.small[target] = np.concatenate([rest, part])
+
+
+def join_borders(borders: dict[int, dict[int, int]], source: int, target: int) -> None:
+    """Borders once ``source`` is part of ``target``; regions that are no key of ``borders`` are known as neighbours only."""
+    for other, length in borders.pop(source).items():
+        near = borders.get(other)
+        if near is not None:
+            del near[source]
+        if other == target:
+            continue
+        if near is not None:
+            near[target] = near.get(target, 0) + length
+        if target in borders:
+            borders[target][other] = borders[target].get(other, 0) + length
+
 
+def merge_undersized(borders: dict[int, dict[int, int]], small: dict[int, np.ndarray], diameter: int) -> dict[int, int]:
+    """Merges the regions of ``small``, which hold no disc, into the neighbour of longest border (then least id), first come first served; source -> target in order.
 
-def merge_undersized(mosaic: Mosaic, diameter: int) -> dict[int, int]:
-    """Merges regions that hold no disc into the neighbour of longest border (then least id), first come first served; source -> target in order."""
-    known: dict[int, bool] = {}
-    generation = dict.fromkeys(sorted(mosaic.pixels), 0)
-    queue = deque((r, 0) for r in generation)
+    ``borders``: of the regions in ``small``; both are left as they are after the merges, ``small`` with what still holds no disc.
+    """
+    generation = dict.fromkeys(sorted(small), 0)
+    queue = deque(generation.items())
     into: dict[int, int] = {}
     while queue:
         region, made = queue.popleft()
-        if region not in mosaic.pixels or generation[region] != made:
+        if region not in small or generation[region] != made:
             continue
-        if region not in known:
-            known[region] = disc_fits(mosaic.pixels[region], diameter)
-        if known[region] or not mosaic.borders[region]:
-            continue
-        target = min(mosaic.borders[region].items(), key=lambda b: (-b[1], b[0]))[0]
-        mosaic.merge(region, target)
-        into[region] = target
-        if not known.get(target):
-            known.pop(target, None)
-            generation[target] += 1
-            queue.append((target, generation[target]))
+        if made and disc_fits(small[region], diameter):
+            del small[region]
+        elif borders[region]:
+            target = min(borders[region].items(), key=lambda b: (-b[1], b[0]))[0]
+            join_borders(borders, region, target)
+            into[region] = target
+            part = small.pop(region)
+            if target in small:
+                small[target] = np.concatenate([small[target], part])
+                generation[target] += 1
+                queue.append((target, generation[target]))
     return into
 
 
+def final_owners(into: dict[int, int]) -> dict[int, int]:
+    """The region that each merged one ends in."""
+    final: dict[int, int] = {}
+    for source in reversed(into):  # what a target joins later is known already
+        final[source] = final.get(into[source], into[source])
+    return final
+
+
 class Costs:
-    """Cost of a directed merge in a mosaic; the scalar form of :func:`tessella.operators.merging.cost_steps`."""
+    """Cost of a directed merge in a region graph; the scalar form of :func:`tessella.operators.merging.cost_steps`."""
 
     def __init__(self, distances: dict[tuple[int, int], float], weights: tuple[float, ...] = WEIGHTS["production"], enclosure: float = ENCLOSURE, compactness: float = COMPACTNESS):
         self.distances, self.weights, self.enclosure, self.compactness = distances, check_weights(weights), enclosure, compactness
 
-    def __call__(self, m: Mosaic, source: int, target: int) -> float:
+    def __call__(self, m: RegionGraph, source: int, target: int) -> float:
         de, border = self.distances[m.colour[source], m.colour[target]], m.borders[source][target]
-        sa, ta, sp, tp = len(m.pixels[source]), len(m.pixels[target]), m.perimeter[source], m.perimeter[target]
+        sa, ta, sp, tp = m.area[source], m.area[target], m.perimeter[source], m.perimeter[target]
         color, area, enclosed = de / (de + COLOUR_SCALE), sa / (sa + ta), border / sp
         before = tp * tp / ta
         worse = max(0.0, (sp + tp - 2 * border) ** 2 / (sa + ta) - before)
@@ -126,128 +141,44 @@ class Costs:
         return cost + self.compactness * (1 - min(1.0, 4 * math.pi * sa / (sp * sp))) * protect * (1 - cost)
 
 
-def reduce_regions(mosaic: Mosaic, costs: Costs, diameter: int, most_regions: int, most_cost: float) -> list[tuple[int, int, float, int]]:
+def reduce_regions(graph: RegionGraph, costs: Costs, diameter: int, most_regions: int, most_cost: float) -> list[tuple[int, int, float, int]]:
     """Accepts the cheapest merges (by cost, source, target) of at most ``most_cost`` until ``most_regions`` are left.
 
-    A merge that would leave no disc is passed over. Returns the accepted steps: source, target, cost
-    and border length.
+    A merge that would leave no disc is passed over; only where both regions hold none do pixels tell. Returns
+    the accepted steps: source, target, cost and border length.
     """
     heap: list[tuple[float, int, int, int]] = []
-    version = dict.fromkeys(mosaic.pixels, 0)
-    fits: dict[int, bool] = {}
+    version = dict.fromkeys(graph.area, 0)
 
     def add(source: int, target: int) -> None:
-        cost = round(costs(mosaic, source, target), 12)
+        cost = round(costs(graph, source, target), 12)
         if cost <= most_cost:
             heapq.heappush(heap, (cost, source, target, version[source] + version[target]))
 
-    for source, near in mosaic.borders.items():
+    for source, near in graph.borders.items():
         for target in near:
             add(source, target)
     steps = []
-    while len(mosaic.pixels) > most_regions and heap:
+    while len(graph.area) > most_regions and heap:
         cost, source, target, made = heapq.heappop(heap)
-        if source not in mosaic.pixels or target not in mosaic.pixels or version[source] + version[target] != made:
+        if source not in graph.area or target not in graph.area or version[source] + version[target] != made:
             continue
-        if target not in fits:
-            fits[target] = disc_fits(mosaic.pixels[target], diameter)
-        if not fits[target] and not disc_fits(mosaic.pixels[source] | mosaic.pixels[target], diameter):
+        if source in graph.small and target in graph.small and not disc_fits(np.concatenate([graph.small[source], graph.small[target]]), diameter):
             continue
-        steps.append((source, target, cost, mosaic.borders[source][target]))
-        mosaic.merge(source, target)
-        fits[target] = True
+        steps.append((source, target, cost, graph.borders[source][target]))
+        graph.merge(source, target)
+        graph.small.pop(target, None)
         version[target] += 1
-        for other in mosaic.borders[target]:
+        for other in graph.borders[target]:
             add(other, target)
             add(target, other)
     return steps
 
 
-def check_paintable(mosaic: Mosaic, diameter: int) -> None:
-    """:class:`PaintabilityError` if a region holds no disc."""
-    small = [r for r, p in sorted(mosaic.pixels.items()) if not disc_fits(p, diameter)]
+def check_paintable(small: Collection[int]) -> None:
+    """:class:`PaintabilityError` if some region holds no disc."""
     if small:
-        raise PaintabilityError(f"regions too small to paint: {small[:10]}")
-
-
-def _mosaic(pixels: pd.DataFrame) -> Mosaic:
-    return Mosaic(*(pixels[c].to_numpy() for c in ("region_id", "x", "y", "idx")))
-
-
-def _members(pixels: pd.DataFrame, mosaic: Mosaic) -> pd.DataFrame:
-    rows = [(int(pixels["image_id"].iloc[0]), r, p & ((1 << SHIFT) - 1), p >> SHIFT, mosaic.colour[r]) for r in sorted(mosaic.pixels) for p in sorted(mosaic.pixels[r])]
-    return pd.DataFrame(rows, columns=["image_id", "region_id", "x", "y", "idx"])
-
-
-MEMBERS = "image_id long, region_id long, x long, y long, idx long"
-
-
-def merged_regions(pixels: DataFrame, diameter: int, strict: bool = False) -> DataFrame:
-    """Region members after the mandatory merge. ``strict``: a region left too small is an error."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mosaic = _mosaic(part)
-        merge_undersized(mosaic, diameter)
-        if strict:
-            check_paintable(mosaic, diameter)
-        return _members(part, mosaic)
-
-    return pixels.select("image_id", "region_id", "x", "y", "idx").groupBy("image_id").applyInPandas(run, MEMBERS)
-
-
-def stage_loss(pixels: DataFrame, diameter: int) -> DataFrame:
-    """``(image_id, detected, merged, lost, loss)``: regions as detected, after the mandatory merge, and the share of them that it takes."""
-    count = lambda df, name: df.groupBy("image_id").agg(F.count_distinct("region_id").alias(name))
-    counts = count(pixels, "detected").join(count(merged_regions(pixels, diameter), "merged"), "image_id")
-    return counts.withColumn("lost", F.col("detected") - F.col("merged")).withColumn("loss", F.col("lost") / F.col("detected"))
-
-
-def _distances(palette: DataFrame, distance: str) -> dict[tuple[int, int], float]:
-    return {(r["source_idx"], r["target_idx"]): r["de"] for r in palette_distances(palette, distance).collect()}  # 256 x 256 at most
-
-
-def reduced_regions(pixels: DataFrame, palette: DataFrame, diameter: int, most_regions: int = 350, most_cost: float = 0.300, distance: str = "delta_e_2000", strict: bool = False, **weighting) -> DataFrame:
-    """Region members after the optional reduction. ``strict``: a region left too small is an error; ``weighting``: see :class:`Costs`."""
-    costs = Costs(_distances(palette, distance), **weighting)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mosaic = _mosaic(part)
-        reduce_regions(mosaic, costs, diameter, most_regions, most_cost)
-        if strict:
-            check_paintable(mosaic, diameter)
-        return _members(part, mosaic)
-
-    return pixels.select("image_id", "region_id", "x", "y", "idx").groupBy("image_id").applyInPandas(run, MEMBERS)
-
-
-def merge_trace(pixels: DataFrame, palette: DataFrame, diameter: int, most_regions: int = 350, most_cost: float = 0.300, distance: str = "delta_e_2000") -> DataFrame:
-    """The accepted merges in order: ``(image_id, step, source_id, target_id, cost, border)``."""
-    costs = Costs(_distances(palette, distance))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        steps = reduce_regions(_mosaic(part), costs, diameter, most_regions, most_cost)
-        return pd.DataFrame([(int(part["image_id"].iloc[0]), i + 1, *s) for i, s in enumerate(steps)], columns=["image_id", "step", "source_id", "target_id", "cost", "border"])
-
-    return pixels.select("image_id", "region_id", "x", "y", "idx").groupBy("image_id").applyInPandas(run, "image_id long, step long, source_id long, target_id long, cost double, border long")
-
-
-def reduction_matrix(pixels: DataFrame, palette: DataFrame, diameter: int, fractions: list[float], bounds: list[float], distance: str = "delta_e_2000") -> DataFrame:
-    """One reduction for every image, target fraction and cost bound; the grid is spread over the cluster."""
-    costs = Costs(_distances(palette, distance))
-    grid = F.array(*(F.struct(F.lit(f).alias("fraction"), F.lit(b).alias("bound")) for f in fractions for b in bounds))
-    runs = pixels.select("image_id", "region_id", "x", "y", "idx", F.explode(grid).alias("g")).select("image_id", "region_id", "x", "y", "idx", "g.*")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mosaic, first = _mosaic(part), part.iloc[0]
-        before = len(mosaic.pixels)
-        target = max(1, math.ceil(before * first["fraction"]))
-        reduce_regions(mosaic, costs, diameter, target, first["bound"])
-        after = len(mosaic.pixels)
-        return pd.DataFrame([(int(first["image_id"]), first["fraction"], first["bound"], before, target, after, (before - after) / before, "target" if after <= target else "exhausted")], columns=["image_id", "fraction", "bound", "before", "target", "after", "reduction", "stopped_by"])
-
-    return runs.groupBy("image_id", "fraction", "bound").applyInPandas(run, "image_id long, fraction double, bound double, before long, target long, after long, reduction double, stopped_by string")
-
-
+        raise PaintabilityError(f"regions too small to paint: {sorted(small)[:10]}")
 
 
 def _greedy_components(part: pd.DataFrame, threshold: float) -> list[list[int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import WEIGHTS as WEIGHT_NAMES
 from tessella.functions.layout import PAGES, circle_diameter, place_images
-from tessella.operators import folds, labels, merging, outlines, quantize, regions
+from tessella.operators import contraction, labels, merging, outlines, quantize, regions
 from tessella.sources import legend, sinks
 from tessella.tables import stored
 
@@ -49,10 +49,10 @@ class Document:
 def generate(pixels: DataFrame, palette: DataFrame, options: Options = Options()) -> Document:
     """All steps over all images; the members are stored once for outlines and labels."""
     found = regions.detect_regions(quantize.quantize(pixels, palette, options.distance))
-    members = folds.merged_regions(found, options.diameter, options.strict)
+    members = contraction.merged_regions(found, options.diameter, options.strict)
     if options.reduce:
         costs = {"weights": options.weights, "enclosure": options.enclosure, "compactness": options.compactness}
-        members = folds.reduced_regions(members, palette, options.diameter, options.most_regions, options.most_cost, options.distance, options.strict, **costs)
+        members = contraction.reduced_regions(members, palette, options.diameter, options.most_regions, options.most_cost, options.distance, options.strict, **costs)
     members = stored(members, "members")
     return Document(members, outlines.trace_outlines(members, options.tolerance), labels.place_labels(members, palette))
 

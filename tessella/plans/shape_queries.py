@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.color import with_lab
+from tessella.operators import contraction as N
 from tessella.operators import folds as D
 from tessella.operators import labels as L
 from tessella.operators import leaders as C
@@ -23,11 +24,11 @@ from tessella.tables import stored
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.merged_regions(region_pixels(spark, sf_dir), DIAMETER)
+    return N.merged_regions(region_pixels(spark, sf_dir), DIAMETER)
 
 
 def reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.reduced_regions(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, 8, 0.6)
+    return N.reduced_regions(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, 8, 0.6)
 
 
 @query("mandatory_merge")
@@ -42,14 +43,14 @@ def region_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merge_trace")
 def merge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.merge_trace(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, 8, 0.6), "cost")
+    return rounded(N.merge_trace(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, 8, 0.6), "cost")
 
 
 def traced_merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Regions and borders before the reduction, its trace, and the palette."""
     palette = nation_palette(spark, sf_dir)
     members = stored(merged(spark, sf_dir), "merged")
-    return R.region_table(members.withColumn("pos", F.lit(0))), R.shared_borders(members), stored(D.merge_trace(members, palette, DIAMETER, 8, 0.6), "trace"), palette
+    return R.region_table(members.withColumn("pos", F.lit(0))), R.shared_borders(members), stored(N.merge_trace(members, palette, DIAMETER, 8, 0.6), "trace"), palette
 
 
 @query("accepted_merges")
@@ -66,12 +67,12 @@ def accepted_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mandatory_stage_loss")
 def mandatory_stage_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of each image as detected and after the mandatory merge."""
-    return D.stage_loss(region_pixels(spark, sf_dir), DIAMETER)
+    return N.stage_loss(region_pixels(spark, sf_dir), DIAMETER)
 
 
 @query("reduction_matrix")
 def reduction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.reduction_matrix(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, [0.25, 0.5, 0.75], [0.3, 0.6]), "reduction")
+    return rounded(N.reduction_matrix(merged(spark, sf_dir), nation_palette(spark, sf_dir), DIAMETER, [0.25, 0.5, 0.75], [0.3, 0.6]), "reduction")
 
 
 @query("leader_clusters")

@@ -11,7 +11,7 @@ import pytest
 from test_config import GOOD
 
 from tessella import config
-from tessella.operators import folds
+from tessella.operators import contraction, folds
 from tessella.plans import pipeline
 from tessella.sources import images, synthetic
 
@@ -41,14 +41,13 @@ def test_gates_stop_unpaintable_regions(spark):
     px = synthetic.raster(spark, "flat", 3, 3)
     with pytest.raises(Exception, match="too small to paint"):
         pipeline.generate(px, synthetic.benchmark_palette(spark, 4), pipeline.Options(diameter=5, strict=True)).members.count()
-    mosaic = folds.Mosaic(*(np.array(c) for c in ([1, 1], [0, 1], [0, 0], [0, 0])))
     with pytest.raises(folds.PaintabilityError):
-        folds.check_paintable(mosaic, 3)
+        folds.check_paintable({1})
 
 
 def test_stage_loss(spark):
     rows = [(0, 1 if x < 8 else 2, x, y, int(x >= 8)) for x in range(16) for y in range(8) if (x, y) != (3, 3)] + [(0, 3, 3, 3, 2)]
-    found = folds.stage_loss(spark.createDataFrame(rows, "image_id long, region_id long, x long, y long, idx long"), 3).first()
+    found = contraction.stage_loss(spark.createDataFrame(rows, "image_id long, region_id long, x long, y long, idx long"), 3).first()
     assert (found["detected"], found["merged"], found["lost"]) == (3, 2, 1) and found["loss"] == pytest.approx(1 / 3)
 
 

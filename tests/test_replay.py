@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import fold_double
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import folds, regions, replay
+from tessella.operators import contraction, folds, regions, replay
 from tessella.sources import legend, sinks
 
 
@@ -17,14 +18,14 @@ def test_replay_equals_merged_mosaic(spark):
     rows = [tuple(int(v) for v in r) for r in rows]
     px = regions.detect_regions(spark.createDataFrame(rows, "image_id long, pos long, x long, y long, idx long")).cache()
     palette = spark.createDataFrame([(i, i + 1, f"c{i}", c) for i, c in enumerate([0x102030, 0x203040, 0x303030, 0xA0A0A0])], "idx long, number long, name string, rgb long")
-    trace = folds.merge_trace(px, palette, 1, 3, 0.9).cache()
+    trace = contraction.merge_trace(px, palette, 1, 3, 0.9).cache()
     table, borders = regions.region_table(px), regions.shared_borders(px)
     found = {(r["image_id"], r["step"]): r for r in replay.accepted_merges(table, borders, trace, palette).collect()}
     contrast = {(r["image_id"], r["step"]): r for r in replay.accepted_contrast(table, borders, trace, palette).collect()}
     steps = trace.orderBy("image_id", "step").collect()
     assert len(steps) == len(found) == len(contrast) > 20
-    de = folds._distances(palette, "delta_e_2000")
-    mosaics = {i: folds._mosaic(px.filter(F.col("image_id") == i).toPandas()) for i in range(len(grids))}
+    de = contraction.distance_table(palette, "delta_e_2000")
+    mosaics = {i: fold_double.Mosaic(*(px.filter(F.col("image_id") == i).toPandas()[c].to_numpy() for c in ("region_id", "x", "y", "idx"))) for i in range(len(grids))}
     for s in steps:
         m, f, c = mosaics[s["image_id"]], found[s["image_id"], s["step"]], contrast[s["image_id"], s["step"]]
         source, target = s["source_id"], s["target_id"]
