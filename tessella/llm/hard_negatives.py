@@ -6,7 +6,8 @@ first, ties by smaller vec_id. Its rows are counted by the next digit of ``highe
 of all blocks are added, the digit that holds the kth row becomes the search's bucket, and the next pass
 counts that bucket by its next digit. Scores that tie are told apart by the digits of vec_id. A search
 is closed when its bucket holds few rows; a last pass gathers the rows up to it, a few a search, and only
-they are ordered. A block reports no digit beyond its own kth row, which the digit sought can't pass; so
+they are ordered. Joins whose tables grow with the vectors or anchors are sorted, not broadcast: Spark takes
+a stored table for as small as its compressed file. A block reports no digit beyond its own kth row, which the digit sought can't pass; so
 a block sends at most ``k`` counts a search and pass. Searches are a table as everything else: nothing but
 bounds of scores and ids, and whether a search is open, comes to the driver.
 
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import join_skewed, materialize
 from tessella.llm.vectors import floored, usable
 
-#: Vectors and anchors of a block, about.
-BLOCK, ANCHORS = 4096, 256
+#: Vectors of a block, about, while there are no more than ``BLOCKS`` blocks; then blocks grow up to ``LARGE_BLOCK``.
+BLOCK, BLOCKS, LARGE_BLOCK = 4096, 64, 16384
+#: Anchors of a block, about, and those whose scores are in memory at once.
+ANCHORS, SCORED = 2048, 256
 #: Bits of a digit.
 DIGIT = 12
 #: Rows that a closed bucket may hold beyond those wanted.
@@ -49,9 +52,10 @@ _COUNTS = "anchor bigint, same boolean, hi bigint, digit bigint, n bigint"
 _FOUND = "anchor bigint, same boolean, hi bigint, score bigint, vec_id bigint, n bigint"
 
 
-def _block_rows(rows: DataFrame, size: int) -> DataFrame:
-    """``rows(rid, vec_id, label, dim, vector)`` by dim and block: about ``size`` rows a block, numbered from 0."""
-    sizes = materialize(rows.groupBy("dim").agg(F.count("*").alias("many"), F.ceil(F.count("*") / size).cast("int").alias("blocks")), "negatives-sizes")
+def _block_rows(rows: DataFrame, size: int, most: int) -> DataFrame:
+    """``rows(rid, vec_id, label, dim, vector)`` by dim and block, numbered from 0: about ``size`` rows a block, up to ``most`` where they are many."""
+    blocks = F.least(F.ceil(F.count("*") / size), F.greatest(F.ceil(F.count("*") / most), F.lit(BLOCKS))).cast("int")
+    sizes = materialize(rows.groupBy("dim").agg(F.count("*").alias("many"), blocks.alias("blocks")), "negatives-sizes")
     dealt = join_skewed(rows, sizes, "dim", "many").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     members = F.collect_list(F.struct("rid", "vec_id", "label", "vector"))
     return dealt.groupBy("dim", "blocks", "block").agg(members.alias("m")).select("dim", "blocks", "block", *(F.col(f"m.{c}").alias(f"{c}s") for c in ("rid", "vec_id", "label", "vector")))
@@ -61,8 +65,13 @@ def _matrix(vectors: pa.ListScalar, dim: int, exact: type) -> np.ndarray:
     return vectors.values.flatten().to_numpy(zero_copy_only=False).astype(exact).reshape(-1, dim)
 
 
+def _least(s: dict) -> int:
+    """The least score that can count for a search: that of its window or its bucket's last."""
+    return max(s["lo"], s["hi"] + 1 - s["base"] - (1 << s["shift"]))
+
+
 def _searches(batches: Iterator[pa.RecordBatch], exact: type, least_id: int):
-    """For each pair of blocks and search of it: the search, its rows' places, scores and ids, in any order."""
+    """For each pair of blocks and search of it: the search, and its rows' scores and ids down to its bucket's end, in any order."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
@@ -71,17 +80,31 @@ def _searches(batches: Iterator[pa.RecordBatch], exact: type, least_id: int):
             own = row["labels"].values.dictionary_encode()
             labels = own.indices.to_numpy()
             anchors = row["a_rids"].values.to_numpy()
-            sought = pc.fill_null(pc.index_in(row["a_labels"].values, own.dictionary), -1).to_numpy()
-            scores = (_matrix(row["a_vectors"], dim, exact) @ _matrix(row["vectors"], dim, exact).T).astype(np.int64)
-            place = {a: k for k, a in enumerate(anchors.tolist())}
+            sought = pc.fill_null(pc.index_in(row["a_labels"].values, own.dictionary), -1).to_pylist()
+            sent, own_vectors = _matrix(row["a_vectors"], dim, exact), _matrix(row["vectors"], dim, exact).T
+            place, first = {a: k for k, a in enumerate(anchors.tolist())}, -SCORED
+            by_anchor: dict[tuple[int, bool], list[dict]] = {}
             for s in row["searches"].values.to_pylist():
-                k = place[s["anchor"]]
-                own_label = labels == sought[k]
-                fits = own_label & (rids != s["anchor"]) if s["same"] else ~own_label
-                score = scores[k]
-                fits &= (score <= s["hi"]) & (score >= s["lo"])
-                at = np.flatnonzero(fits)
-                yield s, s["hi"] - score[at], ids[at] - least_id
+                by_anchor.setdefault((place[s["anchor"]], s["same"]), []).append(s)
+            sides: dict[tuple[int, bool], np.ndarray] = {}
+            for k, same in sorted(by_anchor):
+                wanted = by_anchor[k, same]
+                if k >= first + SCORED:
+                    first = k
+                    scores = sent[first : first + SCORED] @ own_vectors
+                side = sought[k], same
+                if side not in sides:
+                    sides[side] = np.flatnonzero((labels == side[0]) == same)
+                at, score = sides[side], scores[k - first]
+                score = score[at]
+                near = np.flatnonzero((score >= min(map(_least, wanted))) & (score <= max(s["hi"] for s in wanted)))
+                at, score = at[near], score[near].astype(np.int64)
+                if same:
+                    others = rids[at] != anchors[k]
+                    at, score = at[others], score[others]
+                for s in wanted:
+                    fits = (score <= s["hi"]) & (score >= _least(s))
+                    yield s, s["hi"] - score[fits], ids[at[fits]] - least_id
 
 
 def _count(exact: type, least_id: int):
@@ -138,8 +161,9 @@ def _meet(searches: DataFrame, anchors: DataFrame, vectors: DataFrame) -> DataFr
     """Every block of anchors that has searches with every block of vectors of its length."""
     own = searches.select("anchor", *(c for c in _SEARCH if c != "anchor"), "dim", "a_block")
     packed = own.groupBy("dim", "a_block").agg(F.collect_list(F.struct(*_SEARCH)).alias("searches"))
-    sent = anchors.join(packed, ["dim", "a_block"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
-    return vectors.join(sent, ["dim", "block"]).select("dim", "rids", "vec_ids", "labels", "vectors", "a_rids", "a_labels", "a_vectors", "searches")
+    sent = anchors.join(packed.hint("merge"), ["dim", "a_block"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
+    # the right side of a merge join is held a key at a time: one block of vectors
+    return sent.join(vectors.hint("merge"), ["dim", "block"]).select("dim", "rids", "vec_ids", "labels", "vectors", "a_rids", "a_labels", "a_vectors", "searches")
 
 
 def _select(searches: DataFrame, anchors: DataFrame, vectors: DataFrame, exact: type, ids: tuple[int, int], name: str) -> DataFrame:
@@ -156,8 +180,8 @@ def _select(searches: DataFrame, anchors: DataFrame, vectors: DataFrame, exact:
         counts = _meet(todo, anchors, vectors).mapInArrow(_count(exact, ids[0]), _COUNTS).groupBy(*key, "digit").agg(F.sum("n").alias("n"))
         # at most 2^DIGIT digits a search
         running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("digit")))
-        met = running.join(todo.select(*key, "wanted"), key).filter("upto >= wanted").groupBy(*key).agg(F.min_by(F.struct("digit", "n", (F.col("upto") - F.col("n")).alias("before")), "digit").alias("at"))
-        open_ = materialize(_narrowed(todo.join(met, key, "left"), id_bits), f"{name}-searches")
+        met = running.join(todo.select(*key, "wanted").hint("merge"), key).filter("upto >= wanted").groupBy(*key).agg(F.min_by(F.struct("digit", "n", (F.col("upto") - F.col("n")).alias("before")), "digit").alias("at"))
+        open_ = materialize(_narrowed(todo.join(met.hint("merge"), key, "left"), id_bits), f"{name}-searches")
     closed = done[0]
     for part in done[1:]:
         closed = closed.unionByName(part)
@@ -205,7 +229,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: int = 256, posi
     labels whose score is ``low`` to ``high`` percent of the positive's.
     """
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"), LARGEST / scale)
-    kept = vectors.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), is_anchor.alias("is_anchor"), F.size("embedding").alias("dim"), floored(F.col("embedding"), scale).alias("vector"))
+    kept = vectors.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), is_anchor.alias("is_anchor"), F.size("embedding").alias("dim"), floored(F.col("embedding"), scale).cast("array<int>").alias("vector"))
     rows = materialize(kept.withColumn("rid", F.monotonically_increasing_id()), "negatives-rows")
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     least, most, largest = rows.agg(F.min("vec_id"), F.max("vec_id"), F.max(norm)).first()
@@ -213,11 +237,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: int = 256, posi
         least, most, largest = 0, 0, 0.0
     if largest >= 2**62:
         raise ArithmeticError("scores do not fit a long")
-    exact = np.float64 if largest < 2**52 else np.int64  # sums of products are whole numbers in either
+    exact = np.float32 if largest < 2**24 else np.float64 if largest < 2**52 else np.int64  # sums of products are exact whole numbers in each
     top = int(largest * (1 + 1e-9)) + 2  # no product is beyond the largest square
-    blocks = materialize(_block_rows(rows.drop("is_anchor"), BLOCK), "negatives-vectors")
+    blocks = materialize(_block_rows(rows.drop("is_anchor"), BLOCK, LARGE_BLOCK), "negatives-vectors")
     counts = blocks.groupBy("dim").agg(F.max("blocks").alias("v_blocks"))
-    anchors = _block_rows(rows.filter("is_anchor").drop("is_anchor"), ANCHORS).join(counts, "dim")
+    anchors = _block_rows(rows.filter("is_anchor").drop("is_anchor"), ANCHORS, ANCHORS).join(F.broadcast(counts), "dim")
     anchors = materialize(anchors.select("dim", F.col("block").alias("a_block"), "v_blocks", *(F.col(c).alias(f"a_{c}") for c in ("rids", "vec_ids", "labels", "vectors"))), "negatives-anchors")
     places = anchors.select("dim", "a_block", F.explode(F.arrays_zip("a_rids", "a_vec_ids")).alias("a")).select("dim", "a_block", F.col("a.a_rids").alias("anchor"), F.col("a.a_vec_ids").alias("anchor_id"))
     first = places.select("dim", "a_block", "anchor", F.lit(True).alias("same"), F.lit(top).cast("long").alias("hi"), F.lit(-top).cast("long").alias("lo"), F.lit(positives).cast("long").alias("wanted"))
@@ -225,11 +249,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: int = 256, posi
     near = materialize(near.select("anchor", F.col("vec_id").alias("positive_id"), F.col("rank").alias("place"), F.col("score").alias("positive_score")), "negatives-positives")
     # floor and ceiling of whole numbers, whatever their signs
     over, under = F.expr(f"(positive_score * {high} - pmod(positive_score * {high}, 100L)) div 100"), F.expr(f"(positive_score * {low} + pmod(-positive_score * {low}, 100L)) div 100")
-    windows = near.select("anchor", over.alias("hi"), under.alias("lo")).distinct().filter("hi >= lo").join(places, "anchor")
+    windows = near.select("anchor", over.alias("hi"), under.alias("lo")).distinct().filter("hi >= lo").join(places.hint("merge"), "anchor")
     second = windows.select("dim", "a_block", "anchor", F.lit(False).alias("same"), "hi", "lo", F.lit(negatives).cast("long").alias("wanted"))
     far = _ranked(_select(_opened(second), anchors, blocks, exact, (least, most), "negatives"), negatives)
-    chosen = near.withColumn("hi", over).join(far.select("anchor", "hi", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")), ["anchor", "hi"])
-    return chosen.join(places.select("anchor", "anchor_id"), "anchor").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+    chosen = near.withColumn("hi", over).join(far.select("anchor", "hi", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).hint("merge"), ["anchor", "hi"])
+    return chosen.join(places.select("anchor", "anchor_id").hint("merge"), "anchor").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 
 ORACLE_SQL = """

@@ -66,6 +66,28 @@ def test_hard_negatives_of_long_scores(spark):
     assert [tuple(r) for r in found.collect()] == near(mixed[-3:], 256, 5, 5, 80, 100, 100)
 
 
+def test_hard_negatives_broadcast_no_growing_table(spark, monkeypatch):
+    """Only the sizes by vector length are broadcast, whatever size Spark estimates for the stored tables."""
+    plans = {}
+    stored = hard_negatives.materialize
+
+    def noted(df, name):
+        plans[f"{name}-{len(plans)}"] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(hard_negatives, "materialize", noted)
+    monkeypatch.setattr(hard_negatives, "SCORED", 3)
+    monkeypatch.setattr(hard_negatives, "BLOCKS", 2)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 10)
+    monkeypatch.setattr(hard_negatives, "LARGE_BLOCK", 50)
+    rows = vectors(5, 120, "signed")
+    found = hard_negatives.hard_negatives(table(spark, rows), F.col("vec_id") % 6 == 0)
+    plans["last"] = found._jdf.queryExecution().executedPlan().toString()
+    assert [k for k, plan in plans.items() if "Broadcast" in plan and not k.startswith(("negatives-vectors", "negatives-anchors"))] == []
+    assert any("SortMergeJoin" in plan for plan in plans.values())
+    assert sorted(tuple(r) for r in found.collect()) == near(rows, 256, 5, 5, 80, 100, 6)
+
+
 def test_hard_negatives_without_rows(spark):
     assert hard_negatives.hard_negatives(table(spark, BAD[:6]), F.lit(True)).collect() == []
     alone = hard_negatives.hard_negatives(table(spark, [(0, [1.0] * 4, 1), (1, [1.0] * 4, 2)]), F.col("vec_id") == 0)
