@@ -44,6 +44,8 @@ WINDOW = 8
 MEAN_IDS, LEAST_IDS, MOST_IDS = 512, 128, 4096
 #: Chunks that a task remembers to have sent.
 SENT = 500_000
+#: Bytes of text encoded at once: in larger blocks fewer words are met again, and a task holds some ten times as much.
+BLOCK_BYTES = 8 << 20
 #: Ids whose documents are one row of the manifest; no group of it has more recipes.
 BLOCK_TOKENS = 1 << 22
 
@@ -107,7 +109,7 @@ def _objects(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         sent: set[bytes] = set()
         for batch in batches:
             doc_ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
-            for a, b in column_blocks(batch.column("text")):
+            for a, b in column_blocks(batch.column("text"), BLOCK_BYTES):
                 ids, ends = encoder.encode(batch.column("text").slice(a, b - a))
                 ids, ends = np.insert(ids, ends, encoder.dtype.type(end_id)), ends + np.arange(1, len(ends) + 1)
                 data, rows, start = ids.tobytes(), [], 0

@@ -11,6 +11,7 @@ every text if the file's settings are others than :data:`SETTINGS`.
 
 from __future__ import annotations
 
+import collections
 import functools
 import itertools
 import json
@@ -46,6 +47,10 @@ SETTINGS = {
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: :func:`cut_marks` where it takes the marks off and no letter beyond ASCII is before them.
+MARKED = r"[a-z0-9][!-&(-/:-@\[-`{-~]+$"
+
+
 def cut_marks(word: bytes) -> tuple[bytes, bytes | None]:
     """A word without its trailing marks, and the marks; None where the two may not be encoded apart."""
     stem = word.rstrip(MARKS)
@@ -57,6 +62,19 @@ def cut_marks(word: bytes) -> tuple[bytes, bytes | None]:
     return word, None
 
 
+def split_marks(words: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """Every word without the marks that :func:`cut_marks` takes off, and the places of those that had any."""
+    texts = pa.array(words, pa.binary()).cast(pa.string())
+    marked = pc.match_substring_regex(texts, MARKED)
+    stems = pc.if_else(marked, pc.ascii_rtrim(texts, MARKS.decode()), texts).cast(pa.binary()).to_pylist()
+    cut = np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+    for i in np.flatnonzero(pc.match_substring_regex(texts, r"[^\x00-\x7F][!-&(-/:-@\[-`{-~]+$").to_numpy(zero_copy_only=False)).tolist():
+        stems[i], marks = cut_marks(words[i])
+        if marks is not None:
+            cut.append(i)
+    return stems, cut
+
+
 def byte_letters() -> dict[int, str]:
     """The letter by which a byte-level model knows each byte: itself where visible, else from 256 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,10 +82,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Index(dict):
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        return number
+class _Index(collections.defaultdict):
+    """Numbers its keys from 0 in the order in which they are met."""
+
+    def __init__(self, known=()):
+        super().__init__(None, known)
+        self.default_factory = itertools.count(len(self)).__next__
 
 
 class WordEncoder:
@@ -120,10 +140,10 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Splits new words into pieces and encodes those that are new too."""
         known = len(self.pieces)
-        stems, marks = zip(*(cut_marks(w) if w[-1] in MARKS else (w, None) for w in words))
+        stems, cut = split_marks(words)
         number = self.pieces.__getitem__
-        first = np.fromiter(map(number, stems), np.int64, len(words))
-        second = np.fromiter((-1 if m is None else number(m) for m in marks), np.int64, len(words))
+        first, second = np.fromiter(map(number, stems), np.int64, len(words)), np.full(len(words), -1)
+        second[cut] = np.fromiter((number(words[i][len(stems[i]) :]) for i in cut), np.int64, len(cut))
         self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
         self._encode_new(list(itertools.islice(self.pieces, known, None)))
         both = np.column_stack([first, second]).ravel()

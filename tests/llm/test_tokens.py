@@ -201,3 +201,18 @@ def test_cut_points_follow_content():
 def test_merkle_root_depends_on_order():
     leaves = [hashlib.md5(bytes([i])).digest() for i in range(5)]
     assert token_store.merkle_root(leaves) != token_store.merkle_root(leaves[::-1]) and token_store.merkle_root([]) != token_store.merkle_root(leaves[:1])
+
+
+def test_marks_cut_in_columns_equal_cut_marks():
+    """Stems and marks of many words at once are those of each word; numbers go up by one as words are met, also behind known ones."""
+    from tessella.llm.word_tokens import MARKS, _Index, cut_marks, split_marks
+
+    rng = random.Random(9)
+    letters = [*"az09'.,!-_`{~]\\&(/:@[", "é", "ß", "中", "٣", "°", "İ", "\x01", "—"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))).encode() for _ in range(20_000)]
+    stems, cut = split_marks(words)
+    want = [cut_marks(w) if w[-1] in MARKS else (w, None) for w in words]
+    assert stems == [stem for stem, _ in want]
+    assert sorted(cut) == [i for i, (_, marks) in enumerate(want) if marks is not None]
+    index = _Index([(b"x", 0), (b"y", 1)])
+    assert [index[w] for w in (b"z", b"x", b"w", b"z")] == [2, 0, 3, 2]
