@@ -36,9 +36,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
-def _normalised(text: Column) -> Column:
-    """Lower case, with single blanks; line ends stay."""
-    return F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D ]{2,}|[\x09\x0B-\x0D]", " ")
+def _single_blanks(line: str) -> Column:
+    """The column ``line`` with single blanks; only lines that hold other white space go through the expression."""
+    other = F.contains(F.col(line), F.lit("  "))
+    for blank in "\t\x0b\x0c\r":
+        other |= F.contains(F.col(line), F.lit(blank))
+    return F.when(other, F.regexp_replace(line, r"[\x09\x0B-\x0D ]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(F.col(line))
 
 
 HALVES = ["half1", "half2", "half3", "half4"]
@@ -55,9 +58,9 @@ def _halves() -> dict[str, Column]:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``(did, th, line, h, size, half1 .. half4)``: every line with a word."""
-    lines = _keyed(docs).filter("text <> ''").select("did", "th", F.posexplode(F.split(_normalised(F.col("text")), "\n")).alias("line", "raw"))
-    lines = lines.select("did", "th", "line", F.trim("raw").alias("norm")).filter("norm <> ''")
-    lines = lines.withColumn("size", (F.length("norm") - F.length(F.translate("norm", " ", "")) + 1).cast("int")).withColumns(_halves())
+    lines = _keyed(docs).filter("text <> ''").select("did", "th", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    lines = lines.select("did", "th", "line", F.trim(_single_blanks("raw")).alias("norm")).filter("norm <> ''")
+    lines = lines.withColumn("size", (F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int")).withColumns(_halves())
     return lines.select("did", "th", "line", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), "size", *HALVES)
 
 
@@ -66,7 +69,8 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     by_row = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("line", "lid")).alias("wanted"))
     rows = _keyed(docs).filter("text <> ''").join(by_row.hint("merge"), ["did", "th"])
     lines = rows.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    return lines.select("w.lid", F.split(F.trim(_normalised(F.get("lines", F.col("w.line")))), " ").alias("words")).dropDuplicates(["lid"])
+    lines = lines.select("w.lid", F.lower(F.get("lines", F.col("w.line"))).alias("raw"))
+    return lines.select("lid", F.split(F.trim(_single_blanks("raw")), " ").alias("words")).dropDuplicates(["lid"])
 
 
 def deletion_variants(lines: DataFrame) -> DataFrame:

@@ -277,3 +277,19 @@ def test_skewed_join_of_heavy_rows(spark, monkeypatch):
     found = common.join_skewed(rows, classes, "k", "n", weight="heavy").collect()
     want = [(i, 1, 3001, 2000) if i % 2 == 0 or i == 1 else (i, i, 1, 2000) for i in range(6000)]
     assert sorted((r["id"], r["k"], r["n"], len(r["heavy"])) for r in found) == want
+
+
+def test_only_lines_with_other_blanks_are_rewritten(spark):
+    """Blanks of every kind become single ones; a line that has single blanks only stays out of the expression."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessella.llm import line_dedup
+
+    lines = ["a b c", "a  b", "a\tb", "a \x0b\x0c b", "a\rb\r", "  a", "", "a b", "a \t\t é"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line int, raw string")
+    found = rows.select("line", line_dedup._single_blanks("raw").alias("norm")).orderBy("line").collect()
+    assert [r["norm"] for r in found] == [re.sub("[\t\x0b-\r ]+", " ", x) for x in lines]
+    table = line_dedup.line_table(rows.select(F.col("line").alias("doc_id"), F.col("raw").alias("text"))).orderBy("did").collect()
+    assert [(r["did"], r["size"]) for r in table] == [(i, len(re.split("[\t\x0b-\r ]+", x.strip("\t\x0b\x0c\r ")))) for i, x in enumerate(lines) if x]
