@@ -23,7 +23,7 @@ def _round(links: DataFrame, large: bool) -> DataFrame:
     turned = links.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))
     sides = links.unionByName(turned) if large else links
     least = sides.groupBy(*_NODE).agg(F.least(F.min("other"), F.first("node")).alias("least"))
-    met = sides.join(least, _NODE)
+    met = sides.join(least.hint("merge"), _NODE)
     far = met.filter("other > node") if large else met.filter("other <> least")
     new = far.select("image_id", F.col("other").alias("node"), F.col("least").alias("other"))
     if not large:
@@ -38,7 +38,7 @@ def roots(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         # stars: every node has one lesser neighbour, which has none
         centres = now.select("image_id", F.col("other").alias("node")).distinct()
-        if not now.groupBy(*_NODE).count().filter("count > 1").head(1) and not now.join(centres, _NODE, "left_semi").head(1):
+        if not now.groupBy(*_NODE).count().filter("count > 1").head(1) and not now.join(centres.hint("merge"), _NODE, "left_semi").head(1):
             return now.select(*_NODE, F.col("other").alias("root"))
         now = stored(_round(_round(now, True), False), "links")
     raise RuntimeError("components did not settle")

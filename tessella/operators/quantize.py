@@ -67,16 +67,16 @@ def quantize(pixels: DataFrame, palette: DataFrame, distance: str = "delta_e_200
     moves; else hot colours are, and only the other pixels are shuffled by their colour.
     """
     counts = pixels.groupBy("rgb").agg(F.count("*").alias("n"))
-    matches = stored(counts.join(nearest_colours(counts, palette, distance), "rgb"), "colour-matches")
+    matches = stored(counts.join(nearest_colours(counts, palette, distance).hint("merge"), "rgb"), "colour-matches")
     colours, total, most = matches.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if colours <= BROADCAST_COLOURS:
         return pixels.join(F.broadcast(matches.drop("n")), "rgb")
     bound = max(1000, int(total * HOT_SHARE))
     if most <= bound:
-        return pixels.join(matches.drop("n"), "rgb")
+        return pixels.join(matches.drop("n").hint("merge"), "rgb")
     hot, cold = matches.filter(F.col("n") > bound).drop("n"), matches.filter(F.col("n") <= bound).drop("n")
     at_hand = pixels.join(F.broadcast(hot), "rgb")
-    rest = pixels.join(F.broadcast(hot.select("rgb")), "rgb", "left_anti").join(cold, "rgb")
+    rest = pixels.join(F.broadcast(hot.select("rgb")), "rgb", "left_anti").join(cold.hint("merge"), "rgb")
     return at_hand.unionByName(rest)
 
 

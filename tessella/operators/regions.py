@@ -79,7 +79,7 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     """``rows(image_id, root, ...)`` with ``name`` for ``root``: the numbers of an image's roots, from 1, in their order."""
     order = Window.partitionBy("image_id").orderBy("root")
     numbers = rows.select("image_id", "root").distinct().withColumn(name, F.row_number().over(order).cast("long"))
-    return rows.join(numbers, ["image_id", "root"]).drop("root")
+    return rows.join(numbers.hint("merge"), ["image_id", "root"]).drop("root")
 
 
 def tile_labels(quantized: DataFrame, tile: int = TILE) -> DataFrame:
@@ -118,7 +118,7 @@ def detect_regions(quantized: DataFrame, tile: int = TILE) -> DataFrame:
     """
     labelled = stored(tile_labels(quantized, tile), "tile-labels")
     linked = roots(tile_links(labelled, tile))
-    parts = labelled.join(linked.withColumnRenamed("node", "local"), ["image_id", "local"], "left")
+    parts = labelled.join(linked.withColumnRenamed("node", "local").hint("merge"), ["image_id", "local"], "left")
     rooted = parts.select("image_id", F.coalesce("root", "local").alias("root"), "pos", "x", "y", "idx")
     return numbered(rooted, "region_id").select("image_id", "region_id", "pos", "x", "y", "idx")
 
@@ -156,7 +156,7 @@ def overlapping_images(members: DataFrame) -> DataFrame:
 def neighbours(regions: DataFrame, borders: DataFrame) -> DataFrame:
     """``(image_id, region_id, neighbours)`` sorted; empty for a region that stands alone."""
     found = borders.groupBy("image_id", F.col("src").alias("region_id")).agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
-    return regions.select("image_id", "region_id").join(found, ["image_id", "region_id"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
+    return regions.select("image_id", "region_id").join(found.hint("merge"), ["image_id", "region_id"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
 
 
 def merged_borders(borders: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def merged_borders(borders: DataFrame, mapping: DataFrame) -> DataFrame:
     out = borders
     for end in ("src", "dst"):
         named = mapping.select("image_id", F.col("region_id").alias(end), "final_id")
-        out = out.join(named, ["image_id", end], "left").withColumn(end, F.coalesce("final_id", end)).drop("final_id")
+        out = out.join(named.hint("merge"), ["image_id", end], "left").withColumn(end, F.coalesce("final_id", end)).drop("final_id")
     return out.filter("src <> dst").groupBy("image_id", "src", "dst").agg(F.sum("length").alias("length"))
 
 
@@ -215,20 +215,20 @@ def fitting_regions(pixels: DataFrame, diameter: int) -> DataFrame:
     votes = reach.withColumn("d", F.explode(needed)).filter("reach >= d.need").groupBy("image_id", "region_id", "x", (F.col("y") - F.col("d.dy")).alias("cy")).agg(F.count("*").alias("rows")).filter(F.col("rows") == len(rows))
     boxes = pixels.groupBy("image_id", "region_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
     inside = [(F.col(c) >= F.ceil(F.col(f"lo_{v}") + r)) & (F.col(c) <= F.floor(F.col(f"hi_{v}") - r)) for c, v in (("x", "x"), ("cy", "y"))]
-    return votes.join(boxes, ["image_id", "region_id"]).filter(inside[0] & inside[1]).select("image_id", "region_id").distinct()
+    return votes.join(boxes.hint("merge"), ["image_id", "region_id"]).filter(inside[0] & inside[1]).select("image_id", "region_id").distinct()
 
 
 def paintability(pixels: DataFrame, diameter: int) -> DataFrame:
     """``(image_id, region_id, mergeable)`` of the regions too small for the disc; mergeable: it has a neighbour."""
-    small = pixels.select("image_id", "region_id").distinct().join(fitting_regions(pixels, diameter), ["image_id", "region_id"], "left_anti")
+    small = pixels.select("image_id", "region_id").distinct().join(fitting_regions(pixels, diameter).hint("merge"), ["image_id", "region_id"], "left_anti")
     touching = shared_borders(pixels).select("image_id", F.col("src").alias("region_id"), F.lit(True).alias("touches")).distinct()
-    return small.join(touching, ["image_id", "region_id"], "left").select("image_id", "region_id", F.coalesce("touches", F.lit(False)).alias("mergeable"))
+    return small.join(touching.hint("merge"), ["image_id", "region_id"], "left").select("image_id", "region_id", F.coalesce("touches", F.lit(False)).alias("mergeable"))
 
 
 def merge_targets(undersized: DataFrame, borders: DataFrame) -> DataFrame:
     """The neighbour that each undersized region would join first: longest border, then least id."""
     window = Window.partitionBy("image_id", "src").orderBy(F.desc("length"), "dst")
-    ranked = borders.join(undersized.select("image_id", F.col("region_id").alias("src")), ["image_id", "src"], "left_semi").withColumn("r", F.row_number().over(window))
+    ranked = borders.join(undersized.select("image_id", F.col("region_id").alias("src")).hint("merge"), ["image_id", "src"], "left_semi").withColumn("r", F.row_number().over(window))
     return ranked.filter("r = 1").select("image_id", F.col("src").alias("region_id"), F.col("dst").alias("target_id"), "length")
 
 

@@ -1,4 +1,8 @@
-"""Stage tables in the folder that driver and executors share: they cut the lineage and survive lost executors."""
+"""Stage tables in the folder that driver and executors share: they cut the lineage and survive lost executors.
+
+Spark takes the size of a stored table from its compressed files, and that of exploded rows from the rows before. Joins
+with a table that grows with the input therefore carry the hint ``merge``: they are sorted, never broadcast by such a size.
+"""
 
 from __future__ import annotations
 
