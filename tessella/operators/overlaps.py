@@ -89,7 +89,7 @@ def improper_outlines(outlines: DataFrame, cell: int = CELL) -> DataFrame:
     rings = outlines.select("image_id", "region_id", F.explode(F.concat(F.array("points"), "hole_rings")).alias("ring"))
     flat = rings.filter(f"size(array_distinct(ring)) < 3 or {twice_area('ring')} = 0").select("image_id", "region_id")
     placed = with_cells(segments(outlines.select("image_id", "region_id", "points", "hole_rings")), cell)
-    met = placed.alias("s").join(placed.alias("t"), F.expr("s.image_id = t.image_id and s.region_id = t.region_id and s.ring = t.ring and s.cx = t.cx and s.cy = t.cy and s.i < t.i"))
+    met = placed.alias("s").join(placed.alias("t").hint("merge"), F.expr("s.image_id = t.image_id and s.region_id = t.region_id and s.ring = t.ring and s.cx = t.cx and s.cy = t.cy and s.i < t.i"))
     crossed = met.filter(f"{_boxes_meet('s', 't')} and ({crossing('s', 't')} or {_touching('s', 't')})").select("s.image_id", "s.region_id")
     return flat.unionByName(crossed).distinct()
 
@@ -101,7 +101,7 @@ def _pairs(met: DataFrame, one: str, other: str) -> DataFrame:
 def crossing_pairs(sides: DataFrame, cell: int = CELL) -> DataFrame:
     """Pairs of outlines with two sides that cross inside both."""
     placed = with_cells(sides, cell)
-    met = placed.alias("s").join(placed.alias("t"), F.expr("s.image_id = t.image_id and s.cx = t.cx and s.cy = t.cy and s.region_id < t.region_id and (s.asked or t.asked)"))
+    met = placed.alias("s").join(placed.alias("t").hint("merge"), F.expr("s.image_id = t.image_id and s.cx = t.cx and s.cy = t.cy and s.region_id < t.region_id and (s.asked or t.asked)"))
     found = met.filter(f"{_boxes_meet('s', 't')} and {crossing('s', 't')}")
     return found.select(F.col("s.image_id").alias("image_id"), F.col("s.region_id").alias("first_id"), F.col("t.region_id").alias("second_id")).distinct()
 
@@ -122,19 +122,19 @@ def inside_pairs(sides: DataFrame, cell: int = CELL) -> DataFrame:
     """Pairs of outlines with a corner, or the middle of a side, of one strictly inside the other."""
     spots = F.array(F.struct((F.col("ax") * 2).alias("x"), (F.col("ay") * 2).alias("y")), F.struct((F.col("ax") + F.col("bx")).alias("x"), (F.col("ay") + F.col("by")).alias("y")))
     points = sides.select("image_id", "region_id", "asked", F.explode(spots).alias("p")).select("image_id", "region_id", "asked", F.col("p.x").alias("px"), F.col("p.y").alias("line"), F.floor(F.col("p.x") / (2 * cell)).alias("cx"))
-    met = points.join(inner_stretches(sides, cell), ["image_id", "line", "cx"]).filter("region_id <> inside and (asked or inside_asked) and px >= x0 and px < x1")
+    met = points.join(inner_stretches(sides, cell).hint("merge"), ["image_id", "line", "cx"]).filter("region_id <> inside and (asked or inside_asked) and px >= x0 and px < x1")
     met = met.select("image_id", "region_id", "inside", "px", "line", "cx", F.floor(F.col("line") / (2 * cell)).alias("cy")).distinct()
     # points on a side of the other outline are not inside it; scan lines count some of them
     placed = with_cells(sides, cell).select("image_id", F.col("region_id").alias("inside"), "cx", "cy", *((F.col(c) * 2).alias(c) for c in ("ax", "ay", "bx", "by")))
     same = F.expr(" and ".join(f"m.{c} = s.{c}" for c in ("image_id", "inside", "cx", "cy")) + f" and {on_side('m.px', 'm.line', 's')}")
-    return _pairs(met.alias("m").join(placed.alias("s"), same, "left_anti"), "region_id", "inside")
+    return _pairs(met.alias("m").join(placed.alias("s").hint("merge"), same, "left_anti"), "region_id", "inside")
 
 
 def coincident_pairs(sides: DataFrame) -> DataFrame:
     """Pairs of outlines with the same sides, in whatever order and direction."""
     one, other = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
     sets = sides.groupBy("image_id", "region_id").agg(F.max("asked").alias("asked"), F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct(F.least(one, other).alias("p"), F.greatest(one, other).alias("q"))))), 256).alias("sides"))
-    met = sets.alias("s").join(sets.alias("t"), F.expr("s.image_id = t.image_id and s.sides = t.sides and s.region_id < t.region_id and (s.asked or t.asked)"))
+    met = sets.alias("s").join(sets.alias("t").hint("merge"), F.expr("s.image_id = t.image_id and s.sides = t.sides and s.region_id < t.region_id and (s.asked or t.asked)"))
     return met.select(F.col("s.image_id").alias("image_id"), F.col("s.region_id").alias("first_id"), F.col("t.region_id").alias("second_id"))
 
 
