@@ -38,7 +38,7 @@ def near_pairs(colours: DataFrame, threshold: float, distance: str = "delta_e_76
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     asked = own.select("image_id", F.col("pos").alias("earlier"), F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("b").alias("b2"), "cl", "ca", "cb", F.explode(steps).alias("s"))
     asked = asked.select("image_id", "earlier", "l2", "a2", "b2", *((F.col(c) + F.col(f"s.{s}")).alias(c) for c, s in (("cl", "i"), ("ca", "j"), ("cb", "k"))))
-    met = own.withColumnsRenamed({"l": "l1", "a": "a1", "b": "b1"}).join(asked, ["image_id", "cl", "ca", "cb"]).filter("earlier < pos")
+    met = own.withColumnsRenamed({"l": "l1", "a": "a1", "b": "b1"}).join(asked.hint("merge"), ["image_id", "cl", "ca", "cb"]).filter("earlier < pos")
     if distance == "delta_e_76":
         return met.filter(f"(l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (b1 - b2) * (b1 - b2) <= {threshold * threshold!r}D").select(*_KEY, "earlier")
     return with_distance(met, distance).filter(F.col("de") <= threshold).select(*_KEY, "earlier")
@@ -50,25 +50,25 @@ def leader_clusters(colours: DataFrame, threshold: float, distance: str = "delta
         raise ValueError("a threshold is at least 0")
     colours = stored(colours.select("image_id", "rgb", "first_pos", "l", "a", "b"), "leader-colours")
     pairs = stored(near_pairs(colours, threshold, distance), "leader-pairs")
-    alone = colours.select("image_id", F.col("first_pos").alias("pos")).join(pairs.select(*_KEY).distinct(), _KEY, "left_anti")
+    alone = colours.select("image_id", F.col("first_pos").alias("pos")).join(pairs.select(*_KEY).distinct().hint("merge"), _KEY, "left_anti")
     leaders, left = [stored(alone, "leaders")], pairs
     fresh = leaders[0]
     while True:
         # what has a leader before it is covered; pairs of what is settled leave
-        led = left.join(fresh.select("image_id", F.col("pos").alias("earlier")), ["image_id", "earlier"], "left_semi").select(*_KEY).distinct()
+        led = left.join(fresh.select("image_id", F.col("pos").alias("earlier")).hint("merge"), ["image_id", "earlier"], "left_semi").select(*_KEY).distinct()
         led = stored(led, "leader-covered")
-        left = left.join(led, _KEY, "left_anti")
+        left = left.join(led.hint("merge"), _KEY, "left_anti")
         open_ = stored(left, "leader-open")  # later colours are open; earlier ones open or covered just now
         if not open_.head(1):
             break
         gone = led.select("image_id", F.col("pos").alias("earlier"))
-        left = stored(open_.join(gone, ["image_id", "earlier"], "left_anti"), "leader-left")
+        left = stored(open_.join(gone.hint("merge"), ["image_id", "earlier"], "left_anti"), "leader-left")
         # a colour all of whose earlier neighbours are covered leads
-        fresh = stored(open_.select(*_KEY).distinct().join(left.select(*_KEY).distinct(), _KEY, "left_anti"), "leaders")
+        fresh = stored(open_.select(*_KEY).distinct().join(left.select(*_KEY).distinct().hint("merge"), _KEY, "left_anti"), "leaders")
         leaders.append(fresh)
     every = leaders[0]
     for more in leaders[1:]:
         every = every.unionByName(more)
-    first = pairs.join(every.select("image_id", F.col("pos").alias("earlier")), ["image_id", "earlier"], "left_semi").groupBy(*_KEY).agg(F.min("earlier").alias("first"))
-    named = colours.select("image_id", F.col("first_pos").alias("pos"), "rgb").join(first, _KEY, "left").withColumn("first", F.coalesce("first", "pos"))
-    return named.select("image_id", "rgb", "first").join(colours.select("image_id", F.col("first_pos").alias("first"), F.col("rgb").alias("leader")), ["image_id", "first"]).select("image_id", "rgb", "leader")
+    first = pairs.join(every.select("image_id", F.col("pos").alias("earlier")).hint("merge"), ["image_id", "earlier"], "left_semi").groupBy(*_KEY).agg(F.min("earlier").alias("first"))
+    named = colours.select("image_id", F.col("first_pos").alias("pos"), "rgb").join(first.hint("merge"), _KEY, "left").withColumn("first", F.coalesce("first", "pos"))
+    return named.select("image_id", "rgb", "first").join(colours.select("image_id", F.col("first_pos").alias("first"), F.col("rgb").alias("leader")).hint("merge"), ["image_id", "first"]).select("image_id", "rgb", "leader")
