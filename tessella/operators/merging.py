@@ -68,10 +68,10 @@ def candidates(regions: DataFrame, borders: DataFrame, palette: DataFrame, dista
     """
     if touching is not None:
         ends = borders.select("image_id", "src", "dst", F.explode(F.array("src", "dst")).alias("region_id"))
-        kept = ends.join(touching.select("image_id", "region_id").distinct(), ["image_id", "region_id"], "left_semi").select("image_id", "src", "dst").distinct()
-        borders = borders.join(kept, ["image_id", "src", "dst"], "left_semi")
+        kept = ends.join(touching.select("image_id", "region_id").distinct().hint("merge"), ["image_id", "region_id"], "left_semi").select("image_id", "src", "dst").distinct()
+        borders = borders.join(kept.hint("merge"), ["image_id", "src", "dst"], "left_semi")
     measured = lambda side, end: regions.select("image_id", F.col("region_id").alias(end), F.col("idx").alias(f"{side}_idx"), F.col("area").alias(f"{side}_area"), F.col("perimeter").alias(f"{side}_perimeter"))
-    rows = borders.withColumnRenamed("length", "border").join(measured("source", "src"), ["image_id", "src"]).join(measured("target", "dst"), ["image_id", "dst"])
+    rows = borders.withColumnRenamed("length", "border").join(measured("source", "src").hint("merge"), ["image_id", "src"]).join(measured("target", "dst").hint("merge"), ["image_id", "dst"])
     colours = palette_distances(palette, distance)
     rows = rows.join(F.broadcast(colours), ["source_idx", "target_idx"])  # at most 256 x 256 rows
     return apply_steps(rows, DERIVED, [*MEASURES, "border_penalty", "geometry_penalty"]).withColumnsRenamed({"src": "source_id", "dst": "target_id"})
@@ -165,7 +165,7 @@ def fragile_details(regions: DataFrame, rows: DataFrame, diameter: int, contrast
     least = rows.groupBy("image_id", F.col("source_id").alias("region_id")).agg(F.min("de").alias("min_de"))
     roundness = 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))
     small = (F.col("area") <= 3 * math.pi * (diameter / 2) ** 2) | (roundness <= 0.30)
-    return regions.join(least, ["image_id", "region_id"]).filter(small & (F.col("min_de") >= contrast)).select("image_id", "region_id", "area", "perimeter", "min_de")
+    return regions.join(least.hint("merge"), ["image_id", "region_id"]).filter(small & (F.col("min_de") >= contrast)).select("image_id", "region_id", "area", "perimeter", "min_de")
 
 
 def metric_distributions(rows: DataFrame, metrics: list[str]) -> DataFrame:
