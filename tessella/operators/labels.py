@@ -85,7 +85,7 @@ def squared_distances(members: DataFrame) -> DataFrame:
 def best_pixels(members: DataFrame) -> DataFrame:
     """``(image_id, region_id, idx, x, y, squared_distance)``: the pixel farthest from the boundary, then nearest the centroid, then first by y and x."""
     sums = members.groupBy("image_id", "region_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.first("idx").alias("idx"))
-    found = squared_distances(members).join(sums, ["image_id", "region_id"])
+    found = squared_distances(members).join(sums.hint("merge"), ["image_id", "region_id"])
     dx, dy = ((F.col("n") * F.col(c) - F.col(f"s{c}")).cast("decimal(18,0)") for c in "xy")
     rank = F.struct(-F.col("squared_distance"), (dx * dx + dy * dy), F.col("y"), F.col("x"))  # whole numbers, so ties are exact
     return found.groupBy("image_id", "region_id").agg(F.min_by(F.struct("x", "y", "squared_distance", "idx"), rank).alias("best")).select("image_id", "region_id", "best.idx", "best.x", "best.y", "best.squared_distance")
