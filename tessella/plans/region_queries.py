@@ -217,7 +217,7 @@ def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = nation_palette(spark, sf_dir)
     rows = M.ranked(rows).join(F.broadcast(names.select(F.col("idx").alias("source_idx"), F.col("name").alias("source_name"), F.col("number").alias("source_number"))), "source_idx")
     rows = rows.join(F.broadcast(names.select(F.col("idx").alias("target_idx"), F.col("number").alias("target_number"))), "target_idx")
-    rows = rows.join(table.select("image_id", F.col("region_id").alias("source_id"), "min_x", "min_y", "max_x", "max_y"), ["image_id", "source_id"])
+    rows = rows.join(table.select("image_id", F.col("region_id").alias("source_id"), "min_x", "min_y", "max_x", "max_y").hint("merge"), ["image_id", "source_id"])
     return rounded(rows.select("image_id", "source_id", "target_id", "cost", "rank", "source_name", "source_number", "target_number", "min_x", "min_y", "max_x", "max_y"), "cost")
 
 
