@@ -41,7 +41,7 @@ _MOVES = "image_id long, region_id long, final_id long"
 
 def _small(members: DataFrame, diameter: int) -> DataFrame:
     """``(image_id, region_id, pixels)`` of the regions that hold no disc; pixels are packed as ``y << 32 | x``."""
-    rest = members.join(fitting_regions(members, diameter), _KEY, "left_anti")
+    rest = members.join(fitting_regions(members, diameter).hint("merge"), _KEY, "left_anti")
     return rest.groupBy(*_KEY).agg(F.collect_list(F.shiftleft("y", SHIFT).bitwiseOR(F.col("x"))).alias("pixels"))
 
 
@@ -51,19 +51,19 @@ def _near(borders: DataFrame) -> DataFrame:
 
 def region_graph(members: DataFrame, diameter: int) -> DataFrame:
     """One row a region: ``idx``, ``area``, ``perimeter``, ``near`` (neighbours with border lengths, null: none) and, if it holds no disc, its ``pixels``."""
-    table = region_measures(members).join(_near(shared_borders(members)), _KEY, "left")
-    return table.join(_small(members, diameter), _KEY, "left")
+    table = region_measures(members).join(_near(shared_borders(members)).hint("merge"), _KEY, "left")
+    return table.join(_small(members, diameter).hint("merge"), _KEY, "left")
 
 
 def renamed(members: DataFrame, moves: DataFrame) -> DataFrame:
     """Members after ``moves(image_id, region_id, final_id, final_idx)``."""
-    met = members.join(moves, _KEY, "left")
+    met = members.join(moves.hint("merge"), _KEY, "left")
     return met.select("image_id", F.coalesce("final_id", "region_id").alias("region_id"), "x", "y", F.coalesce("final_idx", "idx").alias("idx"))
 
 
 def small_regions(members: DataFrame, diameter: int) -> DataFrame:
     """``(image_id, region_id, pixels, near, weight)`` of the regions that hold no disc; ``weight``: pixels and neighbours."""
-    rows = _small(members, diameter).join(_near(shared_borders(members)), _KEY, "left")
+    rows = _small(members, diameter).join(_near(shared_borders(members)).hint("merge"), _KEY, "left")
     return rows.withColumn("weight", F.size("pixels") + F.coalesce(F.size("near"), F.lit(0)))
 
 
@@ -74,11 +74,11 @@ def borders_of(rows: DataFrame) -> DataFrame:
 
 def clustered(rows: DataFrame) -> DataFrame:
     """``rows`` with ``cluster``, the least region of those that touch each other, and the cluster's ``total`` weight."""
-    links = borders_of(rows).filter("src > dst").join(rows.select("image_id", F.col("region_id").alias("dst")), ["image_id", "dst"], "left_semi")
+    links = borders_of(rows).filter("src > dst").join(rows.select("image_id", F.col("region_id").alias("dst")).hint("merge"), ["image_id", "dst"], "left_semi")
     linked = roots(links.select("image_id", F.col("src").alias("node"), F.col("dst").alias("other")))
-    found = rows.join(linked.withColumnRenamed("node", "region_id"), _KEY, "left").withColumn("cluster", F.coalesce("root", "region_id")).drop("root")
+    found = rows.join(linked.withColumnRenamed("node", "region_id").hint("merge"), _KEY, "left").withColumn("cluster", F.coalesce("root", "region_id")).drop("root")
     found = stored(found, "small-clusters")
-    return found.join(found.groupBy("image_id", "cluster").agg(F.sum("weight").alias("total")), ["image_id", "cluster"])
+    return found.join(found.groupBy("image_id", "cluster").agg(F.sum("weight").alias("total")).hint("merge"), ["image_id", "cluster"])
 
 
 def merge_moves(members: DataFrame, diameter: int, strict: bool = False, most_cluster: int = MOST_CLUSTER, batch: int = BATCH) -> DataFrame:
@@ -101,11 +101,11 @@ def merge_moves(members: DataFrame, diameter: int, strict: bool = False, most_cl
     wide = images.filter(F.col("image_weight") > batch).select("image_id")
     if not wide.head(1):
         return rows.groupBy("image_id").applyInPandas(run, _MOVES)
-    clusters = clustered(rows.join(wide, "image_id", "left_semi"))
+    clusters = clustered(rows.join(wide.hint("merge"), "image_id", "left_semi"))
     within, beyond = clusters.filter(F.col("total") <= most_cluster), clusters.filter(F.col("total") > most_cluster)
     parts = within.groupBy("image_id").agg(F.ceil(F.sum("weight") / max(batch, 1)).alias("parts"))
-    dealt = within.join(parts, "image_id").withColumn("part", F.pmod(F.xxhash64("cluster"), "parts"))
-    whole = rows.join(wide, "image_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    dealt = within.join(parts.hint("merge"), "image_id").withColumn("part", F.pmod(F.xxhash64("cluster"), "parts"))
+    whole = rows.join(wide.hint("merge"), "image_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
     columns = [*_KEY, "pixels", "near", "part"]
     moves = dealt.select(*columns).unionByName(whole.select(*columns)).groupBy("image_id", "part").applyInPandas(run, _MOVES)
     if beyond.head(1):
@@ -125,7 +125,7 @@ def contracted_in_rounds(small: DataFrame, diameter: int, strict: bool = False)
     edges = borders_of(small)
     while True:
         own, other = (waiting.select("image_id", F.col("region_id").alias(end), F.col("at").alias(f"{end}_at")) for end in ("src", "dst"))
-        known = edges.join(own, ["image_id", "src"]).join(other, ["image_id", "dst"], "left")
+        known = edges.join(own.hint("merge"), ["image_id", "src"]).join(other.hint("merge"), ["image_id", "dst"], "left")
         here = Window.partitionBy("image_id", "src")
         first = known.withColumns({
             "blocked": F.max(F.coalesce(F.col("dst_at") < F.col("src_at"), F.lit(False))).over(here),
@@ -135,13 +135,13 @@ def contracted_in_rounds(small: DataFrame, diameter: int, strict: bool = False)
         if not moves.head(1):
             break
         step = moves.select("image_id", F.col("region_id").alias("owner"), "final_id")
-        owners = stored(owners.join(step, ["image_id", "owner"], "left").select(*_KEY, F.coalesce("final_id", "owner").alias("owner")), "round-owners")
+        owners = stored(owners.join(step.hint("merge"), ["image_id", "owner"], "left").select(*_KEY, F.coalesce("final_id", "owner").alias("owner")), "round-owners")
         grown = moves.groupBy("image_id", F.col("final_id").alias("region_id")).agg(F.max("again").alias("again"))
-        left = waiting.join(moves, _KEY, "left_anti").join(grown, _KEY, "left")
-        held = owners.join(left.filter("again is not null").select("image_id", F.col("region_id").alias("owner")), ["image_id", "owner"], "left_semi")
-        fit = fitting_regions(points.join(held, _KEY).select("image_id", F.col("owner").alias("region_id"), "x", "y"), diameter)
-        waiting = stored(left.join(fit, _KEY, "left_anti").select(*_KEY, F.greatest("at", "again").alias("at")), "round-waiting")
-        edges = merged_borders(edges, moves.select(*_KEY, "final_id")).join(waiting.select("image_id", F.col("region_id").alias("src")), ["image_id", "src"], "left_semi")
+        left = waiting.join(moves.hint("merge"), _KEY, "left_anti").join(grown.hint("merge"), _KEY, "left")
+        held = owners.join(left.filter("again is not null").select("image_id", F.col("region_id").alias("owner")).hint("merge"), ["image_id", "owner"], "left_semi")
+        fit = fitting_regions(points.join(held.hint("merge"), _KEY).select("image_id", F.col("owner").alias("region_id"), "x", "y"), diameter)
+        waiting = stored(left.join(fit.hint("merge"), _KEY, "left_anti").select(*_KEY, F.greatest("at", "again").alias("at")), "round-waiting")
+        edges = merged_borders(edges, moves.select(*_KEY, "final_id")).join(waiting.select("image_id", F.col("region_id").alias("src")).hint("merge"), ["image_id", "src"], "left_semi")
         edges = stored(edges, "round-edges")
     if strict:
         check_paintable([r["region_id"] for r in waiting.limit(10).collect()])
@@ -153,13 +153,13 @@ def merged_regions(pixels: DataFrame, diameter: int, strict: bool = False, most_
     members = stored(pixels.select(*_MEMBERS), "contraction-members")
     moves = merge_moves(members, diameter, strict, most_cluster, batch)
     colours = members.groupBy("image_id", F.col("region_id").alias("final_id")).agg(F.first("idx").alias("final_idx"))
-    return renamed(members, moves.join(colours, ["image_id", "final_id"]))
+    return renamed(members, moves.join(colours.hint("merge"), ["image_id", "final_id"]))
 
 
 def stage_loss(pixels: DataFrame, diameter: int) -> DataFrame:
     """``(image_id, detected, merged, lost, loss)``: regions as detected, after the mandatory merge, and the share of them that it takes."""
     count = lambda df, name: df.groupBy("image_id").agg(F.count_distinct("region_id").alias(name))
-    counts = count(pixels, "detected").join(count(merged_regions(pixels, diameter), "merged"), "image_id")
+    counts = count(pixels, "detected").join(count(merged_regions(pixels, diameter), "merged").hint("merge"), "image_id")
     return counts.withColumn("lost", F.col("detected") - F.col("merged")).withColumn("loss", F.col("lost") / F.col("detected"))
 
 

@@ -33,7 +33,7 @@ def boundary_edges(members: DataFrame) -> DataFrame:
     asked = members.select("image_id", "region_id", "x", "y", F.explode(sides).alias("s"))
     asked = asked.select("image_id", "region_id", *((F.col(c) + F.col(f"s.{o}")).alias(n) for n, c, o in (("nx", "x", "dx"), ("ny", "y", "dy"), ("sx", "x", "ax"), ("sy", "y", "ay"), ("ex", "x", "bx"), ("ey", "y", "by"))))
     owners = members.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("region_id").alias("other"))
-    return asked.join(owners, ["image_id", "nx", "ny"], "left").filter("other is null or other <> region_id").select("image_id", "region_id", "sx", "sy", "ex", "ey", "other")
+    return asked.join(owners.hint("merge"), ["image_id", "nx", "ny"], "left").filter("other is null or other <> region_id").select("image_id", "region_id", "sx", "sy", "ex", "ey", "other")
 
 
 def edge_after(region: np.ndarray, sx: np.ndarray, sy: np.ndarray, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def outline_areas(outlines: DataFrame) -> DataFrame:
 def point_reduction(before: DataFrame, after: DataFrame) -> DataFrame:
     """Share of outline points that simplification removed, in per cent."""
     count = lambda df, name: outline_set_stats(df).select("image_id", F.col("vertices").alias(name))
-    return count(before, "before").join(count(after, "after"), "image_id").withColumn("reduction", F.coalesce(F.try_divide((F.col("before") - F.col("after")) * 100.0, F.col("before")), F.lit(0.0)))
+    return count(before, "before").join(count(after, "after").hint("merge"), "image_id").withColumn("reduction", F.coalesce(F.try_divide((F.col("before") - F.col("after")) * 100.0, F.col("before")), F.lit(0.0)))
 
 
 def validate_outlines(outlines: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def chain_stats(corners: DataFrame) -> DataFrame:
     chains, refs = chain_table(rings)
     ends = chains.filter("not closed").select("image_id", F.explode(F.array(F.col("points")[0], F.element_at("points", -1))).alias("p")).distinct()
     counts = chains.groupBy("image_id").agg(F.count("*").alias("chains"), F.count_if("closed").alias("closed_chains"))
-    counts = counts.join(refs.groupBy("image_id").agg(F.count("*").alias("refs"), F.count_if("closed").alias("closed_refs")), "image_id")
-    return counts.join(ends.groupBy("image_id").agg(F.count("*").alias("nodes")), "image_id", "left").fillna(0, ["nodes"])
+    counts = counts.join(refs.groupBy("image_id").agg(F.count("*").alias("refs"), F.count_if("closed").alias("closed_refs")).hint("merge"), "image_id")
+    return counts.join(ends.groupBy("image_id").agg(F.count("*").alias("nodes")).hint("merge"), "image_id", "left").fillna(0, ["nodes"])
 
 
 def _away(x: np.ndarray, y: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -152,7 +152,7 @@ def simplified_chains(chains: DataFrame, tolerance: float) -> DataFrame:
 
 def joined_rings(refs: DataFrame, simplified: DataFrame) -> DataFrame:
     """``(image_id, region_id, ring, points)``: rings put together from their chains, each in its direction and without its end."""
-    met = refs.join(simplified.select("image_id", "name", "points"), ["image_id", "name"])
+    met = refs.join(simplified.select("image_id", "name", "points").hint("merge"), ["image_id", "name"])
     turned = F.when(F.col("forward"), F.col("points")).otherwise(F.reverse("points"))
     same = (F.expr(twice_area("points")) > 0) == F.col("positive")
     part = F.when(F.col("closed"), F.when(same, F.col("points")).otherwise(F.reverse("points"))).otherwise(F.slice(turned, 1, F.size("points") - 1))
@@ -174,16 +174,16 @@ def simplified_rings(corners: DataFrame, tolerance: float, outlines: Callable[[D
     while True:
         whole = outlines(rings, True)
         if asked is not None:
-            whole = whole.join(asked.withColumn("changed", F.lit(True)), ["image_id", "region_id"], "left")
+            whole = whole.join(asked.withColumn("changed", F.lit(True)).hint("merge"), ["image_id", "region_id"], "left")
         bad = invalid_outlines(whole, None if asked is None else F.coalesce("changed", F.lit(False)))
         users = chains.filter(F.col("level") < len(FALLBACKS) - 1).select("image_id", "name", F.explode("regions").alias("region_id"))
-        lower = stored(users.join(bad, ["image_id", "region_id"], "left_semi").select("image_id", "name").distinct(), "chains-lower")
+        lower = stored(users.join(bad.hint("merge"), ["image_id", "region_id"], "left_semi").select("image_id", "name").distinct(), "chains-lower")
         if not lower.head(1):
             return rings
-        lowered = chains.join(lower.withColumn("lower", F.lit(1)), ["image_id", "name"], "left")
+        lowered = chains.join(lower.withColumn("lower", F.lit(1)).hint("merge"), ["image_id", "name"], "left")
         chains = stored(lowered.withColumn("level", (F.col("level") + F.coalesce("lower", F.lit(0))).cast("int")).drop("lower"), "chains")
-        asked = stored(chains.join(lower, ["image_id", "name"], "left_semi").select("image_id", F.explode("regions").alias("region_id")).distinct(), "regions-changed")
-        used = refs.join(asked, ["image_id", "region_id"], "left_semi")
-        needed = chains.join(used.select("image_id", "name").distinct(), ["image_id", "name"], "left_semi")
+        asked = stored(chains.join(lower.hint("merge"), ["image_id", "name"], "left_semi").select("image_id", F.explode("regions").alias("region_id")).distinct(), "regions-changed")
+        used = refs.join(asked.hint("merge"), ["image_id", "region_id"], "left_semi")
+        needed = chains.join(used.select("image_id", "name").distinct().hint("merge"), ["image_id", "name"], "left_semi")
         fresh = joined_rings(used, simplified_chains(needed, tolerance))
-        rings = stored(rings.join(asked, ["image_id", "region_id"], "left_anti").unionByName(fresh), "rings")
+        rings = stored(rings.join(asked.hint("merge"), ["image_id", "region_id"], "left_anti").unionByName(fresh), "rings")
