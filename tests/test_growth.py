@@ -12,7 +12,7 @@ from tessella.plans.catalog import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["region_neighbours", "invalid_outlines", "overlapping_outlines", "leader_clusters", "leader_clusters_2000", "merge_candidates", "combined_protection", "first_merge_targets", "metric_distributions", "region_labels", "paintability", "touching_candidates", "ranked_candidates", "strategy_cohorts", "fragile_details", "neighbour_contrast", "protected_ranking", "vector_pages"])
+@pytest.mark.parametrize("name", ["region_neighbours", "invalid_outlines", "overlapping_outlines", "leader_clusters", "leader_clusters_2000", "merge_candidates", "combined_protection", "first_merge_targets", "metric_distributions", "region_labels", "paintability", "touching_candidates", "ranked_candidates", "strategy_cohorts", "fragile_details", "neighbour_contrast", "protected_ranking", "vector_pages", "outline_reduction"])
 def test_no_growing_table_is_broadcast(spark, monkeypatch, name):
     """Here every table is below Spark's bound. Whatever grows has an image_id, but for colours; palettes and counted matches may be broadcast."""
     plans = []
