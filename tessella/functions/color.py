center_surround_candidates: distances run as compiled code

Symptom: on sf0.1 (the large input) the query used 544 to 640 JVM seconds, 8 to 19 GC seconds and no Python worker seconds a GB; nearly all of it in the last stage (5 CPU seconds), after the windows.
Evidence: two Lab conversions and CIEDE2000 were one run of steps, 9,411 bytes of bytecode in one generated method (10,456 in offset_collapsed_pairs); the JVM leaves methods over 8,000 bytes to the interpreter, so every row with a distance was interpreted.
Fix: colour_distance is built from with_lab, with_lab and with_distance; each ends in its own generator, where Spark starts a new method. The largest is now below 5,000 bytes; the formulas and their order are the same.
Effect, together with 6 more commits on this code: at 1 GB of input CPU 375 -> 148 s, shuffle 0.20 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.14 -> 0.14 GB, longest task 38 -> 6 s, most memory of a task 403 -> 135 MB; at 6 GB of input CPU 1875 -> 396 s, shuffle 1.18 -> 1.10 GB, spill 0.00 -> 0.00 GB, read 1.09 -> 1.09 GB, longest task 56 -> 17 s, most memory of a task 503 -> 436 MB; with hot keys, at 1 GB of input CPU 348 -> 154 s, shuffle 0.18 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 0.14 -> 0.14 GB, longest task 36 -> 6 s, most memory of a task 403 -> 135 MB.

@@ -87,7 +87,11 @@ def with_distance(df: DataFrame, distance: str = "delta_e_2000", out: str = "de"
 
 
 def colour_distance(df: DataFrame, first: str, second: str, out: str, distance: str = "delta_e_2000") -> DataFrame:
-    """Adds ``out``, the distance of two packed colour columns; null where either is null."""
+    """Adds ``out``, the distance of two packed colour columns; where either is null, null (0 by ``delta_e_2000``).
+
+    Each colour's Lab and the distance are steps of their own: as one run of steps the generated method exceeds the
+    8000 bytes of bytecode up to which the JVM compiles a method, and every row would be interpreted.
+    """
     names = df.columns
-    labs = apply_steps(df, [*lab_steps(first, "1"), *lab_steps(second, "2"), *DISTANCES[distance]], ["de"])
-    return labs.select(*names, F.col("de").alias(out))
+    labs = with_lab(with_lab(df, first, "1"), second, "2")
+    return with_distance(labs, distance).select(*names, F.col("de").alias(out))

@@ -64,3 +64,21 @@ def test_matches_are_joined_alike(spark, monkeypatch, most):
     nearest = {r["rgb"]: r["idx"] for r in quantize.nearest_colours(pixels, palette).collect()}
     rows = found.collect()
     assert len(rows) == 6000 and all(r["idx"] == nearest[r["rgb"]] for r in rows)
+
+
+def test_distances_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8000 bytes of bytecode: rows with a distance must not meet one."""
+    import re
+
+    rows = spark.range(4).selectExpr("id", "if(id % 2 = 1, null, 3368601 + id) as x", "if(id >= 2, null, 1122867L) as y")
+    for name in DISTANCES:
+        found = colour_distance(colour_distance(rows, "x", "y", "there", name), "y", "x", "back", name)
+        capsys.readouterr()
+        found.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000
+        assert found.columns == ["id", "x", "y", "there", "back"]
+        values = {r["id"]: (r["there"], r["back"]) for r in found.collect()}
+        assert values[0][0] > 0 and values[0][0] == pytest.approx(values[0][1], abs=1e-9)
+        unknown = 0.0 if name == "delta_e_2000" else None
+        assert all(values[i] == (unknown, unknown) for i in (1, 2, 3))
