@@ -209,11 +209,7 @@ def _offsets(q: DataFrame) -> DataFrame:
 
 
 def _surround(q: DataFrame) -> DataFrame:
-    q = stored(q, "quantized")  # every offset reads it
-    out = C.center_surround(q, OFFSETS[0])
-    for k in OFFSETS[1:]:
-        out = out.unionAll(C.center_surround(q, k))
-    return out
+    return C.center_surround(stored(q, "quantized"), OFFSETS)  # both directions read it
 
 
 @query("offset_collapsed_pairs", with_sql([*QUANTIZED, offsets_sql()], "SELECT * REPLACE (round(de, 6) AS de) FROM off"))
