center_surround_candidates: a distance only for rows still open

Symptom: 60 x sf0.1 (6,000,000 pixels, local, 6 cores) took 66.4 CPU seconds, 52 of them in the stage of windows and distances; on sf0.1 (the large input) 175 to 196 JVM, 6 GC and no Python worker seconds a GB.
Evidence: of 36,000,000 rows of a centre, an offset and a direction 9,051,120 pass the test of colours (4,341,240 along rows, 4,709,880 along columns), and all three distances were worked out for each before one filter at the end.
Fix: each distance is followed by its own condition, the centre's distances first, as neighbours of one palette colour are mostly alike; the columns keep their order.
Effect, together with 6 more commits on this code: at 1 GB of input CPU 375 -> 148 s, shuffle 0.20 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.14 -> 0.14 GB, longest task 38 -> 6 s, most memory of a task 403 -> 135 MB; at 6 GB of input CPU 1875 -> 396 s, shuffle 1.18 -> 1.10 GB, spill 0.00 -> 0.00 GB, read 1.09 -> 1.09 GB, longest task 56 -> 17 s, most memory of a task 503 -> 436 MB; with hot keys, at 1 GB of input CPU 348 -> 154 s, shuffle 0.18 -> 0.17 GB, spill 0.00 -> 0.00 GB, read 0.14 -> 0.14 GB, longest task 36 -> 6 s, most memory of a task 403 -> 135 MB.

@@ -94,13 +94,13 @@ def offset_pairs(quantized: DataFrame, offset: int, threshold: float = 5.0, dist
     both = quantized.select("image_id", "x", "y", "rgb", "idx", *(neighbour(["rgb", "idx"], offset, o).alias(o) for o in LINES))
     pairs = both.select("image_id", "x", "y", "rgb", "idx", F.explode(F.create_map(*(c for o in LINES for c in (F.lit(o), F.col(o))))).alias("orientation", "n"))
     pairs = pairs.filter("n.idx = idx and n.rgb <> rgb").select("image_id", F.lit(offset).cast("long").alias("offset_px"), "orientation", "x", "y", "rgb", F.col("n.rgb").alias("other_rgb"), "idx")
-    return _with_distances(pairs, [("rgb", "other_rgb", "de")], distance).filter(F.col("de") > threshold)
+    return _with_distances(pairs, [("rgb", "other_rgb", "de", F.col("de") > threshold)], distance)
 
 
-def _with_distances(rows: DataFrame, wanted: list[tuple[str, str, str]], distance: str) -> DataFrame:
-    """Adds the distances of pairs of colour columns; computed in place, which costs no shuffle."""
-    for first, second, out in wanted:
-        rows = colour_distance(rows, first, second, out, distance)
+def _with_distances(rows: DataFrame, wanted: list[tuple[str, str, str, Column]], distance: str) -> DataFrame:
+    """Adds the distances of pairs of colour columns, each only to the rows that the conditions before it kept; this costs no shuffle."""
+    for first, second, out, kept in wanted:
+        rows = colour_distance(rows, first, second, out, distance).filter(kept)
     return rows
 
 
@@ -121,8 +121,9 @@ def center_surround(quantized: DataFrame, offsets: list[int], background: float
         rows = rows.select("image_id", "x", "y", "center_rgb", "idx", F.inline(F.array(*at)))
         rows = rows.filter("a.idx = idx and b.idx = idx and a.rgb <> center_rgb and b.rgb <> center_rgb")
         parts.append(rows.select("image_id", "offset_px", F.lit(o).alias("orientation"), "x", "y", "center_rgb", F.col("a.rgb").alias("first_rgb"), F.col("b.rgb").alias("second_rgb"), "idx"))
-    rows = _with_distances(parts[0].unionAll(parts[1]), [("first_rgb", "second_rgb", "background_de"), ("center_rgb", "first_rgb", "first_de"), ("center_rgb", "second_rgb", "second_de")], distance)
-    return rows.filter((F.col("background_de") <= background) & (F.col("first_de") > center) & (F.col("second_de") > center))
+    wanted = [("center_rgb", "first_rgb", "first_de", F.col("first_de") > center), ("center_rgb", "second_rgb", "second_de", F.col("second_de") > center), ("first_rgb", "second_rgb", "background_de", F.col("background_de") <= background)]
+    rows = _with_distances(parts[0].unionAll(parts[1]), wanted, distance)
+    return rows.select("image_id", "offset_px", "orientation", "x", "y", "center_rgb", "first_rgb", "second_rgb", "idx", "background_de", "first_de", "second_de")
 
 
 def center_surround_summary(candidates: DataFrame) -> DataFrame:

@@ -65,3 +65,11 @@ def test_pixels_are_sorted_once_a_direction(spark, operator):
     rows = spark.range(100).selectExpr("0L as image_id", "id as pos", "id % 10 as x", "id div 10 as y", "id % 7 as rgb", "id % 3 as idx", "0e0 as de")
     plan = operator(rows, OFFSETS)._jdf.queryExecution().executedPlan().toString()
     assert {n: len(re.findall(rf"[-+] {n}", plan)) for n in ("Window", "Sort", "Exchange")} == {"Window": 2, "Sort": 2, "Exchange": 2}
+
+
+def test_later_distances_are_of_kept_rows(spark):
+    """A row that one distance rules out meets no other: a filter stands between the distances."""
+    rows = spark.createDataFrame(raster(), SCHEMA)
+    plan = C.center_surround(rows, OFFSETS)._jdf.queryExecution().optimizedPlan().toString()
+    order = re.findall(r"Filter .*\bde#\d+ (<=|>) 5\.0|Generate inline.*\[(de)#", plan)
+    assert [a or b for a, b in order] == ["<=", "de", ">", "de", ">", "de"]
