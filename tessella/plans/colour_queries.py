@@ -201,11 +201,7 @@ def rescue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offsets(q: DataFrame) -> DataFrame:
-    q = stored(q, "quantized")  # every offset reads it
-    out = C.offset_pairs(q, OFFSETS[0])
-    for k in OFFSETS[1:]:
-        out = out.unionAll(C.offset_pairs(q, k))
-    return out
+    return C.offset_pairs(stored(q, "quantized"), OFFSETS)  # both directions read it
 
 
 def _surround(q: DataFrame) -> DataFrame:

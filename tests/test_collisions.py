@@ -59,7 +59,36 @@ def test_center_surround_equals_brute_force(spark):
     assert C.center_surround(spark.createDataFrame([], SCHEMA), OFFSETS).count() == 0
 
 
-@pytest.mark.parametrize("operator", [C.center_surround])
+def test_offset_pairs_equal_brute_force(spark):
+    rows = raster()
+    de, want = distances(spark, rows), []
+    for a in rows:
+        for k in OFFSETS:
+            for o, dx, dy in steps(a, k):
+                b = at(rows, a[0], a[2] + dx, a[3] + dy)
+                if alike(a, b) and de[a[4], b[4]] > 5:
+                    want.append((a[0], k, o, a[2], a[3], a[4], b[4], a[5], de[a[4], b[4]]))
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = C.offset_pairs(table, OFFSETS)
+    assert found.columns == ["image_id", "offset_px", "orientation", "x", "y", "rgb", "other_rgb", "idx", "de"]
+    assert len(want) > 200 and sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    of_image = {k: [w[8] for w in want if w[:2] == (3, k)] for k in OFFSETS}
+    summary = {(s["image_id"], s["offset_px"]): s for s in C.offset_summary(found, OFFSETS, table).collect()}
+    for k, values in of_image.items():
+        s = summary[3, k]
+        assert (s["pairs"], s["min_de"], s["max_de"]) == (len(values), min(values), max(values)) and s["mean_de"] == pytest.approx(sum(values) / len(values))
+        assert tuple(summary[9, k])[2:] == (0, None, None, None)
+    assert C.offset_pairs(spark.createDataFrame([], SCHEMA), OFFSETS).count() == 0
+
+
+def test_pixels_without_a_place_meet_each_other(spark):
+    """Null positions on one line are one place: its first row is the neighbour of all, at every offset."""
+    rows = [(8, None, None, 1, 0x101010, 1, 0.5), (8, None, None, 1, 0x404040, 1, 0.5), (8, 5, 5, 1, 0x404040, 1, 0.5)]
+    found = C.offset_pairs(spark.createDataFrame(rows, SCHEMA), OFFSETS).collect()
+    assert sorted((f["offset_px"], f["orientation"], f["x"], f["y"]) for f in found) == [(k, "horizontal", None, 1) for k in OFFSETS]
+
+
+@pytest.mark.parametrize("operator", [C.center_surround, C.offset_pairs])
 def test_pixels_are_sorted_once_a_direction(spark, operator):
     """All offsets come from one window a direction, so from one shuffle and one sort."""
     rows = spark.range(100).selectExpr("0L as image_id", "id as pos", "id % 10 as x", "id div 10 as y", "id % 7 as rgb", "id % 3 as idx", "0e0 as de")
