offset_collapsed_summary: shuffled pixels hold no column twice

Symptom: 60 x sf0.1 (6,000,000 pixels) still shuffled 205 MB written and 205 read; on sf0.1 3 MB and 3.
Evidence: a neighbour was the first struct(rgb, idx) of a window, and Spark makes that struct before the shuffle and the sort, beside the same two columns in each row.
Fix: neighbour takes the first of each column and makes the struct after the window; a count of the window's rows keeps it null where there is no pixel, also where a pixel's colours are null.
Effect, together with 6 more commits on this code: at 1 GB of input CPU 347 -> 156 s, shuffle 0.57 -> 0.16 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 24 -> 5 s, most memory of a task 269 -> 135 MB; at 6 GB of input CPU 1856 -> 422 s, shuffle 3.42 -> 0.95 GB, spill 0.00 -> 0.00 GB, read 1.39 -> 1.10 GB, longest task 47 -> 20 s, most memory of a task 403 -> 436 MB; with hot keys, at 1 GB of input CPU 342 -> 148 s, shuffle 0.55 -> 0.15 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 22 -> 5 s, most memory of a task 269 -> 135 MB.

@@ -17,10 +17,13 @@ LINES = {"horizontal": ("y", "x"), "vertical": ("x", "y")}
 
 
 def neighbour(columns: list[str], offset: int, orientation: str) -> Column:
-    """The columns of the pixel ``offset`` further along a line, as a struct; null where there is none."""
+    """The columns of the pixel ``offset`` further along a line, as a struct; null where there is none.
+
+    The struct is made after the window: inside it, Spark would shuffle and sort it beside the columns it repeats.
+    """
     fixed, moving = LINES[orientation]
     window = Window.partitionBy("image_id", fixed).orderBy(moving).rangeBetween(offset, offset)
-    return F.first(F.struct(*columns)).over(window)
+    return F.when(F.count(F.lit(1)).over(window) > 0, F.struct(*(F.first(c).over(window).alias(c) for c in columns)))
 
 
 def source_pixel_counts(quantized: DataFrame) -> DataFrame:

@@ -102,3 +102,19 @@ def test_later_distances_are_of_kept_rows(spark):
     plan = C.center_surround(rows, OFFSETS)._jdf.queryExecution().optimizedPlan().toString()
     order = re.findall(r"Filter .*\bde#\d+ (<=|>) 5\.0|Generate inline.*\[(de)#", plan)
     assert [a or b for a, b in order] == ["<=", "de", ">", "de", ">", "de"]
+
+
+@pytest.mark.parametrize("operator", [C.adjacent_pairs, lambda q: C.offset_pairs(q, OFFSETS), lambda q: C.center_surround(q, OFFSETS)])
+def test_no_column_is_shuffled_twice(spark, operator):
+    """What goes into the first shuffles is the pixel's own columns, with no struct that repeats them."""
+    rows = spark.range(100).selectExpr("0L as image_id", "id as pos", "id % 10 as x", "id div 10 as y", "id % 7 as rgb", "id % 3 as idx", "0e0 as de")
+    plan = operator(rows)._jdf.queryExecution().executedPlan().toString()
+    below = re.findall(r"Exchange .*\n.*(Project|Window) \[(.*)", plan)
+    assert any(kind == "Project" for kind, _ in below) and not any("struct(" in columns for kind, columns in below if kind == "Project")
+
+
+def test_a_neighbour_without_colours_is_still_there(spark):
+    """Null is a pixel that is missing, not one whose colours are."""
+    rows = [(1, 0, 0, 0, 5, 1, 0.5), (1, 1, 1, 0, None, None, 0.5), (1, 3, 3, 0, 5, 1, 0.5)]
+    found = C.adjacent_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(f["x"], f["orientation"], tuple(f["n"])) for f in found] == [(0, "horizontal", (None, None))]
