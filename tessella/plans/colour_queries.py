offset_collapsed_summary: images are listed from the stored raster

Symptom: 60 x sf0.1 (6,000,000 pixels): one more read of all events and join with their colours, 3.0 s in tasks, beside 161 MB of shuffle written and 161 read.
Evidence: the query stored the quantized raster inside its helper but handed the unstored one to offset_summary, which needs only its image ids; the plan held three broadcast joins.
Fix: the query stores the raster first, and pairs and images both read that table.
Effect, together with 6 more commits on this code: at 1 GB of input CPU 347 -> 156 s, shuffle 0.57 -> 0.16 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 24 -> 5 s, most memory of a task 269 -> 135 MB; at 6 GB of input CPU 1856 -> 422 s, shuffle 3.42 -> 0.95 GB, spill 0.00 -> 0.00 GB, read 1.39 -> 1.10 GB, longest task 47 -> 20 s, most memory of a task 403 -> 436 MB; with hot keys, at 1 GB of input CPU 342 -> 148 s, shuffle 0.55 -> 0.15 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 22 -> 5 s, most memory of a task 269 -> 135 MB.

@@ -201,7 +201,7 @@ def rescue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offsets(q: DataFrame) -> DataFrame:
-    return C.offset_pairs(stored(q, "quantized"), OFFSETS)  # both directions read it
+    return C.offset_pairs(q, OFFSETS)
 
 
 def _surround(q: DataFrame) -> DataFrame:
@@ -210,12 +210,13 @@ def _surround(q: DataFrame) -> DataFrame:
 
 @query("offset_collapsed_pairs", with_sql([*QUANTIZED, offsets_sql()], "SELECT * REPLACE (round(de, 6) AS de) FROM off"))
 def offset_collapsed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_offsets(quantized(spark, sf_dir)), "de")
+    q = stored(quantized(spark, sf_dir), "quantized")  # both directions read it
+    return rounded(_offsets(q), "de")
 
 
 @query("offset_collapsed_summary", with_sql([*QUANTIZED, offsets_sql()], "SELECT g.image_id, g.offset_px, count(o.x) AS pairs, round(min(de), 6) AS min_de, round(max(de), 6) AS max_de, round(avg(de), 6) AS mean_de FROM (SELECT image_id, unnest([2, 4, 8])::BIGINT AS offset_px FROM (SELECT DISTINCT image_id FROM px)) g LEFT JOIN off o ON o.image_id = g.image_id AND o.offset_px = g.offset_px GROUP BY ALL"))
 def offset_collapsed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quantized(spark, sf_dir)
+    q = stored(quantized(spark, sf_dir), "quantized")  # both directions and the list of images read it
     return rounded(C.offset_summary(_offsets(q), OFFSETS, q), "min_de", "max_de", "mean_de")
 
 

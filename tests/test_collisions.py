@@ -118,3 +118,11 @@ def test_a_neighbour_without_colours_is_still_there(spark):
     rows = [(1, 0, 0, 0, 5, 1, 0.5), (1, 1, 1, 0, None, None, 0.5), (1, 3, 3, 0, 5, 1, 0.5)]
     found = C.adjacent_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(f["x"], f["orientation"], tuple(f["n"])) for f in found] == [(0, "horizontal", (None, None))]
+
+
+def test_summary_quantizes_once(spark):
+    """The list of images comes from the stored raster: nothing of the result reads the events or joins colours again."""
+    from tessella.plans.catalog import QUERIES
+
+    read = QUERIES["offset_collapsed_summary"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and all("/quantized-" in path for path in read)
