offset_collapsed_summary: sums of images join sorted, never broadcast

Symptom: on sf0.1 2 MB broadcast, 3 MB of shuffle written and 3 read; the sums of pairs, three rows an image, were among the broadcasts.
Evidence: offset_summary left the join of the image list with the sums to Spark, which broadcasts the sums while they are below its threshold; they grow with the number of images.
Fix: the join carries the hint merge, as other joins of tables that grow with the input do.
Effect, together with 6 more commits on this code: at 1 GB of input CPU 347 -> 156 s, shuffle 0.57 -> 0.16 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 24 -> 5 s, most memory of a task 269 -> 135 MB; at 6 GB of input CPU 1856 -> 422 s, shuffle 3.42 -> 0.95 GB, spill 0.00 -> 0.00 GB, read 1.39 -> 1.10 GB, longest task 47 -> 20 s, most memory of a task 403 -> 436 MB; with hot keys, at 1 GB of input CPU 342 -> 148 s, shuffle 0.55 -> 0.15 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.14 GB, longest task 22 -> 5 s, most memory of a task 269 -> 135 MB.

@@ -114,7 +114,7 @@ def offset_summary(pairs: DataFrame, offsets: list[int], images: DataFrame) -> D
     """A row for each image and offset: pairs and their least, greatest and mean distance (null without pairs)."""
     grid = images.select("image_id").distinct().withColumn("offset_px", F.explode(F.array(*(F.lit(o).cast("long") for o in offsets))))
     stats = pairs.groupBy("image_id", "offset_px").agg(F.count("*").alias("n"), F.min("de").alias("min_de"), F.max("de").alias("max_de"), F.avg("de").alias("mean_de"))
-    return grid.join(stats, ["image_id", "offset_px"], "left").select("image_id", "offset_px", F.coalesce("n", F.lit(0)).alias("pairs"), "min_de", "max_de", "mean_de")
+    return grid.join(stats.hint("merge"), ["image_id", "offset_px"], "left").select("image_id", "offset_px", F.coalesce("n", F.lit(0)).alias("pairs"), "min_de", "max_de", "mean_de")
 
 
 def center_surround(quantized: DataFrame, offsets: list[int], background: float = 5.0, center: float = 5.0, distance: str = "delta_e_2000") -> DataFrame:

@@ -126,3 +126,10 @@ def test_summary_quantizes_once(spark):
 
     read = QUERIES["offset_collapsed_summary"](spark, "/root/testdata/sf0.001").inputFiles()
     assert read and all("/quantized-" in path for path in read)
+
+
+def test_sums_of_images_are_not_broadcast(spark):
+    """Three rows an image grow with the images, however small they are here."""
+    rows = spark.range(100).selectExpr("id div 50 as image_id", "id as pos", "id % 10 as x", "id div 10 as y", "id % 7 as rgb", "id % 3 as idx", "0e0 as de")
+    plan = C.offset_summary(C.offset_pairs(rows, OFFSETS), OFFSETS, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
