@@ -133,3 +133,13 @@ def test_sums_of_images_are_not_broadcast(spark):
     rows = spark.range(100).selectExpr("id div 50 as image_id", "id as pos", "id % 10 as x", "id div 10 as y", "id % 7 as rgb", "id % 3 as idx", "0e0 as de")
     plan = C.offset_summary(C.offset_pairs(rows, OFFSETS), OFFSETS, rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_hot_place_is_dealt_by_direction(spark):
+    """A place that comes many times: its pairs along the row and those along the column come from different tasks."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, 8, 8, 0x101010, 1, 0.5)] * 300 + [(1, 0, 8 + k * h, 8 + k * (1 - h), 0x404040, 1, 0.5) for k in OFFSETS for h in (0, 1)]
+    found = C.offset_pairs(spark.createDataFrame(rows, SCHEMA), OFFSETS).filter("x = 8 and y = 8")
+    tasks = {o: {f["task"] for f in found.withColumn("task", F.spark_partition_id()).collect() if f["orientation"] == o} for o in C.LINES}
+    assert found.count() == 1800 and all(len(t) == 1 for t in tasks.values()) and not tasks["horizontal"] & tasks["vertical"]
